@@ -59,3 +59,57 @@ def pct(part: str, whole: str) -> str:
 
 def with_runs(body: str, base: str = RUNS) -> str:
     return f"WITH {base}{body}"
+
+SNIPPET = (
+    "concat_ws(chr(10), 'Result: FAIL', 'Failing step: ' || nullif(failing_step, ''),"
+    " 'Errorcode: ' || nullif(error_code, ''), 'ErrorMsg: ' || nullif(error_message, ''))"
+)
+
+FAILURES = (
+    RUNS
+    + f""", failures AS (
+  SELECT *, CASE WHEN result = 'FAIL' AND e % 5 = 0 THEN concat_ws(' ', 'trace of', failing_step,
+      'host=' || coalesce(host, 'none'), '10.0.0.' || (e % 256), 'SerialNumber: ' || coalesce(serial_number, 'RMA1234567'),
+      'said "k"=' || k) WHEN result = 'FAIL' AND e % 5 = 1 THEN '' END AS debug_excerpt,
+    CASE WHEN e % 10 <> 3 AND result = 'FAIL' THEN {SNIPPET} END AS ftrunner_snippet
+  FROM (SELECT *, CAST(unit_id AS BIGINT) AS e FROM runs)
+)
+"""
+)
+
+TEXTS = r"""
+texts AS (SELECT doc_id, text || chr(10) || chr(27) || '[31mERR' || chr(27) || '[0m psexec \\srv-' || doc_id || '.lab -u sysc' || doc_id
+  || ' -p tr@nsf3r cmd' || chr(10) || 'TOKEN: a' || doc_id || ' user=op' || doc_id || ' hostname : h' || doc_id
+  || ' 00:1A:2b:3C:4d:5E at 10.250.0.' || (doc_id % 256) || ' SerialNumber=SN' || doc_id || ' code RMA' || (doc_id + 1000000)
+  || ' [34mwarn[0m' AS text FROM documents)
+"""
+
+# Masking rules in RE2 syntax.
+REDACTION = {
+    "user_switch": (r"(?i)(-u\s+)\S+", r"\1[REDACTED_USER]"),
+    "password_switch": (r"(?i)(-p\s+)\S+", r"\1[REDACTED_PW]"),
+    "secret_pair": (r"(?i)\b(password|passwd|pwd|secret|token|apikey|api_key)\s*[=:]\s*\S+", r"\1=[REDACTED]"),
+    "user_pair": (r"(?i)\b(user|username|userid|uid)\s*[=:]\s*\S+", r"\1=[REDACTED_USER]"),
+    "host_pair": (r"(?i)\b(host|hostname|testserver)\s*[=:]\s*\S+", r"\1=[REDACTED_HOST]"),
+    "unc_host": (r"\\\\[A-Za-z0-9._-]+", r"\\\\[REDACTED_HOST]"),
+    "mac": (r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "[REDACTED_MAC]"),
+    "ipv4": (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED_IP]"),
+    "serial_pair": (r"(?i)\b(serialnumber|child_sn|serial)\s*[=:]\s*\S+", r"\1=[REDACTED_SN]"),
+    "serial_code": (r"\bRM[A-Z]{1,2}\d{6,}\b", "[REDACTED_SN]"),
+}
+
+
+def redact_sql(expr: str, *names: str) -> str:
+    """Chained masking; all rules unless named."""
+    out = f"coalesce({expr}, '')"
+    for name in names or REDACTION:
+        pattern, mask = REDACTION[name]
+        out = f"regexp_replace({out}, '{pattern}', '{mask}', 'g')"
+    return out
+
+
+KEEP_SERIAL = tuple(n for n in REDACTION if not n.startswith("serial"))
+
+
+def strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"

@@ -91,3 +91,40 @@ def runs_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("failing_step"),
         F.concat(F.lit("run"), F.col("l_orderkey").cast("string")).alias("run_folder"),
     )
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``runs`` with the text columns a diagnosis reads (set on FAIL only)."""
+    from ..functions.text import failure_snippet
+
+    r = runs(spark, sf_dir)
+    e = F.col("unit_id").cast("long")
+    failed = F.col("result") == "FAIL"
+    trace = F.concat_ws(
+        " ",
+        F.lit("trace of"),
+        F.col("failing_step"),
+        F.concat(F.lit("host="), F.coalesce("host", F.lit("none"))),
+        F.concat(F.lit("10.0.0."), (e % 256).cast("string")),
+        F.concat(F.lit("SerialNumber: "), F.coalesce("serial_number", F.lit("RMA1234567"))),
+        F.concat(F.lit('said "k"='), F.col("k").cast("string")),
+    )
+    snippet = failure_snippet(F.col("result"), F.col("failing_step"), F.col("error_code"), F.col("error_message"))
+    return r.withColumns(
+        {
+            "debug_excerpt": F.when(failed & (e % 5 == 0), trace).when(failed & (e % 5 == 1), F.lit("")),
+            "ftrunner_snippet": F.when(e % 10 != 3, snippet),
+        }
+    )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with one line that every masking rule can hit."""
+    d = F.col("doc_id")
+    s = d.cast("string")
+    line = F.concat(
+        F.lit("\n\x1b[31mERR\x1b[0m psexec \\\\srv-"), s, F.lit(".lab -u sysc"), s, F.lit(" -p tr@nsf3r cmd\nTOKEN: a"), s,
+        F.lit(" user=op"), s, F.lit(" hostname : h"), s, F.lit(" 00:1A:2b:3C:4d:5E at 10.250.0."), (d % 256).cast("string"),
+        F.lit(" SerialNumber=SN"), s, F.lit(" code RMA"), (d + 1000000).cast("string"), F.lit(" [34mwarn[0m"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", line).alias("text"))
