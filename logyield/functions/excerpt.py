@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .redaction import redact
@@ -42,10 +42,24 @@ def window_at(text: Column, position: Column, budget: int) -> Column:
     )
 
 
-def debug_excerpt(
-    raw: Column, code: Column, message: Column, step: Column, budget: int = EXCERPT_BUDGET
-) -> Column:
-    """Masked excerpt (serial kept), null when the log is blank."""
-    text = strip_ansi(raw)
-    cut = window_at(text, anchor(text, [code, message, step]), budget)
-    return or_null(redact(strip(cut), keep_serial=True))
+def with_debug_excerpt(
+    df: DataFrame,
+    raw: str,
+    code: Column,
+    message: Column,
+    step: Column,
+    budget: int = EXCERPT_BUDGET,
+    into: str = "debug_excerpt",
+) -> DataFrame:
+    """Add the masked excerpt (serial kept), null when the log is blank.
+
+    The cleaned text and the anchor are columns of their own, so each is
+    computed once however often the later steps refer to it.
+    """
+    return (
+        df.withColumn("_text", strip_ansi(F.col(raw)))
+        .withColumn("_at", anchor(F.col("_text"), [code, message, step]))
+        .withColumn("_cut", strip(window_at(F.col("_text"), F.col("_at"), budget)))
+        .withColumn(into, or_null(redact(F.col("_cut"), keep_serial=True)))
+        .drop("_text", "_at", "_cut")
+    )

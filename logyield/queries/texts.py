@@ -139,9 +139,8 @@ def debug_excerpt(spark, sf_dir):
     code = F.when(d % 4 == 0, F.concat(F.lit("sysc"), d.cast("string"))).when(d % 4 == 1, "E-none")
     message = F.when(d % 4 == 1, "at 10.250").otherwise("")
     step = F.when(d % 4 == 2, "tion")
-    return proxies.texts(spark, sf_dir).select(
-        "doc_id", excerpt.debug_excerpt(F.col("text"), code, message, step, 600).alias("excerpt")
-    )
+    cut = excerpt.with_debug_excerpt(proxies.texts(spark, sf_dir), "text", code, message, step, 600, "excerpt")
+    return cut.select("doc_id", "excerpt")
 
 
 LINES = f"""WITH {TEXTS}, s AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS ls FROM texts),

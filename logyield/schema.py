@@ -27,3 +27,7 @@ RUN_IDENTITY = (
     "failing_step",
     "run_folder",
 )
+
+# Texts shown when a diagnosis field is blank.
+NO_ROOT_CAUSE = "No root cause returned."
+NO_SOLUTION = "No solution returned."
