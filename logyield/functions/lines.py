@@ -23,8 +23,11 @@ def split_lines(text: Column) -> Column:
 
 def explode_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per line with its 1-based number."""
-    return df.select(*keep, F.posexplode(split_lines(F.col(text))).alias("_pos", "line")).select(
-        *keep, (F.col("_pos") + 1).alias("line_no"), "line"
+    # Outer and filtered: a plain explode would split the text once more to test its size.
+    return (
+        df.select(*keep, F.posexplode_outer(split_lines(F.col(text))).alias("_pos", "line"))
+        .filter(F.col("_pos").isNotNull())
+        .select(*keep, (F.col("_pos") + 1).alias("line_no"), "line")
     )
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Terminal colour codes (escape byte optional) and log-line prefix.
 ANSI_CODE = r"\x1b?\[[0-9;]*m"
 LOG_PREFIX = r"^\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[^\]]*\]\s*"
+# Fixed value: every character that counts as white space at the ends of a text.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 TRUNCATION_MARK = "\n…[truncated]"
 
 
@@ -18,11 +23,11 @@ def or_null(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim any whitespace, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)\s+$", "")
+    return F.rtrim(col, F.lit(WHITESPACE))
 
 
 def strip_ansi(col: Column) -> Column:

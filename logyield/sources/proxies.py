@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal an input with fewer splits than cores to all of them.
+
+    For work that is heavy per byte. A large input has splits enough and is
+    returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_from_events(table(spark, sf_dir, "events"))
 
@@ -127,4 +137,74 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" user=op"), s, F.lit(" hostname : h"), s, F.lit(" 00:1A:2b:3C:4d:5E at 10.250.0."), (d % 256).cast("string"),
         F.lit(" SerialNumber=SN"), s, F.lit(" code RMA"), (d + 1000000).cast("string"), F.lit(" [34mwarn[0m"),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", line).alias("text"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", F.concat("text", line).alias("text"))
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tester logs written from ``runs``: one text per run.
+
+    The layout varies with the id so that every parser branch is taken: colour
+    codes, missing and doubled keys, verdict blocks or none, steps with and
+    without an end marker, and both sources of start and end time.
+    """
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    r = runs_from_events(events).withColumn("e", F.col("unit_id").cast("long"))
+    e, result = F.col("e"), F.col("result")
+    at = F.coalesce("start_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    ends = at + F.make_dt_interval(secs=(e % 600).cast("decimal(18,6)"))
+    tag = lambda when, level="INF": F.concat(
+        F.when(e % 5 == 0, "\x1b[32m").otherwise(""),
+        F.lit("["), F.date_format(when, "yyyy-MM-dd HH:mm:ss"), F.lit(f" {level}]"),
+        F.when(e % 5 == 0, "[0m").otherwise(""), F.lit(" "),
+    )
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    explicit = logs_explicit()
+    failed = result == "FAIL"
+    mmss = lambda n: F.format_string("00:%02d:%02d", (n / 60).cast("int"), (n % 60).cast("int"))
+    stamp14 = lambda c: F.date_format(c, "yyyyMMddHHmmss")
+    parts = [
+        line(tag(at), "scan file content:"),
+        tag(at),
+        line("SERIALNUMBER = ", F.col("serial_number")),
+        F.when(e % 6 == 0, "PRODUCTCODE=OLD"),
+        line(F.when(e % 2 == 0, tag(at)).otherwise(""), "PRODUCTCODE=", F.col("product_code")),
+        line("OPID=", F.col("op_id")),
+        line("STATIONID=", F.col("station_id")),
+        line(F.when(e % 2 == 0, "Host=").otherwise("HOST="), F.col("host")),
+        line("TPDIR_NAME=TP", (e % 3).cast("string")),
+        line("TPDIR_VERSION=V", (e % 10).cast("string")),
+        F.when(e % 8 == 0, "not a pair").otherwise(""),
+        F.lit("SERIALNUMBER=IGNORED"),
+        line("testmode: ", F.col("test_mode")),
+        F.when(F.col("lot_id").isNotNull(), line("info; lotid=", F.col("lot_id"), F.lit(";rest"))),
+        F.when(e % 4 != 0, line("Test start time: ", stamp14(at))),
+        F.when(e % 10 == 7, line(tag(at), "starting HST_ET flow")),
+        F.when(e % 9 != 8, line(tag(at), "***PowerTest test start.***")),
+        F.when(e % 9 != 8, line(tag(at), F.when(e % 9 < 3, "TEST PASSED").otherwise("measured 3.3 V"))),
+        F.when(e % 9 != 8, line(tag(at), "***PowerTest test end.***")),
+        F.when(e % 9 != 8, line(tag(at), "Test time(hh\\mm\\ss): ", mmss(e % 3000))),
+        line(tag(at), "**** Thermal Test test start.****"),
+        F.when(failed, line(tag(at), "Copy to STC process failed.")),
+        F.when(e % 2 == 0, line(tag(at), "***Thermal Test test end.***")),
+        line(tag(at), "Test time(hh\\mm\\ss): 00:00:07"),
+        F.when(failed & ~explicit, line(tag(at, "ERR"), "station stopped")),
+        F.when(e % 7 == 3, line("Test end time: ", stamp14(ends))),
+        F.when(F.col("total_test_time_s").isNotNull(), line("Total Test time(s): ", F.format_string("%.2f", "total_test_time_s"))),
+        line(tag(ends), "closing"),
+        F.when(explicit, line(tag(ends), "done file content:")),
+        F.when(explicit, tag(ends)),
+        F.when(explicit, line("Result=", F.when(result == "UNKNOWN", "ABORT").when(e % 2 == 0, F.lower(result)).otherwise(result))),
+        F.when(explicit & (e % 3 == 1), line("EndTime=", stamp14(ends))),
+        F.when(explicit, line("Errorcode=", F.col("error_code"))),
+        F.when(explicit, line("ErrorMsg=", F.col("error_message"))),
+    ]
+    sep = F.when(e % 12 == 5, "\r\n").otherwise("\n")
+    return r.select("run_folder", F.lit("ftrunnerlog01.txt").alias("file_name"), F.array_join(F.array_compact(F.array(*parts)), "\n").alias("_t"), sep.alias("_sep")).select(
+        "run_folder", "file_name", F.when(F.col("_sep") == "\n", F.col("_t")).otherwise(F.replace("_t", F.lit("\n"), F.lit("\r\n"))).alias("text")
+    )
+
+
+def logs_explicit():
+    """Rendered runs with a verdict block: an unknown result cannot be told without one."""
+    return F.col("has_done_block") | (F.col("result") == "UNKNOWN")
