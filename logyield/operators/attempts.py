@@ -50,11 +50,10 @@ def latest_runs(
     runs: DataFrame, columns: Sequence[str] = RUN_IDENTITY, within: Sequence[str | Column] = ()
 ) -> DataFrame:
     """The last run of every unit, optionally per further grouping columns."""
-    return (
-        runs.groupBy(*within, unit_key().alias("unit_key"))
-        .agg(F.max_by(F.struct(*columns), time_position()).alias("r"))
-        .select("unit_key", "r.*")
+    last = runs.groupBy(*within, unit_key().alias("unit_key")).agg(
+        F.max_by(F.struct(*columns), time_position()).alias("r")
     )
+    return last.select(*[c for c in last.columns if c != "r"], "r.*")
 
 
 def newest_first(df: DataFrame, prefix: str = "") -> DataFrame:

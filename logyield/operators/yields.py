@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAIL, PASS, UNKNOWN
-from .attempts import latest_runs, present, unit_key
+from .attempts import present, unit_key
 
 # Characters of the message kept in a Pareto label, default rows.
 LABEL_MESSAGE_CHARS = 60
@@ -159,6 +159,3 @@ def product_summary(runs: DataFrame) -> DataFrame:
         .orderBy("product_code")
     )
 
-
-def latest_per_product(runs: DataFrame) -> DataFrame:
-    return latest_runs(runs, within=[F.coalesce(present("product_code"), F.lit("UNKNOWN")).alias("artifact_product")])
