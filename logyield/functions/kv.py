@@ -19,7 +19,8 @@ NEAR_LINES = 64
 
 
 def _clean(lines: Column) -> Column:
-    return F.transform(lines, lambda x: strip(F.regexp_replace(x, LOG_PREFIX, "")))
+    bare = lambda x: F.when(x.startswith("["), F.regexp_replace(x, LOG_PREFIX, "")).otherwise(x)
+    return F.transform(lines, lambda x: strip(bare(x)))
 
 
 def _first(lines: Column, test) -> Column:

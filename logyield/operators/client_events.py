@@ -44,7 +44,7 @@ def is_secret(key: Column) -> Column:
 
 def _kind(value: Column) -> Column:
     """OBJECT, ARRAY or the scalar's type name; null for JSON null."""
-    return F.when(~F.is_variant_null(value), F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    return F.when(~F.is_variant_null(value), F.substring_index(F.schema_of_variant(value), "<", 1))
 
 
 def _entries(json: Column) -> Column:
@@ -69,9 +69,10 @@ def _items(json: Column) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    """A JSON string."""
+    """A JSON string; the writer is only asked when something needs escaping."""
     inner = F.to_json(F.array(text))
-    return F.substring(inner, 2, F.length(inner) - 2)
+    escaped = F.substring(inner, 2, F.length(inner) - 2)
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def _scrub_value(item: Column, depth: int, client: bool) -> Column:
@@ -80,15 +81,23 @@ def _scrub_value(item: Column, depth: int, client: bool) -> Column:
         return F.lit('"[MAX_DEPTH]"')
     text, kind = item["text"], item["kind"]
     # Numbers and booleans keep the digits they were written with.
-    scalar = F.when(kind == "STRING", F.to_json(item["value"])).otherwise(text)
+    scalar = F.when(kind == "STRING", _quoted(text)).otherwise(text)
     if client:
         long_text = (kind == "STRING") & (F.length(text) > MAX_CLIENT_TEXT)
         short = _quoted(F.concat(F.substring(text, 1, MAX_CLIENT_TEXT), F.lit("...[truncated]")))
         scalar = F.when(long_text, short).otherwise(scalar)
     parts = F.transform(_items(text), lambda i: _scrub_value(i, depth + 1, client))
+    rebuilt = F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    # A short list without nested values has nothing to mask and stays as it is.
+    plain = (
+        ~F.contains(text, F.lit("{"))
+        & ~F.contains(F.substring(text, 2, F.length(text)), F.lit("["))
+        & (F.size(F.from_json(text, "array<string>")) <= MAX_LIST)
+    )
+    listed = rebuilt if client or depth == MAX_DEPTH else F.when(plain, text).otherwise(rebuilt)
     return (
         F.when(kind == "OBJECT", _scrub_object(text, depth, client))
-        .when(kind == "ARRAY", F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")))
+        .when(kind == "ARRAY", listed)
         .otherwise(F.coalesce(scalar, F.lit("null")))
     )
 

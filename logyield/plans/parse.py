@@ -50,7 +50,8 @@ SCAN_KEYS = {
 
 def unix_text(raw: Column) -> Column:
     """Log text with plain line ends and without colour codes."""
-    return strip_ansi(F.regexp_replace(raw, "\r\n?", "\n"))
+    ends = F.when(F.contains(raw, F.lit("\r")), F.regexp_replace(raw, "\r\n?", "\n")).otherwise(raw)
+    return strip_ansi(ends)
 
 
 def found(text: Column, pattern: str) -> Column:
