@@ -59,7 +59,8 @@ def serial_groups(spark, sf_dir):
 
 @query("serial_groups_large", f"WITH {RUNS_LARGE}{GROUPS} SELECT {GROUP_COLUMNS} FROM groups")
 def serial_groups_large(spark, sf_dir):
-    return attempts.serial_groups(proxies.runs_large(spark, sf_dir)).select(*SCALARS)
+    runs = proxies.runs_large(spark, sf_dir)
+    return attempts.serial_groups(runs, ("unit_id", "serial_number", "result")).select(*SCALARS)
 
 
 # Keeps the order itself as a column: position by the sort keys.

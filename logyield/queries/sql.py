@@ -37,8 +37,8 @@ runs AS (
     CASE WHEN l_returnflag = 'R' THEN 'limit ' || CAST(l_quantity AS INTEGER) || ' exceeded' END AS error_message,
     CAST(NULL AS VARCHAR) AS failing_step,
     'run' || l_orderkey AS run_folder
-  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-    JOIN nation ON n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey
+    LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN orders ON o_orderkey = l_orderkey
 )
 """
 

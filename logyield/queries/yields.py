@@ -51,18 +51,18 @@ s AS (SELECT product AS product_code, count(*) FILTER (WHERE rn = 1) AS total,
 SELECT product_code, total, "pass", fail, run_count, total - "pass" - fail AS unknown,
   {pct('"pass"', 'total')} AS final_yield, run_count - total AS retests FROM s"""
 
-for _suffix, _base, _runs in (("", RUNS, proxies.runs), ("_large", RUNS_LARGE, proxies.runs_large)):
-    for _name, _job, _sql in (
-        ("manager_summary", yields.manager_summary, SUMMARY),
-        ("daily_yield", yields.daily_yield, DAILY),
-        ("failure_pareto", yields.failure_pareto, pareto(10)),
-        ("station_breakdown", yields.station_breakdown, grouped("station", STATION)),
-        ("lot_comparison", yields.lot_comparison, grouped("lot", LOT)),
-        ("product_summary", yields.product_summary, PRODUCT),
-    ):
-        query(_name + _suffix, f"WITH {_base}{_sql}")(
-            lambda spark, sf_dir, job=_job, source=_runs: job(source(spark, sf_dir))
-        )
+for _name, _job, _sql, _dims in (
+    ("manager_summary", yields.manager_summary, SUMMARY, ()),
+    ("daily_yield", yields.daily_yield, DAILY, ()),
+    ("failure_pareto", yields.failure_pareto, pareto(10), ()),
+    ("station_breakdown", yields.station_breakdown, grouped("station", STATION), ("host",)),
+    ("lot_comparison", yields.lot_comparison, grouped("lot", LOT), ("lot_id",)),
+    ("product_summary", yields.product_summary, PRODUCT, ("product_code",)),
+):
+    query(_name, f"WITH {RUNS}{_sql}")(lambda spark, sf_dir, job=_job: job(proxies.runs(spark, sf_dir)))
+    query(f"{_name}_large", f"WITH {RUNS_LARGE}{_sql}")(
+        lambda spark, sf_dir, job=_job, dims=_dims: job(proxies.runs_large(spark, sf_dir, *dims))
+    )
 
 for _name, _top in (("pareto_top5", 5), ("top_failure", 1), ("pareto_cumulative", 40)):
     query(_name, f"WITH {RUNS}{pareto(_top)}")(

@@ -1,8 +1,8 @@
 """``runs`` tables derived from the driver's sample tables.
 
 ``runs`` reads ``events``; ``runs_large`` reads ``lineitem`` with its
-dimensions. Both are plain projections (and joins), so their size follows the
-tables. The SQL twins used as oracles live in ``logyield.queries.sql``.
+dimensions. Both are plain projections (and look-ups), so their size follows
+the tables. The SQL twins used as oracles live in ``logyield.queries.sql``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import failure_snippet
+from ..operators.skew import salted_lookup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,25 +65,33 @@ def runs_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def runs_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run per order line.
+def runs_large(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """One run per order line, with the dimension columns that are asked for.
 
-    Dimension sizes follow the data, so the joins carry no broadcast hint; the
-    planner broadcasts whichever side is measured to be small.
+    ``wanted`` may name product_code, host and lot_id; the others stay null and
+    their tables are not read. A part, supplier or order may own a large share
+    of the lines, so the look-ups spread hot keys; none is broadcast unasked.
     """
     t = lambda name: table(spark, sf_dir, name)
     line = t("lineitem")
-    part = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_code"))
-    station = (
-        t("supplier")
-        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("host"))
+    spread_by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    if "product_code" in wanted:
+        part = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_code"))
+        line = salted_lookup(line, part, ["l_partkey"], spread_by)
+    if "host" in wanted:
+        nation = t("nation").select("n_nationkey", F.col("n_name").alias("host"))
+        supplier = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+        station = salted_lookup(supplier, nation, ["n_nationkey"], ["l_suppkey"]).select("l_suppkey", "host")
+        line = salted_lookup(line, station, ["l_suppkey"], spread_by)
+    if "lot_id" in wanted:
+        lots = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("lot_id"))
+        line = salted_lookup(line, lots, ["l_orderkey"], spread_by)
+    line = line.withColumns(
+        {c: F.lit(None).cast("string") for c in ("product_code", "host", "lot_id") if c not in wanted}
     )
-    lots = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("lot_id"))
     flag = F.col("l_returnflag")
-    joined = line.join(part, "l_partkey").join(station, "l_suppkey").join(lots, "l_orderkey")
     failed = flag == "R"
-    return joined.select(
+    return line.select(
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")
         ).alias("unit_id"),
@@ -105,8 +116,6 @@ def runs_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``runs`` with the text columns a diagnosis reads (set on FAIL only)."""
-    from ..functions.text import failure_snippet
-
     r = runs(spark, sf_dir)
     e = F.col("unit_id").cast("long")
     failed = F.col("result") == "FAIL"
