@@ -38,11 +38,22 @@ def strip_log_prefix(line: Column) -> Column:
     return F.regexp_replace(line, LOG_PREFIX, "")
 
 
+def wall_clock(*parts: Column) -> Column:
+    """Zone-less timestamp from year, month, day, hour, minute and second; null when invalid."""
+    numbers = [p.try_cast("int") for p in parts]
+    return F.when(numbers[-1] < 60, F.try_make_timestamp_ntz(*numbers))
+
+
 def compact_timestamp(ts14: Column) -> Column:
     """``yyyyMMddHHmmss`` as a zone-less timestamp; anything else is null."""
-    return F.when(
-        F.length(ts14) == 14, F.try_to_timestamp(ts14, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-    )
+    parts = [F.substring(ts14, at, size) for at, size in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2))]
+    return F.when(ts14.rlike(r"^\d{14}\z"), wall_clock(*parts))
+
+
+def stamp(text: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` as a zone-less timestamp."""
+    parts = [F.substring(text, at, size) for at, size in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
+    return wall_clock(*parts)
 
 
 def run_id(folder: Column) -> Column:

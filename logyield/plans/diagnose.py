@@ -52,24 +52,27 @@ def prepare(
 
 
 def representatives(prepared: DataFrame) -> DataFrame:
-    """The first failing run of each signature, with the number of runs it stands for."""
-    wanted = F.struct(
-        F.col("unit_id"),
-        F.col("error_code"),
+    """The first failing run of each signature, with the number of runs it stands for.
+
+    Ids are compared first; the texts are fetched for the chosen runs only, so
+    the aggregation never moves them. Run ids are unique, which keeps the second
+    step balanced.
+    """
+    chosen = prepared.groupBy("signature").agg(
+        F.min_by("unit_id", F.struct("start_time", "unit_id")).alias("unit_id"),
+        F.count(F.lit(1)).alias("signature_runs"),
+    )
+    return prepared.join(chosen.drop("signature"), "unit_id").select(
+        "signature",
+        "signature_runs",
+        "unit_id",
+        "error_code",
         F.col("redacted_message").alias("error_message"),
         F.col("redacted_snippet").alias("context"),
         F.col("analysis_context_source").alias("context_source"),
         F.col("analysis_cache_key").alias("cache_key"),
-        F.col("product_code"),
-        F.col("failing_step"),
-    )
-    return (
-        prepared.groupBy("signature")
-        .agg(
-            F.min_by(wanted, F.struct("start_time", "unit_id")).alias("r"),
-            F.count(F.lit(1)).alias("signature_runs"),
-        )
-        .select("signature", "signature_runs", "r.*")
+        "product_code",
+        "failing_step",
     )
 
 

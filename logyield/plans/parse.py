@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kv import DONE_HEADER, SCAN_HEADER, kv_value, with_kv_entries
-from ..functions.text import compact_timestamp, failure_snippet, or_null, run_id, strip, strip_ansi
+from ..functions.text import compact_timestamp, failure_snippet, or_null, run_id, stamp, strip, strip_ansi
 from ..schema import FAIL, PASS, UNKNOWN
 
 # Log line patterns. (?d) keeps '.' from stopping at anything but \n.
@@ -59,10 +59,6 @@ def found(text: Column, pattern: str) -> Column:
     return or_null(F.regexp_extract(text, pattern, 1))
 
 
-def stamp(col: Column) -> Column:
-    return F.try_to_timestamp(col, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-
-
 def seconds(hms: Column) -> Column:
     part = F.split(hms, ":")
     return part[0].cast("double") * 3600 + part[1].cast("double") * 60 + part[2].cast("double")

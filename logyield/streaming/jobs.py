@@ -6,7 +6,7 @@ its id, so one that is repeated after a failure leaves the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,6 +63,11 @@ def ingest_runs(logs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def day_of(at: Column) -> Column:
+    """Calendar day in UTC."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(at) / 86400).cast("int"))
+
+
 def daily_counts(runs: DataFrame, delay: str = "2 days") -> DataFrame:
     """Streaming PASS/FAIL counts per day of ``runs`` (start_time, result).
 
@@ -70,13 +75,14 @@ def daily_counts(runs: DataFrame, delay: str = "2 days") -> DataFrame:
     """
     timed = (
         runs.filter(F.col("start_time").isNotNull() & F.col("result").isin(PASS, FAIL))
-        .withColumn("at", F.col("start_time").cast("timestamp"))
+        # The wall clock is read as UTC, so days do not depend on the session's zone.
+        .withColumn("at", F.to_timestamp(F.concat(F.col("start_time").cast("string"), F.lit("Z"))))
         .withWatermark("at", delay)
     )
     return (
         timed.groupBy(F.window("at", "1 day").alias("w"))
         .agg(F.count_if(F.col("result") == PASS).alias("pass"), F.count_if(F.col("result") == FAIL).alias("fail"))
-        .select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "pass", "fail")
+        .select(day_of(F.col("w.start")).cast("string").alias("date"), "pass", "fail")
     )
 
 
