@@ -11,6 +11,7 @@ from ..sources import archives as zips
 from ..sources import folders
 from ..session import stored
 from .parse import one_log_per_folder, parse_logs
+from .parse_lines import parse_lines, read_log_lines
 
 
 def attach_debug_excerpts(runs: DataFrame, archives: DataFrame, budget: int = EXCERPT_BUDGET) -> DataFrame:
@@ -38,14 +39,28 @@ def attach_debug_excerpts(runs: DataFrame, archives: DataFrame, budget: int = EX
     )
 
 
-def ingest_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, warnings) of the batch below ``root``."""
+def ingest_large_logs(
+    spark: SparkSession, root: str, at_least: int = folders.ROW_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(runs, steps) of the logs that are too large for one row."""
+    return parse_lines(read_log_lines(spark, root, at_least))
+
+
+def ingest_folder(spark: SparkSession, root: str, row_bytes: int = folders.ROW_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(runs, warnings) of the batch below ``root``.
+
+    Logs of ``row_bytes`` or more are parsed as lines; their ``steps`` stay null
+    and come as a table from :func:`ingest_large_logs`.
+    """
     files = folders.list_files(spark, root)
     archives = files.filter(F.lower("file_name").endswith(".zip")).select(
         "run_folder", F.col("file_name").alias("archive"), "path"
     )
+    runs = parse_logs(folders.read_logs(spark, root, row_bytes))
+    if not folders.large_logs(spark, root, row_bytes).isEmpty():
+        runs = runs.unionByName(ingest_large_logs(spark, root, row_bytes)[0])
     # The parsed rows feed the excerpts and the result: written once, not parsed twice.
-    parsed = stored(one_log_per_folder(parse_logs(folders.read_logs(spark, root))), "parsed")
+    parsed = stored(one_log_per_folder(runs), "parsed")
     listed = archives.withColumn("archive", F.col("path"))
     inside = (
         zips.list_members(listed.select("archive", "path"))

@@ -29,6 +29,8 @@ LOT_ID = r"(?i)\blotid\s*=\s*([^;\s]+)"
 LOT_ID_LOOSE = r"(?i)\bLotID\s*=\s*(\S+)"
 LOT_FOLDER = r"(?i)^(LOTAM2|NoLotId|ENG1|STC)_"
 
+STEP_ARRAY = "array<struct<name:string,result:string,duration_s:double>>"
+
 # Hints of a motherboard flow, in the text or as a step name.
 PAN_HINTS = ("hst_et", "aguila", "mb_pan_test", "executiontool.exe", "hst_mix")
 PAN_STEPS = ("mb_pan_test", "hst_et")
@@ -64,27 +66,26 @@ def seconds(hms: Column) -> Column:
     return part[0].cast("double") * 3600 + part[1].cast("double") * 60 + part[2].cast("double")
 
 
-def verdict(entries: Column, text: Column) -> dict[str, Column]:
+def verdict_of(explicit: Column, said: Column, code: Column, message: Column, error_line: Column) -> dict[str, Column]:
     """Result and error fields from the done block, else from error-level lines."""
-    explicit = F.size(entries) > 0
-    said = F.upper(kv_value(entries, "Result"))
+    told = F.upper(said)
     result = (
-        F.when(explicit & said.isin(PASS, FAIL), said)
-        .when(explicit, UNKNOWN)
-        .when(text.rlike(ERR_LEVEL), FAIL)
-        .otherwise(PASS)
+        F.when(explicit & told.isin(PASS, FAIL), told).when(explicit, UNKNOWN).when(error_line, FAIL).otherwise(PASS)
     )
     failed, implicit = result == FAIL, ~explicit
     return {
         "has_done_block": explicit,
         "result": result,
-        "error_code": F.when(failed & implicit, IMPLICIT_CODE).when(failed, or_null(kv_value(entries, "Errorcode"))),
-        "error_message": F.when(failed & implicit, IMPLICIT_MESSAGE).when(
-            failed, or_null(kv_value(entries, "ErrorMsg"))
-        ),
+        "error_code": F.when(failed & implicit, IMPLICIT_CODE).when(failed, or_null(code)),
+        "error_message": F.when(failed & implicit, IMPLICIT_MESSAGE).when(failed, or_null(message)),
     }
 
 
+def verdict(entries: Column, text: Column) -> dict[str, Column]:
+    said, code, message = (kv_value(entries, k) for k in ("Result", "Errorcode", "ErrorMsg"))
+    return verdict_of(F.size(entries) > 0, said, code, message, text.rlike(ERR_LEVEL))
+
+
 def with_step_zones(df: DataFrame, text: str, into: str) -> DataFrame:
     """Add the step blocks: from each start marker to the next, the last up to the done header.
 
@@ -143,12 +144,14 @@ def step_records(zones: Column, run_result: Column) -> Column:
     return F.transform(zones, record)
 
 
+def trimmed_lot(stated: Column) -> Column:
+    return or_null(F.regexp_replace(strip(stated), "[;,]+$", ""))
+
+
 def lot_id(text: Column, folder: Column) -> Column:
     stated = F.coalesce(found(text, LOT_ID), found(text, LOT_ID_LOOSE))
     base = F.element_at(F.split(folder, "/"), -1)
-    return F.when(stated.isNotNull(), or_null(F.regexp_replace(strip(stated), "[;,]+$", ""))).otherwise(
-        found(base, LOT_FOLDER)
-    )
+    return F.when(stated.isNotNull(), trimmed_lot(stated)).otherwise(found(base, LOT_FOLDER))
 
 
 def device_class(text: Column, steps: Column, mode: Column) -> Column:
@@ -161,6 +164,42 @@ def device_class(text: Column, steps: Column, mode: Column) -> Column:
     return F.when(hinted | pan_step, "pan").when(addin, "aic").otherwise("unknown")
 
 
+def run_columns(fields: DataFrame) -> DataFrame:
+    """The run table's columns from the parsed fields."""
+    clock = F.timestamp_diff("MILLISECOND", F.col("start_time"), F.col("end_time")) / 1000.0
+    return fields.select(
+        run_id(F.col("run_folder")).alias("unit_id"),
+        "serial_number",
+        "product_code",
+        "lot_id",
+        "op_id",
+        "station_id",
+        "host",
+        "start_time",
+        "end_time",
+        "end_time_raw",
+        F.coalesce(clock, F.col("step_duration_s")).alias("duration_s"),
+        F.when(clock.isNotNull(), "clock").otherwise("steps").alias("duration_basis"),
+        "step_duration_s",
+        "total_test_time_s",
+        "result",
+        "has_done_block",
+        "error_code",
+        "error_message",
+        "failing_step",
+        "steps",
+        F.array("file_name").alias("source_files"),
+        "run_folder",
+        "tp_name",
+        "tp_version",
+        "test_mode",
+        "device_class",
+        failure_snippet(*[F.col(c) for c in ("result", "failing_step", "error_code", "error_message")]).alias(
+            "ftrunner_snippet"
+        ),
+    )
+
+
 def parse_logs(logs: DataFrame) -> DataFrame:
     """``logs`` (run_folder, file_name, text) → run columns with a nested step array."""
     t = F.col("_text")
@@ -200,38 +239,7 @@ def parse_logs(logs: DataFrame) -> DataFrame:
             "device_class": device_class(t, F.col("steps"), F.col("test_mode")),
         }
     )
-    clock = F.timestamp_diff("MILLISECOND", F.col("start_time"), F.col("end_time")) / 1000.0
-    return timed.select(
-        run_id(F.col("run_folder")).alias("unit_id"),
-        "serial_number",
-        "product_code",
-        "lot_id",
-        "op_id",
-        "station_id",
-        "host",
-        "start_time",
-        "end_time",
-        "end_time_raw",
-        F.coalesce(clock, F.col("step_duration_s")).alias("duration_s"),
-        F.when(clock.isNotNull(), "clock").otherwise("steps").alias("duration_basis"),
-        "step_duration_s",
-        "total_test_time_s",
-        "result",
-        "has_done_block",
-        "error_code",
-        "error_message",
-        "failing_step",
-        "steps",
-        F.array("file_name").alias("source_files"),
-        "run_folder",
-        "tp_name",
-        "tp_version",
-        "test_mode",
-        "device_class",
-        failure_snippet(*[F.col(c) for c in ("result", "failing_step", "error_code", "error_message")]).alias(
-            "ftrunner_snippet"
-        ),
-    )
+    return run_columns(timed)
 
 
 def one_log_per_folder(runs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.kv import DONE_HEADER, SCAN_HEADER
 from ..functions.redaction import redact
 from ..functions.text import cap
-from ..plans import parse
+from ..plans import parse, parse_lines
+from ..session import stored
 from ..sources import proxies
 from .registry import query
 from .sql import RUNS
@@ -103,3 +104,26 @@ def masked_snippets(spark, sf_dir):
     return parsed(spark, sf_dir).select(
         "unit_id", cap(redact(F.col("ftrunner_snippet"), keep_serial=True), 2000).alias("snippet")
     )
+
+
+# The same logs parsed line by line in blocks of a few lines.
+def log_lines(spark, sf_dir):
+    return stored(parse_lines.lines_of(proxies.logs(spark, sf_dir), block_lines=9), "lines")
+
+
+LINE_COLUMNS = list(dict.fromkeys(f"{IDENTITY}, {TIMES}, {VERDICT}".split(", ")))
+
+
+@query("parse_large_logs", f"WITH {LOGGED} SELECT {', '.join(LINE_COLUMNS)} FROM parsed")
+def parse_large_logs(spark, sf_dir):
+    return parse_lines.parse_lines(log_lines(spark, sf_dir))[0].select(*LINE_COLUMNS)
+
+
+@query(
+    "parse_large_log_steps",
+    f"""WITH {LOGGED} SELECT unit_id, CAST(1 AS BIGINT) AS step_no, 'PowerTest' AS name,
+      CASE WHEN e % 9 < 3 THEN 'PASS' ELSE 'UNKNOWN' END AS result, CAST(e % 3000 AS DOUBLE) AS duration_s FROM parsed WHERE e % 9 <> 8
+    UNION ALL SELECT unit_id, CASE WHEN e % 9 = 8 THEN 1 ELSE 2 END, 'Thermal Test', result, 7e0 FROM parsed""",
+)
+def parse_large_log_steps(spark, sf_dir):
+    return parse_lines.parse_lines(log_lines(spark, sf_dir))[1].drop("run_folder")

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from logyield.plans import artifact, ingest
+from logyield.plans import artifact, ingest, parse, parse_lines
 from logyield.sources import archives, batches, folders, paths
 from logyield.streaming import jobs
 
@@ -59,6 +59,47 @@ def test_ingest_folder(spark, batch):
     assert {r.run_folder for r in warnings.collect()} == {"day/run3", "day/run6"}
 
 
+def test_large_logs_are_read_in_splits(spark, tmp_path):
+    """The same folder parsed as whole texts and as lines of many small splits."""
+    stamp = "[2025-11-28 09:{:02d}:{:02d} INF] "
+    for n in range(3):
+        body = "".join(
+            f"{stamp.format(i % 60, n)}***Step{i} test start.***\n{'noise ' * 20}\n"
+            f"{'Test failed.' if i == 30 + n else 'TEST PASSED' if i % 2 else 'value'}\n"
+            + (f"***Step{i} test end.***\nTest time(hh\\mm\\ss): 00:00:{i:02d}\n" if i % 3 else "")
+            for i in range(60)
+        )
+        head = f"{stamp.format(0, 0)}scan file content:\n\nSERIALNUMBER=SN{n}\nPRODUCTCODE=K\nPRODUCTCODE=K{n}\n\ntestmode: APSE\r\n"
+        tail = f"{stamp.format(59, 59)}done file content:\nResult=FAIL\nErrorcode=E{n}\n" if n else ""
+        put(tmp_path, f"day/run{n}/ftrunnerlog01.txt", head + body + tail)
+    put(tmp_path, "day/run0/ftrunnerlog00.txt", "small\n")
+    root, old = str(tmp_path), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        lines = parse_lines.read_log_lines(spark, root, at_least=1000)
+        assert lines.select("block").distinct().count() > 5
+        runs, steps = parse_lines.parse_lines(lines)
+        got_steps = {(r.unit_id, r.step_no): (r.name, r.result, r.duration_s) for r in steps.collect()}
+        got = {r.run_folder: r for r in runs.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    logs = folders.read_logs(spark, root).filter("file_name = 'ftrunnerlog01.txt'")
+    whole = parse.parse_logs(logs)
+    want_steps = {(r.unit_id, r.step_no): (r.name, r.result, r.duration_s) for r in parse.steps_table(whole).collect()}
+    want = {r.run_folder: r for r in whole.collect()}
+    assert got_steps == want_steps and len(want_steps) == 180
+    assert set(got) == set(want)
+    for folder, row in want.items():
+        for column in whole.columns:
+            if column != "steps":
+                assert got[folder][column] == row[column], (folder, column)
+    # Together: the first log by name wins, whichever way it was read.
+    merged, _ = ingest.ingest_folder(spark, root, row_bytes=1000)
+    assert {r.run_folder: r.source_files for r in merged.collect()} == {
+        "day/run0": ["ftrunnerlog00.txt"], "day/run1": ["ftrunnerlog01.txt"], "day/run2": ["ftrunnerlog01.txt"],
+    }
+
+
 def test_listing_without_content(spark, batch):
     plan = folders.list_files(spark, batch)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
