@@ -13,13 +13,13 @@ from .skew import salted_lookup
 # Share of the average passing duration, and its lower bound in seconds.
 ABORT_FACTOR = 0.05
 ABORT_FLOOR_S = 5.0
-KEYS = ("_product", "_op")
+KEYS = ("product_key", "op_key")
 
 
 def _keyed(runs: DataFrame) -> DataFrame:
     empty = F.lit("")
     return runs.withColumns(
-        {"_product": F.coalesce(present("product_code"), empty), "_op": F.coalesce(present("op_id"), empty)}
+        {"product_key": F.coalesce(present("product_code"), empty), "op_key": F.coalesce(present("op_id"), empty)}
     )
 
 
@@ -39,7 +39,7 @@ def abort_thresholds(runs: DataFrame) -> DataFrame:
     total = F.sum(F.col("total_test_time_s").cast("decimal(18,6)")).cast("double")
     return passes.groupBy(*KEYS).agg(
         F.greatest(F.lit(ABORT_FLOOR_S), total / F.count(F.lit(1)) * ABORT_FACTOR).alias("threshold_s"),
-        F.count(F.lit(1)).alias("reference_runs"),
+        F.count(F.lit(1)).alias("passes"),
     )
 
 

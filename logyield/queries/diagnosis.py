@@ -25,10 +25,10 @@ def now():
 # --- abort thresholds ---------------------------------------------------------
 THRESHOLDS = f"""WITH {RUNS}, thresholds AS (SELECT coalesce(product_code, '') AS product, coalesce(op_id, '') AS op,
   greatest(5e0, CAST(sum(CAST(total_test_time_s AS DECIMAL(18, 6))) AS DOUBLE) / count(*) * 0.05e0) AS threshold_s,
-  count(*) AS reference_runs FROM runs WHERE upper(test_mode) = 'APSE' AND has_done_block AND result = 'PASS' GROUP BY 1, 2)"""
+  count(*) AS passes FROM runs WHERE upper(test_mode) = 'APSE' AND has_done_block AND result = 'PASS' GROUP BY 1, 2)"""
 
 
-@query("abort_thresholds", f"{THRESHOLDS} SELECT product AS _product, op AS _op, threshold_s, reference_runs FROM thresholds")
+@query("abort_thresholds", f"{THRESHOLDS} SELECT product AS product_key, op AS op_key, threshold_s, passes FROM thresholds")
 def abort_thresholds(spark, sf_dir):
     return thresholds.abort_thresholds(proxies.runs(spark, sf_dir))
 
