@@ -20,7 +20,11 @@ DAY_SCHEMA = "date string, pass bigint, fail bigint, micro_batch bigint"
 
 
 def log_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """Run logs appearing below ``root`` as (run_folder, file_name, text)."""
+    """Run logs appearing below ``root`` as (run_folder, file_name, text).
+
+    Logs too large for one row are not opened here; ``ingest_large_logs`` reads
+    them in batch.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema(LOG_FILE_SCHEMA)
@@ -30,7 +34,7 @@ def log_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataF
         .load(root)
     )
     rel = folders.relative_path(F.col("path"), root)
-    logs = files.select(
+    logs = files.filter(F.col("length") < folders.ROW_BYTES).select(
         folders.folder_of(rel).alias("run_folder"),
         folders.name_of(rel).alias("file_name"),
         folders.decoded(F.col("content")).alias("text"),
