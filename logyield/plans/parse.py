@@ -148,8 +148,8 @@ def trimmed_lot(stated: Column) -> Column:
     return or_null(F.regexp_replace(strip(stated), "[;,]+$", ""))
 
 
-def lot_id(text: Column, folder: Column) -> Column:
-    stated = F.coalesce(found(text, LOT_ID), found(text, LOT_ID_LOOSE))
+def lot_id(stated: Column, folder: Column) -> Column:
+    """The lot named in the log, else the known prefix of the folder's name."""
     base = F.element_at(F.split(folder, "/"), -1)
     return F.when(stated.isNotNull(), trimmed_lot(stated)).otherwise(found(base, LOT_FOLDER))
 
@@ -218,12 +218,12 @@ def parse_logs(logs: DataFrame) -> DataFrame:
             ),
             "failing_step": or_null(failing),
             "test_mode": found(t, TEST_MODE),
-            "lot_id": lot_id(t, F.col("run_folder")),
+            "_lot": F.coalesce(found(t, LOT_ID), found(t, LOT_ID_LOOSE)),
             "total_test_time_s": found(t, TOTAL_TIME).try_cast("double"),
-            "_start": compact_timestamp(found(t, START_TIME)),
-            "_end": compact_timestamp(found(t, END_TIME)),
-            "_first": stamp(found(t, FIRST_STAMP)),
-            "_last": stamp(found(t, LAST_STAMP)),
+            "_start": found(t, START_TIME),
+            "_end": found(t, END_TIME),
+            "_first": found(t, FIRST_STAMP),
+            "_last": found(t, LAST_STAMP),
             "end_time_raw": done_end,
             "step_duration_s": F.round(
                 F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + s["duration_s"]), 3
@@ -232,9 +232,10 @@ def parse_logs(logs: DataFrame) -> DataFrame:
     )
     timed = fields.withColumns(
         {
-            "start_time": F.coalesce("_start", "_first"),
+            "start_time": F.coalesce(compact_timestamp(F.col("_start")), stamp(F.col("_first"))),
+            "lot_id": lot_id(F.col("_lot"), F.col("run_folder")),
             "end_time": F.when(F.col("end_time_raw").isNotNull(), compact_timestamp(F.col("end_time_raw"))).otherwise(
-                F.coalesce("_end", "_last")
+                F.coalesce(compact_timestamp(F.col("_end")), stamp(F.col("_last")))
             ),
             "device_class": device_class(t, F.col("steps"), F.col("test_mode")),
         }
