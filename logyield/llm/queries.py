@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, urls
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -22,3 +22,30 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(documents, tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+#: host, path, verdict of the rules asked for.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+OP10_SQL = r"""
+WITH judged AS (
+  SELECT page_id, url, row_number() OVER () AS n,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+hits AS (
+  SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM judged JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM judged LEFT JOIN hits USING (n)
+"""
+
+
+@query("op10_url_rules", OP10_SQL)
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA)
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
