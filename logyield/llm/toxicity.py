@@ -29,12 +29,17 @@ BIAS = BUCKETS
 
 @dataclass(frozen=True)
 class Params:
+    """``least_texts``: in how many training texts a coordinate must occur to be learnt at all (a feature that a
+    few texts own would only learn those texts by heart). ``toxic_weight``: how often a toxic example counts."""
+
     most_rows: int = 12_000
     epochs: int = 4
-    alpha: float = 0.1
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 8.0
     l2: float = 1.0
+    least_texts: int = 8
+    toxic_weight: float = 2.0
     threshold: float = 0.3
 
 
@@ -77,6 +82,7 @@ class Ftrl:
         at = np.append(at, BIAS)
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g *= self.params.toxic_weight if label else 1.0
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.params.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
@@ -94,6 +100,11 @@ def fit(rows: DataFrame, params: Params = Params()) -> tuple[np.ndarray, np.ndar
                 found = (x.astype(np.int32) for x in distinct_features(texts[low:high]))
                 examples.extend(zip((mix_id(i) for i in ids[low:high]), found, labels[low:high]))
         model = Ftrl(params)
+        texts_with = np.zeros(BUCKETS, np.int64)
+        for _, at, _ in examples:
+            texts_with[at] += 1
+        common = texts_with >= params.least_texts
+        examples = [(key, at[common[at]], label) for key, at, label in examples]
         for epoch in range(params.epochs):
             for _, at, label in sorted(examples, key=lambda e: (e[0] ^ (epoch * FACTOR)) % (1 << 61)):
                 model.learn(at, label)
