@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, rules, toxicity, urls
+from . import decontaminate, packing, quality, rules, toxicity, urls
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -64,3 +65,41 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP1_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_tokens AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item_tokens WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM wanted),
+grams AS (
+  SELECT n, size, i, array_to_string(w[i : i + size - 1], ' ') AS gram
+  FROM (SELECT n, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM tokens, sizes WHERE len(w) >= size)),
+hits AS (SELECT n, i, item_id, size FROM grams JOIN wanted USING (size, gram)),
+hit_words AS (
+  SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS p FROM hits) GROUP BY n),
+hit_items AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM tokens LEFT JOIN hit_words USING (n) LEFT JOIN hit_items USING (n)
+"""
+
+
+@query("op1_benchmark_decontamination", OP1_SQL)
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.report(index, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256",
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
