@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, rules, toxicity, urls
+from . import decontaminate, jaccard, packing, quality, rules, toxicity, urls
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -103,3 +103,8 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256",
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
