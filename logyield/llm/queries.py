@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, rules, suffix, toxicity, urls
+from . import decontaminate, html, jaccard, packing, quality, rules, suffix, toxicity, urls, warc
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -113,3 +113,30 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits FROM pages),
+digests AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda g: substr(
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda b:
+        CAST(substr(bits, CAST(5 * g + b + 1 AS INTEGER), 1) AS INTEGER) * CAST(power(2, 4 - b) AS INTEGER))) AS INTEGER), 1)), '')
+    AS payload_digest FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM digests)
+"""
+
+
+@query("op2_warc_round_trip", OP2_SQL)
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
