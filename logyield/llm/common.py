@@ -204,3 +204,55 @@ def summed_vectors(parts: DataFrame, groups: int = 32) -> DataFrame:
     lots = parts.withColumn("lot", F.pmod(F.xxhash64("values"), F.lit(groups)))
     some = lots.groupBy("block", "lot").applyInArrow(by_lot, "block int, values binary")
     return some.groupBy("block").applyInArrow(add, "block int, values binary")
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Bit tables: which rows may have one of many keys, without shuffling the others
+# ---------------------------------------------------------------------------------------------------------------
+
+TABLE_BITS = 22
+
+
+class BitTable:
+    """2 ** ``TABLE_BITS`` bits, one per leading bits of a 64-bit hash; of fixed size, so always fit for broadcast.
+
+    A clear bit proves that no key has the hash. The more keys, the more other rows share their bits: with very many
+    keys every row may have one, which costs a larger shuffle and changes no result.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> BitTable:
+        """The table of the (long) hashes in ``column``."""
+        slot = F.shiftrightunsigned(column, 64 - TABLE_BITS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+        found = keys.select(F.shiftright(slot, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(1 << (TABLE_BITS - 6), np.int64)  # as many rows at most
+        words[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        return cls(words.view(np.uint64))
+
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """(rows that surely have no key, rows that may have one)."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def only(wanted: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    hashes = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
+                    yield batch.filter(pa.array(shared.value.may_have(hashes.astype(np.int64)) == wanted))
+
+            return run
+
+        return df.mapInArrow(only(False), df.schema), df.mapInArrow(only(True), df.schema)
+
+
+def without(df: DataFrame, dropped: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose hash in ``column`` is not in ``dropped`` (distinct hashes); only suspects are shuffled."""
+    kept, suspects = BitTable.of(dropped, column).split(df, column)
+    return kept.unionByName(suspects.join(dropped.select(column), column, "left_anti").select(*df.columns))

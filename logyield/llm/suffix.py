@@ -42,12 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BYTE_VALUES, FACTOR, FACTOR_INVERSE, aggregate_salted, joined, kept_table, mix, powers, salt_of, shuffle_width, slices, texts_of,
+    BYTE_VALUES, FACTOR, FACTOR_INVERSE, BitTable, aggregate_salted, joined, kept_table, mix, powers, salt_of, shuffle_width, slices, texts_of,
 )
 
 LENGTH = 50
 SHARD_BYTES = 1 << 20
-COPY_BITS = 24
 HOT_TEXTS = 4096
 BUCKET_BYTES = 1_200_000
 PIECE = 1 << 16
@@ -343,41 +342,20 @@ def text_rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def _digest_slot():
-    return F.conv(F.substring("digest", 1, COPY_BITS // 4), 16, 10).cast("long")
-
-
 def distinct_texts(documents: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """shard, ids, digests, sizes and body (compressed bytes) — every distinct text of an id and enough bytes (stored)."""
-    spark = documents.sparkSession
+    hashed = F.xxhash64("digest").alias("hash")
     twice = (
         rows.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
-        .groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-        .select(_digest_slot().alias("slot")).select(F.shiftright("slot", 6).alias("w"), F.pmod("slot", F.lit(64)).cast("int").alias("b"))
-        .groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits")).toArrow()
-    )  # fmt: skip  # at most 2 ** (COPY_BITS - 6) rows
-    table = np.zeros(1 << (COPY_BITS - 6), np.int64)
-    table[twice.column("w").to_numpy()] = twice.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    def maybe_copies(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                slot = batch.column(3).to_numpy().astype(np.uint64)
-                bit = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                yield batch.filter(pa.array(bit.astype(bool) == wanted)).select([0, 1, 2])
-
-        return run
-
+        .groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(hashed)
+    )
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     long_enough = (
         documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("body"))
-        .withColumn("slot", _digest_slot())
+        .select("*", hashed)
     )
-    schema = "doc_id long, digest string, body binary"
-    singles = long_enough.mapInArrow(maybe_copies(False), schema)
-    copied = long_enough.mapInArrow(maybe_copies(True), schema)
+    singles, copied = BitTable.of(twice, "hash").split(long_enough, "hash")
     once = copied.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("body").alias("body"))
 
     def pack(salt: int):
@@ -582,7 +560,8 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def cleaned(shards: DataFrame, marked: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """digest, least_id, spans (removed [start, end) of the text), kept_sha256 and, if asked for, the kept text."""
+    """digest, least_id, spans (removed [start, end) of the text's bytes), kept_sha256 and, if asked for and anything
+    goes, the kept text (characters that were cut through are dropped)."""
     lists = marked.groupBy("shard").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -605,10 +584,10 @@ def cleaned(shards: DataFrame, marked: DataFrame, length: int, with_text: bool)
                 for k, text in enumerate(texts):
                     a, b = bounds[k], bounds[k + 1]
                     own = list(zip((low[a:b] - text_starts[k]).tolist(), (high[a:b] - text_starts[k]).tolist()))
-                    left = kept_bytes(text, own)
+                    left = kept_bytes(text, own) if own else text
                     spans.append([{"start": x, "end": y} for x, y in own])
                     digests.append(hashlib.sha256(left).hexdigest())
-                    kept.append(left.decode("utf-8", "ignore") if with_text else None)
+                    kept.append(left.decode("utf-8", "ignore") if with_text and own else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index("digests"))[row].values, pa.array(ids, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(digests),
@@ -652,3 +631,34 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         F.when(copy, F.lit(1)).when(source, F.col("spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
         F.when(copy, F.lit(EMPTY_SHA256)).when(source, F.col("kept_sha256")).otherwise(F.col("sha256")).alias("kept_sha256"),
     )
+
+
+def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``documents`` with the repeated passages cut out of ``text`` and ``n_chars`` counted anew, if there is such a column.
+
+    Rows of which nothing is left go. Rows that keep everything are not shuffled.
+    """
+    rows, texts = repeated_passages(documents, length, with_text=True)
+    hashed = F.xxhash64("digest").alias("_hash")
+    copies = (
+        rows.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
+        .groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    )
+    touched = texts.where(F.size("spans") > 0).select("digest").union(copies).distinct()
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    marked = documents.withColumn("_digest", F.md5(text)).withColumn("_hash", F.xxhash64("_digest"))
+    same, others = BitTable.of(touched.select(hashed), "_hash").split(marked, "_hash")
+    salted = others.withColumn("_salt", salt_of("doc_id"))
+    salts = aggregate_salted(salted.select("_digest", "doc_id"), ["_digest"], ["doc_id"], {"n": F.count("*")}, {"n": F.sum("n")})
+    found = texts.join(touched, "digest", "left_semi").select(
+        F.col("digest").alias("_digest"), "least_id", "kept_text", (F.size("spans") > 0).alias("cut")
+    )
+    found = found.join(salts.select("_digest", "_salt"), "_digest")
+    both = salted.join(found, ["_digest", "_salt"], "left")
+    known = F.col("least_id").isNotNull() & F.col("doc_id").isNotNull()
+    copy = known & (F.col("doc_id").cast("long") > F.col("least_id"))
+    own = known & F.coalesce("cut", F.lit(False))
+    both = both.withColumn("text", F.when(copy, F.lit("")).when(own, F.col("kept_text")).otherwise(F.col("text")))
+    both = both.where(~((copy | own) & (F.col("text") == "")))
+    out = same.select(*documents.columns).unionByName(both.select(*documents.columns))
+    return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

@@ -29,7 +29,6 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +36,9 @@ from pyspark.sql import functions as F
 
 from logyield.session import new_table_path
 
-from .common import aggregate_salted, salt_of, texts_of
+from .common import BitTable, aggregate_salted, salt_of, texts_of
 
 CHUNK_BYTES = 64 << 10
-COPY_BITS = 22
 VERSION = b"WARC/1.0"
 END = b"\r\n\r\n"
 BETWEEN = END + VERSION + b"\r\n"
@@ -130,34 +128,12 @@ def merged(run, most_bytes: int = 4 << 20):
 
 def classified(chunks: DataFrame, kind: str, least_bytes: int) -> DataFrame:
     """``chunks`` with refers_page and refers_record (null for responses); ``kind``: the page id's own type."""
-    spark = chunks.sparkSession
-    slot = F.conv(F.md5(F.col("payload_digest").cast("binary")).substr(1, 6), 16, 10).cast("long")
-    slot = F.shiftright(slot, 24 - COPY_BITS)
+    hashed = F.xxhash64("payload_digest").alias("hash")
     heads = chunks.where("chunk = 0").where(F.col("payload_bytes") >= least_bytes).select(
-        "payload_digest", "payload_bytes", "record_id", F.col("page_id").cast(kind).alias("id"), slot.alias("slot")
+        "payload_digest", "payload_bytes", "record_id", F.col("page_id").cast(kind).alias("id")
     )
-    words = (
-        heads.groupBy("payload_digest", "slot").agg(F.count("*").alias("n")).where("n > 1")
-        .select(F.shiftright("slot", 6).alias("w"), F.pmod("slot", F.lit(64)).cast("int").alias("b"))
-        .groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits")).toArrow()
-    )  # fmt: skip  # at most 2 ** (COPY_BITS - 6) rows
-    table = np.zeros(1 << (COPY_BITS - 6), np.int64)
-    table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    def maybe_copies(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                slot = batch.column(batch.num_columns - 1).to_numpy().astype(np.uint64)
-                bit = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                some = batch.filter(pa.array(bit.astype(bool) == wanted))
-                yield some.select(range(batch.num_columns - 1))
-
-        return run
-
-    slotted = chunks.withColumn("_slot", slot)
-    alone = slotted.mapInArrow(maybe_copies(False), CHUNKS)
-    copies = slotted.mapInArrow(maybe_copies(True), CHUNKS)
+    twice = heads.groupBy("payload_digest").agg(F.count("*").alias("n")).where("n > 1").select(hashed)
+    alone, copies = BitTable.of(twice, "hash").split(chunks.select("*", hashed), "hash")
     largest = F.struct(F.col("id").isNotNull().alias("real"), "id", "record_id")
     winners = aggregate_salted(
         heads, ["payload_digest", "payload_bytes"], ["record_id"],
