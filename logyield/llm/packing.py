@@ -95,8 +95,9 @@ class UnitTokenizer:
         self.bounds = np.zeros(1 << 17, np.int64)  # unit k has ids[bounds[k]:bounds[k + 1]]
 
     def _learn(self, units: list[bytes], hashes: list[int]) -> None:
-        """Encodes new units: those that start with a blank side by side, as one text, the others and long ones singly."""
-        easy = [BLANK[u[0]] and len(u) <= LONG_UNIT for u in units]
+        """Encodes new units: those that start, but do not end, with a blank side by side, as one text; the others (first
+        words, blanks at a text's end) and long ones singly."""
+        easy = [BLANK[u[0]] and not BLANK[u[-1]] and len(u) <= LONG_UNIT for u in units]
         side_by_side = [k for k, e in enumerate(easy) if e]
         alone = [k for k, e in enumerate(easy) if not e]
         order = np.array(side_by_side + alone, np.int64)
@@ -235,7 +236,7 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[Pattern]:
         while counts[size]:
             room = capacity - size
             counts[size] -= 1  # the current item itself is not a candidate
-            fitting = lengths(min(room, size))
+            fitting = lengths(room)  # longer ones too, if they could not be fixed
             counts[size] += 1
             if not len(fitting):
                 fixed.append((((size, 1),), int(counts[size])))
@@ -253,15 +254,13 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 def _single_dominates(counts: np.ndarray, size: int, best: int, room: int, fitting: np.ndarray) -> bool:
     """Whether {size, best} dominates: at most two items fit beside ``size``, and no two exceed ``best``."""
-    left = counts[fitting].copy()
-    if fitting[-1] == size:
-        left[-1] -= 1
+    left = counts[fitting] - (fitting == size)
     smallest = np.repeat(fitting, np.minimum(left, 3))[:3]
     if len(smallest) >= 3 and smallest.sum() <= room:
         return False
     if len(smallest) < 2 or smallest[:2].sum() > room:
         return True
-    for k, a in enumerate(fitting):  # the longest pair that fits
+    for k, a in enumerate(fitting):  # every pair that fits, by its longer item
         others = fitting[: np.searchsorted(fitting, room - a, side="right")]
         others = others[others <= a]
         if len(others) and others[-1] == a and left[k] < 2:
