@@ -10,13 +10,16 @@ one shingle. Texts with equal sets form a *class*, and everything below works on
    buckets; all sets that share one join the *group* named after the smallest of them, so shingles of the same texts
    name the same group. Common shingles carry their group's name with them and need not meet. Every pair that can link
    is in some group, and groups are far fewer than pairs.
-3. **Trie join.** A group is cut into blocks of at most ``BLOCK`` sets (and ``BLOCK_SHINGLES`` shingles); each pair of
+3. **Parity filter.** Most members of a group only share a passage. Before any set travels, members bring a parity map: a
+   set's shingles hashed to about four bits each, every hit flipping its bit. Two sets differ in at least as many
+   shingles as their maps differ in bits, so members without a partner of fitting size and map cannot link and leave.
+4. **Trie join.** A group is cut into blocks of at most ``BLOCK`` sets (and ``BLOCK_SHINGLES`` shingles); each pair of
    blocks is one task's work, so a group of any size is spread out. In it the sets of one block are stored as a prefix
    tree in one order of their shared shingles, frequent ones first, so that sets with a common beginning share its
    nodes. The sets of the other block walk down the tree side by side; a node's overlap is counted once for all sets
    below it. A subtree is left as soon as overlap so far + what can still come (the rest of the walking set, the longest
    rest below) cannot reach the overlap that the sizes ask for.
-4. **Components.** A task returns a spanning forest of the links it found, not all of them. Components follow by
+5. **Components.** A task returns a spanning forest of the links it found, not all of them. Components follow by
    alternating large-star and small-star steps on the stored links, with hot centres salted.
 
 Null and empty texts, and texts without words, have the empty set, link with nothing and are their own component.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    FACTOR, LOWERED, NOT_BLANK, aggregate_salted, joined, kept_table, mix, salt_of, sequence_hashes, shuffle_width, signed,
+    FACTOR, LOWERED, NOT_BLANK, BitTable, aggregate_salted, joined, kept_table, mix, salt_of, sequence_hashes, shuffle_width, signed,
     slices, span_hashes, texts_of, word_spans,
 )
 
@@ -44,10 +47,10 @@ COMMON_TEXTS = 64
 LOT_SHINGLES = 1 << 21
 BUCKET_SHINGLES = 1 << 20
 BLOCK = 512
+FILTER_BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 #: Cells of the matrix (walking sets x shared shingles) held at once.
 CELLS = 1 << 23
-CANDIDATE_BITS = 22
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -105,22 +108,28 @@ def lots(batches: Iterator[pa.RecordBatch], distinct: bool = True) -> Iterator[t
         yield np.array(keys, np.int64), sets
 
 
+def row_hash(documents: DataFrame):
+    """64-bit hash of a whole row: equal only for repeated rows."""
+    return F.xxhash64(*documents.columns)
+
+
 def text_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and class key (null for the empty set) of every row (stored)."""
+    """row_key, doc_id, n_shingles and class key (null for the empty set) of every row (stored)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(batch.schema.get_field_index("doc_id")), texts_of(batch)
+            keys, ids, texts = batch.column(0), batch.column(1), texts_of(batch)
             for low, high in slices(texts):
                 sets = shingle_sets(texts[low:high])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()),
+                    [keys.slice(low, high - low), ids.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([class_key(s) if len(s) else None for s in sets], pa.int64())],
-                    ["doc_id", "n_shingles", "class_key"],
+                    ["row_key", "doc_id", "n_shingles", "class_key"],
                 )
 
-    return kept_table(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class_key long"), "classes")
+    rows = documents.select(row_hash(documents).alias("row_key"), "doc_id", "text")
+    return kept_table(rows.mapInArrow(run, f"row_key long, doc_id {kind}, n_shingles long, class_key long"), "classes")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -252,37 +261,96 @@ def groups(documents: DataFrame, buckets: int) -> DataFrame:
     return kept_table(met.distinct(), "groups")
 
 
-def candidate_sets(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """class_key, n and set (bytes) of every class in ``members`` (column member), and of a few others (stored).
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """A power of two of bits, at least four per shingle (and 64 in all), each the parity of its hits; as 64-bit words."""
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    hits = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(hits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def with_partners(sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """Which sets have another one that they might link with, as sizes and parity maps tell.
+
+    Linking sets x, y have 7 |x & y| >= 3 (|x| + |y|), so they differ in at most (|x| + |y|) / 7 shingles.
+    """
+    order = np.argsort(sizes, kind="stable")
+    out = np.zeros(len(sizes), bool)
+    width = np.array([len(m) for m in maps])[order]
+    ordered = sizes[order]
+    stacks = {w: np.stack([maps[i] for i in order[width == w]]) for w in np.unique(width).tolist()}
+    first = {w: int(np.flatnonzero(width == w)[0]) for w in stacks}  # maps of one width are neighbours by size
+    halves = {w // 2: stack[:, : w // 2] ^ stack[:, w // 2 :] for w, stack in stacks.items() if w > 1}
+    for i, w in enumerate(width.tolist()):
+        last = int(np.searchsorted(ordered, ordered[i] * 4 // 3, side="right"))  # sizes up to 4/3 of the own one
+        own = stacks[w][i - first[w]]
+        for stack, begin in ((stacks[w], first[w]), (halves.get(w), first.get(2 * w, 0))):
+            if stack is None:
+                continue
+            low, high = max(i + 1, begin), min(last, begin + len(stack))
+            if low < high:
+                differs = np.bitwise_count(stack[low - begin : high - begin] ^ own).sum(axis=1, dtype=np.int64)
+                fits = np.flatnonzero(7 * differs <= ordered[low:high] + ordered[i])
+                if len(fits):
+                    out[order[i]] = True
+                    out[order[low + fits]] = True
+    return out
+
+
+def candidates(documents: DataFrame, members: DataFrame, parity: bool) -> DataFrame:
+    """member, n and data (set, or its parity map) of every class in ``members``, and of a few others (stored).
 
     Classes are told apart from the rest by a bit table of a fixed size: a set bit may be another class's, which only
     costs a little more shuffle.
     """
-    slot = F.shiftrightunsigned("member", 64 - CANDIDATE_BITS)
-    words = (
-        members.select(F.shiftright(slot, 6).alias("w"), F.pmod(slot, F.lit(64)).cast("int").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits"))
-    )
-    table = np.zeros(1 << (CANDIDATE_BITS - 6), np.int64)
-    found = words.toArrow()  # at most 2 ** (CANDIDATE_BITS - 6) rows
-    table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
-    shared = documents.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    shared = documents.sparkSession.sparkContext.broadcast(BitTable.of(members, "member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in lots(batches):
-            slot = keys.view(np.uint64) >> np.uint64(64 - CANDIDATE_BITS)
-            hit = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-            some = np.flatnonzero(hit)
+            some = np.flatnonzero(shared.value.may_have(keys))
+            data = [(parity_map(sets[i]) if parity else sets[i]).tobytes() for i in some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[some]), pa.array([len(sets[i]) for i in some], pa.int64()),
-                 pa.array([sets[i].tobytes() for i in some], pa.binary())],
-                ["class_key", "n", "shingles"],
-            )
+                [pa.array(keys[some]), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array(data, pa.binary())],
+                ["member", "n", "data"],
+            )
+
+    found = documents.select("text").mapInArrow(run, "member long, n long, data binary")
+    once = found.groupBy("member").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    return kept_table(once, "candidates")
 
-    sets = documents.select("text").mapInArrow(run, "class_key long, n long, shingles binary")
-    once = sets.groupBy("class_key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    return kept_table(once, "sets")
+
+def dealt(found: DataFrame, data: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """Members with their data, dealt to block pairs: name, low, high (the pair), own (the member's block), member, n, data.
+
+    A group of m members makes ceil(m / block) blocks, so each member goes to that many pairs.
+    """
+    sized = found.join(data.select("member", "n"), "member")
+    whole = aggregate_salted(
+        sized, ["name"], ["member"],
+        {"m": F.count("*"), "s": F.sum("n")}, {"m": F.sum("m"), "s": F.sum("s")},
+    ).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("s") / block_shingles)).cast("int")
+    placed = (
+        found.withColumn("_salt", salt_of("member"))
+        .join(whole.select("name", "_salt", blocks.alias("blocks")), ["name", "_salt"])
+        .select("name", "member", "blocks", F.pmod(F.xxhash64("member", "name"), F.col("blocks")).cast("int").alias("own"))
+    )
+    rows = placed.join(data, "member").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(
+        "name", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "data"
+    )
+
+
+def survivors(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The (name, member) pairs that the parity filter leaves (stored)."""
+
+    def judge(rows: pa.Table) -> pa.Table:
+        maps = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
+        some = with_partners(rows.column("n").to_numpy(), maps)
+        return rows.select(["name", "member"]).filter(pa.array(some))
+
+    maps = dealt(found, candidates(documents, found, parity=True), FILTER_BLOCK, 16 * BLOCK_SHINGLES)
+    left = maps.groupBy("name", "low", "high").applyInArrow(judge, "name long, member long")
+    return kept_table(left.distinct(), "survivors")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -452,31 +520,17 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     width = shuffle_width(documents.sparkSession)
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     found = groups(documents, max(width, int(total // 4 // BUCKET_SHINGLES) + 1))
-    sets = candidate_sets(documents, found)
-    sized = found.join(sets.select(F.col("class_key").alias("member"), "n"), "member")
-    whole = aggregate_salted(
-        sized, ["name"], ["member"],
-        {"m": F.count("*"), "s": F.sum("n")}, {"m": F.sum("m"), "s": F.sum("s")},
-    ).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    placed = (
-        found.withColumn("_salt", salt_of("member"))
-        .join(whole.select("name", "_salt", blocks.alias("blocks")), ["name", "_salt"])
-        .select("name", "member", "blocks", F.pmod(F.xxhash64("member", "name"), F.col("blocks")).cast("int").alias("own"))
-    )
-    dealt = placed.join(sets.select(F.col("class_key").alias("member"), "shingles"), "member").select(
-        "name", "member", "own", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
+    left = survivors(documents, found)
+    pairs = dealt(left, candidates(documents, left, parity=False), BLOCK, BLOCK_SHINGLES)
 
     def join(rows: pa.Table) -> pa.Table:
         member = rows.column("member").to_numpy()
-        own, other = rows.column("own").to_numpy(), rows.column("other").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-        low = min(own[0], other[0])
-        if own[0] == other[0]:
+        own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
+        if low[0] == high[0]:
             a, b = trie_join(sets)
         else:
-            first, second = np.flatnonzero(own == low), np.flatnonzero(own != low)
+            first, second = np.flatnonzero(own == low[0]), np.flatnonzero(own != low[0])
             a, b = trie_join([sets[i] for i in first], [sets[i] for i in second])
             a, b = first[a], second[b]
         edges = forest(len(sets), a, b)
@@ -484,7 +538,6 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
             {"a": pa.array([member[x] for x, _ in edges], pa.int64()), "b": pa.array([member[y] for _, y in edges], pa.int64())}
         )
 
-    pairs = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     return kept_table(pairs.groupBy("name", "low", "high").applyInArrow(join, "a long, b long").distinct(), "links")
 
 
@@ -525,14 +578,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``documents`` (doc_id, text)."""
+    """row_key, doc_id, n_shingles, component_id and component_key (null: links with nothing) for every row of
+    ``documents`` (doc_id, text and any other columns)."""
     classes = text_classes(documents)
     roots = components(links(documents, classes))
     filled = classes.where(F.col("class_key").isNotNull())
     per_class = kept_table(
         aggregate_salted(
-            filled.withColumn("_doc", F.col("doc_id").cast("string")), ["class_key"], ["_doc"],
-            {"least": F.min("doc_id")}, {"least": F.min("least")},
+            filled, ["class_key"], ["row_key"], {"least": F.min("doc_id")}, {"least": F.min("least")},
         ), "class-ids",
     )
     one = per_class.groupBy("class_key").agg(F.min("least").alias("least"))
@@ -541,14 +594,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     of_node = (
         linked.withColumn("_salt", salt_of("node"))
         .join(named, ["root", "_salt"])
-        .select(F.col("node").alias("class_key"), "component")
+        .select(F.col("node").alias("class_key"), "root", "component")
     )
     per_class = per_class.join(of_node, "class_key", "left").select(
-        "class_key", "_salt", F.coalesce("component", "least").alias("component")
+        "class_key", "_salt", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"),
+        F.coalesce("root", "class_key").alias("component_key"),
     )
-    rows = classes.withColumn("_doc", F.col("doc_id").cast("string")).withColumn("_salt", salt_of("_doc")).drop("_doc")
+    rows = classes.withColumn("_salt", salt_of("row_key"))
     return rows.join(per_class, ["class_key", "_salt"], "left").select(
-        "doc_id", "n_shingles",
+        "row_key", "doc_id", "n_shingles",
         F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        "component_key",
     )
 
+
+def one_per_component(documents: DataFrame) -> DataFrame:
+    """``documents`` without the rows of a component but its first: the smallest id (a null id only if all are null),
+    then the smallest row hash; of repeated rows one stays. Rows with the empty set all stay."""
+    rows = kept_table(near_duplicates(documents).where("component_key IS NOT NULL"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    firsts = aggregate_salted(
+        rows, ["component_key"], ["row_key"],
+        {"best": F.min(rank), "n": F.count("*")}, {"best": F.min("best"), "n": F.sum("n")},
+    ).where("n > 1")
+    several = rows.withColumn("_salt", salt_of("row_key")).join(firsts, ["component_key", "_salt"])
+    judged = kept_table(
+        several.groupBy("row_key").agg(F.first(F.col("row_key") != F.col("best.row_key")).alias("drop"), F.count("*").alias("n")),
+        "judged-rows",
+    )
+    judged = judged.where("drop OR n > 1")
+    hashed = documents.withColumn("row_key", row_hash(documents))
+    kept, suspects = BitTable.of(judged, "row_key").split(hashed, "row_key")
+    suspects = suspects.join(judged, "row_key", "left")
+    single = suspects.where("drop IS NULL")
+    repeated = suspects.where("NOT drop").dropDuplicates(["row_key"])
+    return kept.unionByName(single.select(*hashed.columns)).unionByName(repeated.select(*hashed.columns)).drop("row_key")
