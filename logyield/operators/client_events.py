@@ -118,11 +118,26 @@ def scrubbed(context: Column, client: bool = False) -> Column:
     return _scrub_object(F.coalesce(context, F.lit("{}")), 0, client)
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON text with every character beyond printable ASCII as \\uXXXX, a pair of them beyond U+FFFF."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(char: Column) -> Column:
+        code = F.ascii(char)
+        high, low = code - 0x10000, F.lit(0xDC00)
+        pair = F.concat(unit(F.shiftright(high, 10) + 0xD800), unit(low + high.bitwiseAND(F.lit(0x3FF))))
+        return F.when(code > 0xFFFF, pair).when(code > 0x7E, unit(code)).otherwise(char)
+
+    chars = F.regexp_extract_all(json, F.lit("(?s)(.)"), 1)
+    return F.when(json.rlike("[^\\x00-\\x7e]"), F.array_join(F.transform(chars, escaped), "")).otherwise(json)
+
+
 def trimmed(context: Column, debug: bool = False) -> Column:
-    """A context that is too long becomes one ``details`` field with its beginning."""
+    """A context whose escaped form is too long becomes one ``details`` field with that form's beginning."""
     limit = MAX_CONTEXT_DEBUG if debug else MAX_CONTEXT
-    head = F.concat(F.substring(context, 1, limit), F.lit("..."))
-    return F.when(F.length(context) > limit, F.to_json(F.struct(head.alias("details")))).otherwise(context)
+    escaped = ascii_json(context)
+    head = F.concat(F.substring(escaped, 1, limit), F.lit("..."))
+    return F.when(F.length(escaped) > limit, F.to_json(F.struct(head.alias("details")))).otherwise(context)
 
 
 def _shown(text: Column, kind: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,15 +15,25 @@ from ..functions import signature as sig
 from ..functions.redaction import redact
 from ..operators import cache as cache_ops
 from ..operators.skew import salted_lookup
-from ..schema import FAIL
+from ..schema import FAIL, NO_ROOT_CAUSE, NO_SOLUTION
 from ..session import stored
 
-# A provider maps batches with signature, error_code, error_message and context
-# to batches with signature, root_cause, suggested_solution and source.
+# A provider maps batches with unit_id, signature, error_code, error_message and
+# context to batches with unit_id, root_cause, suggested_solution and source. A
+# request without an answer is marked; of several answers to one the least counts.
 Provider = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
-REQUEST = ("signature", "error_code", "error_message", "context")
-ANSWER = "signature string, root_cause string, suggested_solution string, source string"
+REQUEST = ("unit_id", "signature", "error_code", "error_message", "context")
+ANSWER = "unit_id string, root_cause string, suggested_solution string, source string"
+UNANSWERED = "error"
+
+
+class Diagnosis(NamedTuple):
+    """Runs with their diagnosis, the answers behind it, and the cache after the batch."""
+
+    runs: DataFrame
+    outcome: DataFrame
+    cache: DataFrame
 
 
 def prepare(
@@ -62,9 +74,14 @@ def representatives(prepared: DataFrame) -> DataFrame:
         F.min_by("unit_id", F.struct("start_time", "unit_id")).alias("unit_id"),
         F.count(F.lit(1)).alias("signature_runs"),
     )
-    return prepared.join(chosen.drop("signature"), "unit_id").select(
+    return requests(prepared.join(chosen.drop("signature"), "unit_id"), "signature_runs")
+
+
+def requests(prepared: DataFrame, *more: str) -> DataFrame:
+    """What a provider is asked about the given prepared runs, and what the cache keeps of them."""
+    return prepared.select(
         "signature",
-        "signature_runs",
+        *more,
         "unit_id",
         "error_code",
         F.col("redacted_message").alias("error_message"),
@@ -85,14 +102,26 @@ def stub_answer(work: DataFrame) -> dict[str, Column]:
 
 
 def answer(work: DataFrame, provider: Provider | None = None) -> DataFrame:
-    """Answers for the given requests; without a provider the fixed stub texts.
+    """One answer for every row of ``work`` (unique by unit_id); without a provider the fixed stub texts.
 
     Answers of a real provider are written to the shared folder at once, so a
     lost executor does not repeat calls that later steps have already used.
     """
     if provider is None:
-        return work.withColumns(stub_answer(work)).select("signature", "root_cause", "suggested_solution", "source")
-    return stored(work.select(*REQUEST).mapInPandas(provider, ANSWER), "answers")
+        return work.withColumns(stub_answer(work)).select("unit_id", "root_cause", "suggested_solution", "source")
+    given = stored(work.select(*REQUEST).mapInPandas(provider, ANSWER), "answers")
+    least = F.min(F.struct("source", "root_cause", "suggested_solution"))
+    one = given.groupBy("unit_id").agg(least.alias("a"))
+    return (
+        work.select("unit_id")
+        .join(one, "unit_id", "left")
+        .select(
+            "unit_id",
+            F.coalesce("a.root_cause", F.lit(NO_ROOT_CAUSE)).alias("root_cause"),
+            F.coalesce("a.suggested_solution", F.lit(NO_SOLUTION)).alias("suggested_solution"),
+            F.coalesce("a.source", F.lit(UNANSWERED)).alias("source"),
+        )
+    )
 
 
 def diagnose(firsts: DataFrame, cache: DataFrame, provider: Provider | None = None) -> DataFrame:
@@ -109,7 +138,7 @@ def diagnose(firsts: DataFrame, cache: DataFrame, provider: Provider | None = No
         return found.withColumns(known).select(*columns)
     known = found.filter("hit").withColumn("source", F.lit("local-cache"))
     work = cache_ops.misses(firsts, cache)
-    answered = work.join(answer(work, provider), "signature")
+    answered = work.join(answer(work, provider), "unit_id")
     return known.select(*columns).unionByName(answered.select(*columns))
 
 
@@ -117,7 +146,8 @@ def fan_out(prepared: DataFrame, outcome: DataFrame, min_rows: int = 100_000) ->
     """Give every failing run the answer of its signature.
 
     The first run carries the answer's own source; later ones say where theirs
-    was found. A signature shared by very many runs is joined in salted parts.
+    was found. A signature shared by very many runs, as ``signature_runs`` tells,
+    is joined in salted parts.
     """
     small = outcome.select(
         "signature",
@@ -127,9 +157,15 @@ def fan_out(prepared: DataFrame, outcome: DataFrame, min_rows: int = 100_000) ->
         F.col("unit_id").alias("_first"),
     )
     joined = salted_lookup(
-        prepared, small, ["signature"], spread=["unit_id"], how="inner", min_rows=min_rows
+        prepared,
+        small,
+        ["signature"],
+        spread=["unit_id"],
+        counted=outcome.select("signature", F.col("signature_runs").alias("_rows")),
+        min_rows=min_rows,
     )
-    later = F.when(F.col("_source") == "local-cache", "local-cache").otherwise("cached")
+    repeated = F.col("_source").isin("local-cache", UNANSWERED)
+    later = F.when(repeated, F.col("_source")).when(F.col("_source").isNotNull(), "cached").otherwise(UNANSWERED)
     return joined.withColumn(
         "analysis_source", F.when(F.col("unit_id") == F.col("_first"), F.col("_source")).otherwise(later)
     ).drop("_source", "_first")
@@ -151,6 +187,30 @@ def diagnose_failures(
     return fan_out(prepared, diagnose(representatives(prepared), cache, provider))
 
 
+def diagnose_batch(
+    runs: DataFrame,
+    cache: DataFrame,
+    now: Column,
+    provider: Provider | None = None,
+    provider_name: str = "offline_stub",
+    model_identity: dict[str, object] | None = None,
+) -> Diagnosis:
+    """The whole batch: diagnosed runs, one answer per signature, and the cache with hits touched and answers added."""
+    prepared = stored(prepare(runs, provider_name, model_identity), "prepared")
+    outcome = stored(diagnose(representatives(prepared), cache, provider), "outcome")
+    touched = cache_ops.touch(cache, outcome.filter(F.col("source") == "local-cache").select("cache_key"), now)
+    return Diagnosis(
+        fan_out(prepared, outcome),
+        outcome,
+        cache_ops.upsert(touched, cache_entries(outcome, provider_name, identity_text(provider_name, model_identity)), now),
+    )
+
+
+def identity_text(provider_name: str, model_identity: dict[str, object] | None) -> str:
+    """The model's identity as compact JSON with sorted names."""
+    return json.dumps(model_identity or {"provider": provider_name}, sort_keys=True, separators=(",", ":"))
+
+
 def cache_entries(
     outcome: DataFrame,
     provider_name: str = "offline_stub",
@@ -171,21 +231,33 @@ def cache_entries(
     )
 
 
+def forced_answers(prepared: DataFrame, unit_ids: Column, provider: Provider | None = None) -> DataFrame:
+    """Fresh answers, one per chosen run, past both caches. ``unit_ids`` is a predicate over the prepared runs."""
+    work = requests(prepared.filter(unit_ids))
+    return work.join(answer(work, provider), "unit_id")
+
+
 def reanalyze(
     diagnosed: DataFrame, prepared: DataFrame, unit_ids: Column, provider: Provider | None = None
 ) -> DataFrame:
-    """Fresh answers for chosen failing runs, past both caches, put back in place.
+    """Forced answers put back in place; other runs, and runs that did not fail, stay as they are."""
+    return splice(diagnosed, forced_answers(prepared, unit_ids, provider))
 
-    ``unit_ids`` is a predicate over the prepared runs. Other runs, and runs
-    that did not fail, stay as they are.
-    """
-    chosen = prepared.filter(unit_ids).select(
-        F.col("unit_id").alias("signature"),
-        "error_code",
-        F.col("redacted_message").alias("error_message"),
-        F.col("redacted_snippet").alias("context"),
-    )
-    return splice(diagnosed, answer(chosen, provider).withColumnRenamed("signature", "unit_id"))
+
+def reanalyze_batch(
+    diagnosed: DataFrame,
+    prepared: DataFrame,
+    unit_ids: Column,
+    cache: DataFrame,
+    now: Column,
+    provider: Provider | None = None,
+    provider_name: str = "offline_stub",
+    model_identity: dict[str, object] | None = None,
+) -> Diagnosis:
+    """Like :func:`reanalyze`, with the answers kept: a forced answer replaces the cache's entry for its key."""
+    forced = stored(forced_answers(prepared, unit_ids, provider), "forced")
+    fresh = cache_entries(forced, provider_name, identity_text(provider_name, model_identity))
+    return Diagnosis(splice(diagnosed, forced), forced, cache_ops.upsert(cache, fresh, now))
 
 
 def splice(diagnosed: DataFrame, updates: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def make_provider():
             answers = batch.assign(
                 root_cause=[str(uuid.uuid4()) for _ in range(len(batch))], suggested_solution=batch["context"], source="llm"
             )
-            yield answers[["signature", "root_cause", "suggested_solution", "source"]]
+            yield answers[["unit_id", "root_cause", "suggested_solution", "source"]]
 
     return provide
 
@@ -83,6 +83,46 @@ def test_reanalysis(spark):
     assert again["b"].analysis_source == "stub" and again["a"].suggested_solution == "snippet host=[REDACTED_HOST]"
 
 
+def test_no_failing_run_is_lost(spark):
+    def patchy(batches):
+        for batch in batches:
+            some = batch[batch["error_code"] == "E1"].assign(root_cause="b", suggested_solution="s", source="llm")
+            yield some[["unit_id", "root_cause", "suggested_solution", "source"]]
+            yield some.assign(root_cause="a")[["unit_id", "root_cause", "suggested_solution", "source"]]
+
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    batch = plan.diagnose_batch(runs(spark), empty_cache(spark), now, patchy)
+    rows = {r.unit_id: (r.root_cause, r.analysis_source) for r in batch.runs.collect()}
+    assert rows == {"a": ("a", "cached"), "b": ("a", "llm"), "c": ("No root cause returned.", "error")}
+    assert [r.root_cause for r in batch.cache.collect()] == ["a"]
+    again = plan.diagnose_batch(runs(spark), batch.cache, now, patchy)
+    assert {r.unit_id: r.analysis_source for r in again.runs.collect()} == {"a": "local-cache", "b": "local-cache", "c": "error"}
+    assert [(r.hit_count, r.last_used_at is not None) for r in again.cache.collect()] == [(1, True)]
+
+
+def test_forced_answers_are_kept(spark):
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    prepared = plan.prepare(runs(spark))
+    done = plan.diagnose_failures(runs(spark), empty_cache(spark))
+    batch = plan.reanalyze_batch(done, prepared, F.col("unit_id").isin("a", "b"), empty_cache(spark), now, provider)
+    got = {r.unit_id: r for r in batch.runs.collect()}
+    assert got["a"].analysis_source == got["b"].analysis_source == "llm" and got["c"].analysis_source == "stub"
+    # Two contexts of one signature are asked apart and kept apart.
+    assert got["a"].root_cause != got["b"].root_cause
+    assert {r.root_cause for r in batch.cache.collect()} == {got["a"].root_cause, got["b"].root_cause}
+
+
+def test_trimmed_on_the_escaped_length(spark):
+    texts = ["é" * 400, "x" * 900, "😀" * 90, "a\x7f" * 200]
+    for text in texts:
+        json_text = json.dumps({"k": text}, ensure_ascii=False, separators=(",", ":"))
+        plain = json.dumps({"k": text}, separators=(",", ":"))
+        got = spark.range(1).select(ce.ascii_json(F.lit(json_text)), ce.trimmed(F.lit(json_text))).first()
+        assert got[0] == plain.replace("\x7f", "\\u007f")
+        want = {"details": got[0][:1000] + "..."} if len(got[0]) > 1000 else {"k": text}
+        assert json.loads(got[1]) == want
+
+
 def test_cache_key_is_plain_sorted_json(spark):
     import hashlib
 
