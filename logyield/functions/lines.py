@@ -72,12 +72,13 @@ def match_spans(line: Column, needle: str) -> Column:
     """Array of (start, end) of all non-overlapping hits, 0-based, end exclusive."""
     width = len(needle)
     pieces = _pieces(line, needle)
+    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def span(i: Column) -> Column:
-        before = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda acc, p: acc + F.length(p))
-        start = before + (i - 1) * width
-        return F.struct(start.alias("start"), (start + width).alias("end"))
+    def step(state: Column, piece: Column) -> Column:
+        start = state["at"] + F.length(piece)
+        hit = F.array(F.struct(start.alias("start"), (start + width).alias("end")))
+        return F.struct((start + width).alias("at"), F.concat(state["spans"], hit).alias("spans"))
 
-    hits = F.size(pieces) - 1
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(hits > 0, F.transform(F.sequence(F.lit(1), hits), span)).otherwise(empty)
+    # One pass: each piece but the last ends where a hit begins.
+    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), first, step, lambda state: state["spans"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import FAIL, PASS, UNKNOWN
 from .attempts import present, unit_key
+from .skew import ranked_within, salted_lookup
 
 # Characters of the message kept in a Pareto label, default rows.
 LABEL_MESSAGE_CHARS = 60
@@ -109,6 +110,34 @@ def failure_pareto(runs: DataFrame, top: int = PARETO_TOP) -> DataFrame:
     return ranked_shares(counted, top)
 
 
+def cumulative_shares(runs: DataFrame) -> DataFrame:
+    """All failure labels with share and cumulative share, most frequent first.
+
+    Labels may be many, so none of this sorts them in one task: labels of one
+    count are ranked within the first letters of their text, and only the distinct
+    counts (few, as they add up to the failures) are accumulated in order.
+    """
+    labels = (
+        runs.filter(is_result(FAIL)).groupBy(failure_label().alias("reason")).agg(F.count(F.lit(1)).alias("count"))
+    )
+    ranked = ranked_within(labels, ["count"], ["reason"], [F.substring("reason", 1, 12)], rank="_rank", total="_same")
+    per_count = labels.groupBy("count").agg(F.count(F.lit(1)).alias("_labels"))
+    before = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    weight = F.col("count") * F.col("_labels")
+    sums = per_count.select(
+        "count", F.coalesce(F.sum(weight).over(before), F.lit(0)).alias("_before"), F.sum(weight).over(whole).alias("_all")
+    )
+    counted = per_count.withColumnRenamed("_labels", "_rows")
+    found = salted_lookup(ranked, sums, ["count"], spread=["reason"], how="inner", counted=counted)
+    return found.select(
+        "reason",
+        "count",
+        percent(F.col("count"), F.col("_all")).alias("pct"),
+        percent(F.col("_before") + F.col("_rank") * F.col("count"), F.col("_all")).alias("cum_pct"),
+    )
+
+
 def ranked_shares(counted: DataFrame, top: int) -> DataFrame:
     """Rank labels by count and accumulate their share.
 

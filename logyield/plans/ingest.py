@@ -1,7 +1,9 @@
-"""A folder of tester logs and archives → runs with debug excerpts, and warnings."""
+"""A folder of tester logs and archives → runs with debug excerpts, their steps, and warnings."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,20 +12,28 @@ from ..schema import FAIL
 from ..sources import archives as zips
 from ..sources import folders
 from ..session import stored
-from .parse import one_log_per_folder, parse_logs
+from .parse import parse_logs, steps_table
 from .parse_lines import parse_lines, read_log_lines
 
 
+class Batch(NamedTuple):
+    """``steps``: unit_id, step_no, name, result, duration_s — a table, as a log may have any number of steps."""
+
+    runs: DataFrame
+    steps: DataFrame
+    warnings: DataFrame
+
+
 def attach_debug_excerpts(runs: DataFrame, archives: DataFrame, budget: int = EXCERPT_BUDGET) -> DataFrame:
     """Add has_debuglog and debug_excerpt to failing runs.
 
-    ``archives`` (run_folder, archive, path or content) is first reduced to the
-    folders of failing runs, so no other archive is opened. Each debug log is
-    cut to its excerpt before rows are regrouped; the first archive by name wins.
+    ``archives`` (run_folder, archive, path or content) is joined to the failing
+    runs first, so no other archive is opened. Each debug log is cut to its
+    excerpt in the task that read it; the first archive by name wins.
     """
-    failed = runs.filter(F.col("result") == FAIL).select("run_folder", "error_code", "error_message", "failing_step")
-    wanted = archives.join(failed.select("run_folder"), "run_folder", "left_semi")
-    found = zips.find_debug_logs(wanted).join(failed, "run_folder")
+    needles = ["error_code", "error_message", "failing_step"]
+    failed = runs.filter(F.col("result") == FAIL).select("run_folder", *needles)
+    found = zips.find_debug_logs(archives.join(failed, "run_folder"), keep=needles)
     cut = with_debug_excerpt(
         found, "text", F.col("error_code"), F.col("error_message"), F.col("failing_step"), budget
     ).select("run_folder", "archive", "debug_excerpt")
@@ -39,34 +49,42 @@ def attach_debug_excerpts(runs: DataFrame, archives: DataFrame, budget: int = EX
     )
 
 
-def ingest_large_logs(
-    spark: SparkSession, root: str, at_least: int = folders.ROW_BYTES
-) -> tuple[DataFrame, DataFrame]:
-    """(runs, steps) of the logs that are too large for one row."""
-    return parse_lines(read_log_lines(spark, root, at_least))
+def ingest_folder(
+    spark: SparkSession, root: str, row_bytes: int = folders.ROW_BYTES, skip: tuple[str, ...] = ()
+) -> Batch:
+    """Runs, steps and warnings of the batch below ``root``, without folders named in ``skip``.
 
-
-def ingest_folder(spark: SparkSession, root: str, row_bytes: int = folders.ROW_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(runs, warnings) of the batch below ``root``.
-
-    Logs of ``row_bytes`` or more are parsed as lines; their ``steps`` stay null
-    and come as a table from :func:`ingest_large_logs`.
+    The tree is listed once and the log of each folder chosen from the list.
+    Logs of ``row_bytes`` or more are parsed as lines, all others as one row
+    each; both give the same runs and steps.
     """
-    files = folders.list_files(spark, root)
+    files = stored(folders.list_files(spark, root, skip=skip), "listing")
+    chosen = folders.first_logs(files)
+    small = parse_logs(folders.read_logs(spark, root, row_bytes, skip))
+    # Parsed rows feed the runs and the steps: written once, not parsed twice.
+    parsed = stored(small.withColumn("file_name", F.col("source_files")[0]), "parsed")
+    parsed = parsed.join(chosen.select("run_folder", "file_name"), ["run_folder", "file_name"], "left_semi")
+    runs, steps = parsed.drop("steps", "file_name"), steps_table(parsed)
+    if not chosen.filter(F.col("size") >= row_bytes).isEmpty():
+        large, more = parse_lines(read_log_lines(spark, root, chosen, row_bytes))
+        runs = runs.unionByName(large.drop("steps"))
+        steps = steps.unionByName(more.select(*[F.col(c).cast(t) for c, t in steps.dtypes]))
     archives = files.filter(F.lower("file_name").endswith(".zip")).select(
         "run_folder", F.col("file_name").alias("archive"), "path"
     )
-    runs = parse_logs(folders.read_logs(spark, root, row_bytes))
-    if not folders.large_logs(spark, root, row_bytes).isEmpty():
-        runs = runs.unionByName(ingest_large_logs(spark, root, row_bytes)[0])
-    # The parsed rows feed the excerpts and the result: written once, not parsed twice.
-    parsed = stored(one_log_per_folder(runs), "parsed")
-    listed = archives.withColumn("archive", F.col("path"))
+    return Batch(attach_debug_excerpts(runs, archives), steps, incomplete(files))
+
+
+def incomplete(files: DataFrame) -> DataFrame:
+    """Warnings for folders without any log. Archives are listed only where no loose log settles it."""
+    name = F.lower("file_name")
+    settled = files.filter(folders.is_run_log(F.col("file_name")) | (name == folders.DEBUG_LOG)).select("run_folder")
+    open_folders = files.join(settled, "run_folder", "left_anti")
+    listed = open_folders.filter(name.endswith(".zip")).select(F.col("path").alias("archive"), "path")
     inside = (
-        zips.list_members(listed.select("archive", "path"))
+        zips.list_members(listed)
         .filter(F.lower("member").endswith(folders.DEBUG_LOG))
         .select(F.col("archive").alias("path"), F.lit([folders.DEBUG_LOG]).alias("members"))
         .distinct()
     )
-    warnings = folders.incomplete_folders(files.join(inside, "path", "left"))
-    return attach_debug_excerpts(parsed, archives), warnings
+    return folders.incomplete_folders(open_folders.join(inside, "path", "left"))

@@ -40,7 +40,7 @@ def client(spark, sf_dir):
             (e / 2).alias("half"),
         )
     )
-    return proxies.spread(proxies.table(spark, sf_dir, "events"), "event_id").select(
+    return proxies.dealt(proxies.table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         "ts",
         raw_level.alias("level"),

@@ -13,7 +13,7 @@ from ..plans import artifact, ingest, manager, parse
 from ..session import new_table_path
 from ..sources import archives, batches, folders, paths, proxies
 from .registry import query
-from .sql import KEEP_SERIAL, KEY, RUNS, TIME_DESC, pct, redact_sql
+from .sql import FAILURES, KEEP_SERIAL, KEY, RUNS, SNIPPET, redact_sql
 from .parsing import LOGGED
 from .yields import DAILY, LABEL, LOT, PASS_FAIL, PRODUCT, STATION, SUMMARY, grouped, pareto
 
@@ -124,16 +124,22 @@ def manifest_skipped(spark, sf_dir):
     return paths.skipped_files(picked(spark, sf_dir))
 
 
-LISTED = f"""{PICKED}, listed AS (SELECT batch_id, seq, name, CASE WHEN CAST(substr(batch_id, 2) AS INTEGER) % 2 = 0 THEN name
-    ELSE 'top' || (seq % 5) || '/' || name END AS path FROM picked WHERE CAST(substr(batch_id, 2) AS INTEGER) < 90 OR seq < 97)"""
+# Every file is in a batch: of many files, loose or in folders, or, from number 90 on, of its own.
+LISTED = f"""{PICKED}, listed AS (SELECT CASE WHEN n < 90 THEN batch_id ELSE batch_id || '-' || seq END AS batch_id, seq, name,
+    CASE WHEN n % 2 = 0 THEN name ELSE 'top' || (seq % 5) || '/' || name END AS path
+    FROM (SELECT *, CAST(substr(batch_id, 2) AS INTEGER) AS n FROM picked))"""
 
 
 def listed(spark, sf_dir):
-    """Batches of many files, loose or in folders, beside batches of a single file."""
     number = F.substring("batch_id", 2, 9).cast("int")
-    files = picked(spark, sf_dir).filter((number < 90) | (F.col("seq") < 97))
+    own = F.concat_ws("-", "batch_id", F.col("seq").cast("string"))
     in_folder = F.concat(F.lit("top"), (F.col("seq") % 5).cast("string"), F.lit("/"), F.col("name"))
-    return files.withColumn("path", F.when(number % 2 == 0, F.col("name")).otherwise(in_folder))
+    return picked(spark, sf_dir).select(
+        F.when(number < 90, F.col("batch_id")).otherwise(own).alias("batch_id"),
+        "seq",
+        "name",
+        F.when(number % 2 == 0, F.col("name")).otherwise(in_folder).alias("path"),
+    )
 
 
 @query(
@@ -156,11 +162,19 @@ def manifest_summary(spark, sf_dir):
 
 @query(
     "manifest_items",
-    f"""WITH {LISTED}, s AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS position,
-      count(*) OVER (PARTITION BY batch_id, name) AS same, count(*) OVER (PARTITION BY batch_id) AS files FROM listed),
-    t AS (SELECT *, row_number() OVER (PARTITION BY batch_id, name ORDER BY seq) AS nth FROM s WHERE position <= 20)
-    SELECT batch_id, position, CASE WHEN same > 1 THEN name || ' #' || nth ELSE name END AS label FROM t
-    UNION ALL SELECT DISTINCT batch_id, 21, '+ ' || (files - 20) || ' more' FROM s WHERE files > 20""",
+    f"""WITH {LISTED}, b AS (SELECT batch_id, count(*) AS files, bool_or(contains(path, '/')) AS in_folders,
+      count(*) = 1 AND bool_or(lower(path) LIKE '%.zip') AS single, min(path) AS path FROM listed GROUP BY 1),
+    r AS (SELECT batch_id, root, row_number() OVER (PARTITION BY batch_id ORDER BY s) AS position,
+        count(*) OVER (PARTITION BY batch_id) AS folders
+      FROM (SELECT batch_id, string_split(path, '/')[1] AS root, min(seq) AS s FROM listed WHERE contains(path, '/') GROUP BY 1, 2)),
+    l AS (SELECT listed.*, files, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS position,
+        row_number() OVER (PARTITION BY batch_id, name ORDER BY seq) AS nth, count(*) OVER (PARTITION BY batch_id, name) AS same
+      FROM listed JOIN b USING (batch_id) WHERE NOT single AND NOT in_folders)
+    SELECT batch_id, 1 AS position, path AS label FROM b WHERE single
+    UNION ALL SELECT batch_id, position, CASE WHEN position > 3 THEN '+ ' || (folders - 3) || ' more' ELSE root END
+      FROM r JOIN b USING (batch_id) WHERE NOT single AND position <= 4
+    UNION ALL SELECT batch_id, position, CASE WHEN position > 20 THEN '+ ' || (files - 20) || ' more'
+      WHEN same > 1 THEN name || ' #' || nth ELSE name END FROM l WHERE position <= 21""".replace("1 AS position", "CAST(1 AS BIGINT) AS position"),
 )
 def manifest_items(spark, sf_dir):
     return paths.manifest_items(listed(spark, sf_dir))
@@ -171,6 +185,7 @@ TREE = """tree AS (SELECT CASE WHEN event_id % 23 = 0 THEN 'day/_tool_extracted'
     CASE event_id % 8 WHEN 0 THEN 'FTRunnerLog01.txt' WHEN 1 THEN 'my_ftrunner.TXT' WHEN 2 THEN 'DebugLog.txt' WHEN 3 THEN 'ftrunner.csv'
       WHEN 4 THEN 'trace' || event_id || '.zip' ELSE 'notes' || event_id || '.txt' END AS file_name,
     CASE WHEN event_id % 8 = 4 THEN CASE WHEN user_id % 2 = 0 THEN ['a.txt', 'Seq 1/XDebugLog.TXT'] ELSE ['a.txt'] END END AS members FROM events)"""
+SCRATCH = ("_tool_extracted",)
 IS_LOG = "(lower(file_name) LIKE '%.txt' AND contains(lower(file_name), 'ftrunner'))"
 
 
@@ -198,20 +213,20 @@ def tree(spark, sf_dir):
 @query(
     "run_folders",
     f"""WITH {TREE} SELECT run_folder, min(file_name) AS file_name, count(*) AS logs FROM tree
-    WHERE {IS_LOG} AND NOT contains(run_folder, '_extracted') GROUP BY 1""",
+    WHERE {IS_LOG} AND NOT list_contains(string_split(run_folder, '/'), '_tool_extracted') GROUP BY 1""",
 )
 def run_folders(spark, sf_dir):
-    return folders.run_folders(tree(spark, sf_dir))
+    return folders.run_folders(folders.without_folders(tree(spark, sf_dir), SCRATCH))
 
 
 @query(
     "incomplete_folders",
     f"""WITH {TREE} SELECT run_folder, 'No ftrunnerlog01.txt or debuglog.txt found in: ' || run_folder AS warning FROM tree
-    WHERE NOT contains(run_folder, '_extracted') GROUP BY 1 HAVING NOT bool_or({IS_LOG} OR lower(file_name) = 'debuglog.txt'
+    WHERE NOT list_contains(string_split(run_folder, '/'), '_tool_extracted') GROUP BY 1 HAVING NOT bool_or({IS_LOG} OR lower(file_name) = 'debuglog.txt'
       OR (lower(file_name) LIKE '%.zip' AND coalesce(len(members), 0) > 1))""",
 )
 def incomplete_folders(spark, sf_dir):
-    return folders.incomplete_folders(tree(spark, sf_dir))
+    return folders.incomplete_folders(folders.without_folders(tree(spark, sf_dir), SCRATCH))
 
 
 @query("decode_logs", "SELECT doc_id, text FROM documents")
@@ -269,7 +284,7 @@ def packed(batches):
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             if doc_id % 10 == 9:
-                content = b"not a zip " + text.encode()[:20]
+                content = b"not a zip " + text.encode()
             else:
                 second = "../escape.txt" if doc_id % 10 == 8 else "deep/./copy.txt"
                 content = zip_bytes([("log.txt", text), (second, str(doc_id))])
@@ -278,7 +293,7 @@ def packed(batches):
 
 
 def document_archives(spark, sf_dir):
-    docs = proxies.spread(proxies.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = proxies.dealt(proxies.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.mapInPandas(packed, "archive string, content binary")
 
 
@@ -329,8 +344,8 @@ def debug_archives(batches):
       'fail at Thermal Test ' || e || chr(10) || ' tail' END AS debug_excerpt FROM parsed""",
 )
 def debug_logs(spark, sf_dir):
-    runs = parse.one_log_per_folder(parse.parse_logs(proxies.logs(spark, sf_dir)))
-    ids = proxies.runs_from_events(proxies.spread(proxies.table(spark, sf_dir, "events"), "event_id")).select(
+    runs = parse.one_log_per_folder(parse.parse_logs(proxies.logs(spark, sf_dir)).drop("steps"))
+    ids = proxies.runs_from_events(proxies.table(spark, sf_dir, "events")).select(
         "run_folder", F.col("unit_id").cast("long").alias("e")
     )
     zips = ids.mapInPandas(debug_archives, "run_folder string, archive string, content binary")
@@ -353,8 +368,6 @@ def artifact_runs(spark, sf_dir):
     )
 
 
-from .sql import FAILURES, SNIPPET  # noqa: E402
-
 ARTIFACT = f"""{FAILURES}, units AS (SELECT *, strftime(date_trunc('second', start_time), '%Y-%m-%dT%H:%M:%S') AS st,
     strftime(date_trunc('second', end_time), '%Y-%m-%dT%H:%M:%S') AS et FROM (SELECT *, row_number() OVER (PARTITION BY product_code, {KEY}
     ORDER BY date_trunc('second', start_time) DESC NULLS LAST, date_trunc('second', end_time) DESC NULLS LAST,

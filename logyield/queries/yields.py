@@ -35,12 +35,12 @@ def grouped(name: str, label: str) -> str:
   SELECT {label} AS {name}, {PASS_FAIL} FROM runs WHERE result IN ('PASS', 'FAIL') GROUP BY 1)"""
 
 
-def pareto(top: int) -> str:
+def pareto(top: int | None) -> str:
     return f""", c AS (SELECT {LABEL} AS reason, count(*) AS n FROM runs WHERE result = 'FAIL' GROUP BY 1),
 r AS (SELECT reason, n, CAST(sum(n) OVER () AS BIGINT) AS total,
     CAST(sum(n) OVER (ORDER BY n DESC, reason ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM c)
 SELECT reason, n AS "count", {pct('n', 'total')} AS pct, {pct('cum', 'total')} AS cum_pct
-FROM r ORDER BY n DESC, reason LIMIT {top}"""
+FROM r{f' ORDER BY n DESC, reason LIMIT {top}' if top else ''}"""
 
 
 PRODUCT = f""", keyed AS (SELECT *, {KEY} AS unit_key, coalesce(nullif(product_code, ''), 'UNKNOWN') AS product FROM runs),
@@ -64,7 +64,12 @@ for _name, _job, _sql, _dims in (
         lambda spark, sf_dir, job=_job, dims=_dims: job(proxies.runs_large(spark, sf_dir, *dims))
     )
 
-for _name, _top in (("pareto_top5", 5), ("top_failure", 1), ("pareto_cumulative", 40)):
+for _name, _top in (("pareto_top5", 5), ("top_failure", 1)):
     query(_name, f"WITH {RUNS}{pareto(_top)}")(
         lambda spark, sf_dir, top=_top: yields.failure_pareto(proxies.runs(spark, sf_dir), top)
     )
+
+
+@query("pareto_cumulative", f"WITH {RUNS}{pareto(None)}")
+def pareto_cumulative(spark, sf_dir):
+    return yields.cumulative_shares(proxies.runs(spark, sf_dir))

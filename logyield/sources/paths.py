@@ -80,7 +80,8 @@ def root_archives(files: DataFrame) -> DataFrame:
     roots = files.filter(is_root_archive(F.col("path"))).select("batch_id", "seq", "path")
     counted = roots.groupBy("batch_id").agg(F.count(F.lit(1)).alias("archives"))
     prefix = F.concat(F.lit("zip_"), F.col("seq").cast("string"), F.lit("_"), safe_stem(F.col("path")))
-    return salted_lookup(roots, counted, ["batch_id"], spread=["seq"]).withColumn(
+    known = counted.withColumnRenamed("archives", "_rows")
+    return salted_lookup(roots, counted, ["batch_id"], spread=["seq"], counted=known).withColumn(
         "folder", F.when(F.col("archives") > 1, prefix).otherwise("")
     )
 
@@ -188,18 +189,44 @@ def manifest_summary(files: DataFrame) -> DataFrame:
 
 
 def manifest_items(files: DataFrame) -> DataFrame:
-    """First files per batch, same names numbered, and how many more there are."""
-    base = files.select("batch_id", "seq", "name")
-    ranked = _in_order(base, "position", "files").filter(F.col("position") <= SHOWN_ITEMS)
+    """What the list of a batch shows. ``files``: batch_id, seq, name, path.
+
+    A single archive shows its path. Files of picked folders show the first
+    folders and how many more there are. Other files show their names, equal ones
+    numbered, and how many more there are.
+    """
+    base = files.select("batch_id", "seq", "name", "path")
+    kinds = base.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_or(is_zip(F.col("path"))).alias("_zip"),
+        F.bool_or(F.contains("path", F.lit("/"))).alias("_folders"),
+        F.min("path").alias("_path"),
+    )
+    single = (F.col("n") == 1) & F.col("_zip")
+    alone = kinds.filter(single).select("batch_id", F.lit(1).cast("long").alias("position"), F.col("_path").alias("label"))
+
+    in_folders = kinds.filter(~single & F.col("_folders")).select("batch_id")
+    roots = (
+        base.filter(F.contains("path", F.lit("/")))
+        .groupBy("batch_id", F.substring_index("path", "/", 1).alias("label"))
+        .agg(F.min("seq").alias("seq"))
+        .join(in_folders, "batch_id", "left_semi")
+    )
+    picked = _with_rest(_in_order(roots, "position", "_n"), SHOWN_NAMES)
+
+    loose = kinds.filter(~single & ~F.col("_folders")).select("batch_id")
+    ranked = _in_order(base.join(loose, "batch_id", "left_semi"), "position", "_n")
     names = base.groupBy("batch_id", "name").agg(F.count(F.lit(1)).alias("_same"))
     # Only the shown rows of a name are numbered, at most SHOWN_ITEMS of them.
     nth = F.row_number().over(Window.partitionBy("batch_id", "name").orderBy("seq"))
     label = F.when(F.col("_same") > 1, F.concat("name", F.lit(" #"), nth.cast("string"))).otherwise(F.col("name"))
-    shown = ranked.join(names, ["batch_id", "name"]).select("batch_id", "position", label.alias("label"))
-    rest = base.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHOWN_ITEMS)
-    more = rest.select(
-        "batch_id",
-        F.lit(SHOWN_ITEMS + 1).cast("long").alias("position"),
-        F.concat(F.lit("+ "), (F.col("n") - SHOWN_ITEMS).cast("string"), F.lit(" more")).alias("label"),
-    )
-    return shown.unionByName(more)
+    shown = ranked.filter(F.col("position") <= SHOWN_ITEMS + 1).join(names, ["batch_id", "name"]).withColumn("label", label)
+    return alone.unionByName(picked).unionByName(_with_rest(shown, SHOWN_ITEMS))
+
+
+def _with_rest(ranked: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` labels of each batch; the next row, if any, becomes the number of those left."""
+    rest = F.concat(F.lit("+ "), (F.col("_n") - most).cast("string"), F.lit(" more"))
+    return ranked.filter(F.col("position") <= most + 1).select(
+        "batch_id", "position", F.when(F.col("position") > most, rest).otherwise(F.col("label")).alias("label")
+    )

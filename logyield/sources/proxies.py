@@ -18,14 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal an input with fewer splits than cores to all of them.
-
-    For work that is heavy per byte. A large input has splits enough and is
-    returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Deals a fixture's input to the shuffle partitions: a sample table is one file, and the work per row is heavy."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +141,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" user=op"), s, F.lit(" hostname : h"), s, F.lit(" 00:1A:2b:3C:4d:5E at 10.250.0."), (d % 256).cast("string"),
         F.lit(" SerialNumber=SN"), s, F.lit(" code RMA"), (d + 1000000).cast("string"), F.lit(" [34mwarn[0m"),
     )
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return documents.select("doc_id", F.concat("text", line).alias("text"))
 
 
@@ -157,7 +152,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, missing and doubled keys, verdict blocks or none, steps with and
     without an end marker, and both sources of start and end time.
     """
-    events = spread(table(spark, sf_dir, "events"), "event_id")
+    events = dealt(table(spark, sf_dir, "events"), "event_id")
     r = runs_from_events(events).withColumn("e", F.col("unit_id").cast("long"))
     e, result = F.col("e"), F.col("result")
     at = F.coalesce("start_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))

@@ -19,12 +19,10 @@ LOG_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, conte
 DAY_SCHEMA = "date string, pass bigint, fail bigint, micro_batch bigint"
 
 
-def log_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """Run logs appearing below ``root`` as (run_folder, file_name, text).
+TOO_LARGE = "Too large for the stream, read by the batch job: "
 
-    Logs too large for one row are not opened here; ``ingest_large_logs`` reads
-    them in batch.
-    """
+
+def _arriving(spark: SparkSession, root: str, max_files: int) -> DataFrame:
     files = (
         spark.readStream.format("binaryFile")
         .schema(LOG_FILE_SCHEMA)
@@ -33,13 +31,28 @@ def log_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataF
         .option("maxFilesPerTrigger", max_files)
         .load(root)
     )
-    rel = folders.relative_path(F.col("path"), root)
-    logs = files.filter(F.col("length") < folders.ROW_BYTES).select(
-        folders.folder_of(rel).alias("run_folder"),
-        folders.name_of(rel).alias("file_name"),
-        folders.decoded(F.col("content")).alias("text"),
+    rel = folders.relative_path(F.col("path"), folders.qualified(spark, root))
+    named = files.withColumns({"run_folder": folders.folder_of(rel), "file_name": folders.name_of(rel)})
+    return named.filter(folders.is_run_log(F.col("file_name")))
+
+
+def log_stream(spark: SparkSession, root: str, max_files: int = 10_000, row_bytes: int = folders.ROW_BYTES) -> DataFrame:
+    """Run logs appearing below ``root`` as (run_folder, file_name, text).
+
+    Logs of ``row_bytes`` or more are not opened here: :func:`oversized_stream`
+    names them, and ``ingest_folder`` reads them line by line.
+    """
+    return _arriving(spark, root, max_files).filter(F.col("length") < row_bytes).select(
+        "run_folder", "file_name", folders.decoded(F.col("content")).alias("text")
     )
-    return folders.without_scratch(logs).filter(folders.is_run_log(F.col("file_name")))
+
+
+def oversized_stream(
+    spark: SparkSession, root: str, max_files: int = 10_000, row_bytes: int = folders.ROW_BYTES
+) -> DataFrame:
+    """(run_folder, warning) of every arriving run log that :func:`log_stream` leaves to the batch job."""
+    large = _arriving(spark, root, max_files).filter(F.col("length") >= row_bytes)
+    return large.select("run_folder", F.concat(F.lit(TOO_LARGE), "run_folder", F.lit("/"), "file_name").alias("warning"))
 
 
 def _replace_partition(path: str):

@@ -51,12 +51,16 @@ def batch(tmp_path_factory):
 
 
 def test_ingest_folder(spark, batch):
-    runs, warnings = ingest.ingest_folder(spark, batch)
+    runs, steps, warnings = ingest.ingest_folder(spark, batch)
+    assert "steps" not in runs.columns and steps.count() == 0
     rows = {r.serial_number: r for r in runs.collect()}
     assert set(rows) == {"SN1", "SN2"}
     assert (rows["SN1"].result, rows["SN1"].has_debuglog, rows["SN1"].run_folder, rows["SN1"].lot_id) == ("PASS", False, "STC_1", "STC")
     assert rows["SN2"].has_debuglog and rows["SN2"].debug_excerpt == "TOKEN=[REDACTED] E7 at [REDACTED_IP]"
     assert {r.run_folder for r in warnings.collect()} == {"day/run3", "day/run6"}
+    # Only folders of exactly the given names are skipped.
+    fewer = ingest.ingest_folder(spark, batch, skip=("run3", "run", "day/run6")).warnings
+    assert {r.run_folder for r in fewer.collect()} == {"day/run6"}
 
 
 def test_large_logs_are_read_in_splits(spark, tmp_path):
@@ -76,7 +80,8 @@ def test_large_logs_are_read_in_splits(spark, tmp_path):
     root, old = str(tmp_path), spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     try:
-        lines = parse_lines.read_log_lines(spark, root, at_least=1000)
+        chosen = folders.first_logs(folders.list_files(spark, root).filter("size >= 1000"))
+        lines = parse_lines.read_log_lines(spark, root, chosen, at_least=1000)
         assert lines.select("block").distinct().count() > 5
         runs, steps = parse_lines.parse_lines(lines)
         got_steps = {(r.unit_id, r.step_no): (r.name, r.result, r.duration_s) for r in steps.collect()}
@@ -94,12 +99,78 @@ def test_large_logs_are_read_in_splits(spark, tmp_path):
             if column != "steps":
                 assert got[folder][column] == row[column], (folder, column)
     # Together: the first log by name wins, whichever way it was read.
-    merged, _ = ingest.ingest_folder(spark, root, row_bytes=1000)
+    merged = ingest.ingest_folder(spark, root, row_bytes=1000).runs
     assert {r.run_folder: r.source_files for r in merged.collect()} == {
         "day/run0": ["ftrunnerlog00.txt"], "day/run1": ["ftrunnerlog01.txt"], "day/run2": ["ftrunnerlog01.txt"],
     }
 
 
+def test_one_result_for_every_size_and_name(spark, tmp_path):
+    """Blanks, per cents and umlauts in names; each log read whole, as lines, or by its size."""
+    for n, folder in enumerate(["day 1/run a", "day%201/50% done", "tag/größe+1", "plain"]):
+        steps = "".join(f"***Step{i} test start.***\nTEST PASSED\n***Step{i} test end.***\n" for i in range(n * 40 + 1))
+        put(tmp_path, f"{folder}/ftrunnerlog 0{n}%41.txt", steps + LOG.format(sn=f"SN{n}", done=BAD))
+        put(tmp_path, f"{folder}/trace 1.zip", zipped_items([("debuglog.txt", f"E7 of {n}")]))
+    found = []
+    for row_bytes in (1, 3000, 1 << 30):
+        batch = ingest.ingest_folder(spark, str(tmp_path), row_bytes=row_bytes)
+        runs = {r.run_folder: r.asDict() for r in batch.runs.collect()}
+        found.append((runs, sorted(map(tuple, batch.steps.collect())), batch.warnings.collect()))
+    assert found[0] == found[1] == found[2]
+    runs, steps, warnings = found[0]
+    assert set(runs) == {"day 1/run a", "day%201/50% done", "tag/größe+1", "plain"} and not warnings
+    assert all(r["has_debuglog"] and r["debug_excerpt"].startswith("E7 of") for r in runs.values())
+    assert len(steps) == sum(n * 40 + 1 for n in range(4))
+
+
+def test_relative_root(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    put(tmp_path, "data/data/run/ftrunnerlog01.txt", LOG.format(sn="S", done=BAD))
+    base = f"file:{tmp_path}/data"
+    assert folders.qualified(spark, base + "/") == base
+    assert [r.run_folder for r in folders.list_files(spark, base).collect()] == ["data/run"]
+
+
+def test_only_bad_bytes_are_left_out(spark):
+    rows = [(b"a\xef\xbf\xbdb", "a\ufffdb"), (b"a\xef\xbf\xbd\xffb\xfe", "a\ufffdb"), (b"\xff", ""), (None, "")]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "content binary")
+    assert [r[0] for r in df.select(folders.decoded(F.col("content"))).collect()] == [b for _, b in rows]
+
+
+def test_read_errors_are_no_bad_archives(spark, tmp_path):
+    put(tmp_path, "bad.zip", b"PK nonsense")
+    put(tmp_path, "cut.zip", zipped_items([("a.txt", "x" * 1000)])[:-30])
+    ok = spark.createDataFrame([("b", f"file:{tmp_path}/bad.zip"), ("c", f"file:{tmp_path}/cut.zip")], "archive string, path string")
+    assert {r.error for r in archives.list_members(ok).collect()} == {archives.BAD_ZIP}
+    gone = spark.createDataFrame([("g", f"file:{tmp_path}/gone.zip")], "archive string, path string")
+    strange = spark.createDataFrame([("s", "nosuchscheme://x/y.zip")], "archive string, path string")
+    for df in (gone, strange):
+        for job in (archives.list_members, archives.expand, lambda d: archives.find_debug_logs(d.withColumn("run_folder", F.lit("r")))):
+            with pytest.raises(Exception, match="Error|Invalid"):
+                job(df).collect()
+
+
+def test_archives_by_path(spark, tmp_path):
+    put(tmp_path, "good 1%.zip", zipped_items([("a/b.txt", "hello"), ("debuglog.txt", "log")]))
+    damaged = bytearray(zipped_items([("a.txt", "first"), ("b.txt", "y" * 500)]))
+    damaged[-400] ^= 0xFF
+    put(tmp_path, "damaged.zip", bytes(damaged))
+    files = folders.list_files(spark, str(tmp_path)).select(F.col("file_name").alias("archive"), "path", "run_folder")
+    rows = archives.expand(files).collect()
+    assert {(r.archive, r.target, r.error) for r in rows} == {
+        ("good 1%.zip", "a/b.txt", None), ("good 1%.zip", "debuglog.txt", None), ("damaged.zip", None, archives.BAD_ZIP),
+    }
+    assert [(r.archive, r.text) for r in archives.find_debug_logs(files).collect()] == [("good 1%.zip", "log")]
+
+
+def test_oversized_logs_are_named_by_the_stream(spark, batch, tmp_path):
+    warned = jobs.oversized_stream(spark, batch, row_bytes=1)
+    query = warned.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+    query.start(f"{tmp_path}/out").awaitTermination()
+    assert {r.run_folder for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"STC_1", "day/run2"}
+    assert jobs.log_stream(spark, batch, row_bytes=1).isStreaming
+
+
 def test_listing_without_content(spark, batch):
     plan = folders.list_files(spark, batch)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
