@@ -14,7 +14,7 @@ from ..session import new_table_path
 from ..sources import archives, batches, folders, paths, proxies
 from .registry import query
 from .sql import FAILURES, KEEP_SERIAL, KEY, RUNS, SNIPPET, redact_sql
-from .parsing import LOGGED
+from .parsing import LINE_COLUMNS, LOGGED
 from .yields import DAILY, LABEL, LOT, PASS_FAIL, PRODUCT, STATION, SUMMARY, grouped, pareto
 
 # --- upload paths -------------------------------------------------------------
@@ -352,6 +352,86 @@ def debug_logs(spark, sf_dir):
     return ingest.attach_debug_excerpts(runs, zips).select("unit_id", "has_debuglog", "debug_excerpt")
 
 
+# --- ingest from files --------------------------------------------------------
+# Events of one tester per supplier, so that the number of files follows the table.
+TESTERS = """(SELECT s_suppkey AS event_id, s_nationkey AS user_id, CASE s_suppkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error'
+    WHEN 2 THEN 'error' ELSE 'view' END AS event_type, TIMESTAMP '2024-03-01 08:00:00' + to_seconds(s_suppkey * 97) AS ts,
+    CAST(s_suppkey % 90 AS DOUBLE) AS value, '{"k": ' || (s_suppkey % 50) || '}' AS props FROM supplier)"""
+FOLDER = "'day ' || (e % 3) || ' 100%25/' || run_folder"
+FILED = LOGGED.replace("FROM events", f"FROM {TESTERS} AS events")
+
+
+def tester_logs(spark, sf_dir):
+    """Logs in folders with blanks and per cents; some padded so that they are read as lines, some beside later logs."""
+    s = F.col("s_suppkey")
+    n = s.cast("long")
+    events = proxies.table(spark, sf_dir, "supplier").select(
+        n.alias("event_id"),
+        F.col("s_nationkey").cast("long").alias("user_id"),
+        F.when(n % 5 == 0, "click").when(n % 5 < 3, "error").otherwise("view").alias("event_type"),
+        (F.lit("2024-03-01 08:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(n * 97).cast("decimal(18,6)"))).alias("ts"),
+        (n % 90).cast("double").alias("value"),
+        F.concat(F.lit('{"k": '), (n % 50).cast("string"), F.lit("}")).alias("props"),
+    )
+    e = F.substring_index("run_folder", "___", -1).cast("long")
+    folder = F.concat(F.lit("day "), (e % 3).cast("string"), F.lit(" 100%25/"), F.col("run_folder"))
+    noise = F.when(e % 4 == 0, F.repeat(F.lit("noise of the tester\n"), 2000)).otherwise("")
+    return proxies.logs_of(events).select(
+        F.concat(folder, F.lit("/FTRunnerLog 01%.txt")).alias("name"),
+        F.concat(noise, F.col("text")).alias("text"),
+        F.concat(folder, F.lit("/ftrunnerlog09.txt")).alias("later"),
+    )
+
+
+def written_files(files, root):
+    """Writes ``files`` (name, text) below the shared folder; returns their number, which the caller must ask for."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                system, base = fs.FileSystem.from_uri(root.replace("file:", "file://", 1) if root.startswith("file:/") and not root.startswith("file://") else root)
+                target = f"{base}/{name}"
+                system.create_dir(target.rsplit("/", 1)[0])
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    return files.mapInPandas(write, "files long").agg(F.sum("files")).first()[0]
+
+
+def ingested(spark, sf_dir):
+    root = new_table_path(spark, "tester-files")
+    root = root if ":" in root.split("/")[0] else f"file:{root}"
+    logs = tester_logs(spark, sf_dir)
+    later = logs.select(F.col("later").alias("name"), F.lit("not read").alias("text"))
+    written_files(logs.select("name", "text").unionByName(later), root)
+    return ingest.ingest_folder(spark, root, row_bytes=20_000)
+
+
+INGESTED = [c for c in LINE_COLUMNS if c not in ("unit_id", "run_folder")]
+
+
+@query(
+    "ingest_runs",
+    f"WITH {FILED} SELECT left(sha1({FOLDER}), 16) AS unit_id, {FOLDER} AS run_folder, {', '.join(INGESTED)} FROM parsed",
+)
+def ingest_runs(spark, sf_dir):
+    return ingested(spark, sf_dir).runs.select(*LINE_COLUMNS)
+
+
+@query(
+    "ingest_steps",
+    f"""WITH {FILED}, p AS (SELECT e, result, left(sha1({FOLDER}), 16) AS unit_id FROM parsed)
+    SELECT unit_id, 1 AS step_no, 'PowerTest' AS name, CASE WHEN e % 9 < 3 THEN 'PASS' ELSE 'UNKNOWN' END AS result,
+      CAST(e % 3000 AS DOUBLE) AS duration_s FROM p WHERE e % 9 <> 8
+    UNION ALL SELECT unit_id, CASE WHEN e % 9 = 8 THEN 1 ELSE 2 END, 'Thermal Test', result, 7e0 FROM p""",
+)
+def ingest_steps(spark, sf_dir):
+    return ingested(spark, sf_dir).steps
+
+
 # --- artifacts ----------------------------------------------------------------
 def artifact_runs(spark, sf_dir):
     """Failing proxy runs with two steps each, whole seconds."""

@@ -11,7 +11,7 @@ from ..plans import parse, parse_lines
 from ..session import stored
 from ..sources import proxies
 from .registry import query
-from .sql import RUNS
+from .sql import KEEP_SERIAL, RUNS, redact_sql
 
 # What the rendered log of a run says, column by column.
 LOGGED = f"""{RUNS}, l AS (SELECT *, CAST(unit_id AS BIGINT) AS e, has_done_block OR result = 'UNKNOWN' AS explicit,
@@ -99,7 +99,15 @@ def parsed_daily_yield(spark, sf_dir):
     return daily_yield(parsed(spark, sf_dir))
 
 
-@query("masked_snippets")
+MASKED = redact_sql("t", *KEEP_SERIAL)
+
+
+@query(
+    "masked_snippets",
+    f"""WITH {LOGGED}, s AS (SELECT unit_id, CASE WHEN result = 'FAIL' THEN concat_ws(chr(10), 'Result: FAIL',
+    'Failing step: ' || failing_step, 'Errorcode: ' || error_code, 'ErrorMsg: ' || error_message) END AS t FROM parsed)
+    SELECT unit_id, CASE WHEN length({MASKED}) > 2000 THEN left({MASKED}, 2000) || chr(10) || '...[truncated]' ELSE {MASKED} END AS snippet FROM s""",
+)
 def masked_snippets(spark, sf_dir):
     return parsed(spark, sf_dir).select(
         "unit_id", cap(redact(F.col("ftrunner_snippet"), keep_serial=True), 2000).alias("snippet")

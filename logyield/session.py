@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -9,9 +11,11 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "logyield") -> SparkSession:
-    """Local session for tests and the benchmark; a cluster brings its own."""
-    return (
+def build_session(
+    master: str = "local[*]", shuffle_partitions: int = 8, app: str = "logyield", shared: str | None = None
+) -> SparkSession:
+    """Local session for tests and the benchmark; a cluster brings its own. ``shared`` names the shared folder."""
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,15 +25,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master, whose
-    executors see the driver's disk, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, so that all see the driver's disk, a folder of the driver's
+    serves until its process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -43,12 +48,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 @cache
 def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"logyield-{application}-")
+    path = tempfile.mkdtemp(prefix=f"logyield-{application}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+_written: dict[str, list[str]] = {}
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused location below the shared folder."""
-    return f"{shared_dir(spark)}/logyield/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused location below the shared folder, owned by this application until :func:`release`."""
+    path = f"{shared_dir(spark)}/logyield/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes every table that this application has stored; call it once no result is read any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

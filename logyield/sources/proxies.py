@@ -146,13 +146,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tester logs written from ``runs``: one text per run.
+    return logs_of(dealt(table(spark, sf_dir, "events"), "event_id"))
+
+
+def logs_of(events: DataFrame) -> DataFrame:
+    """Tester logs written from the runs of ``events``: one text per run.
 
     The layout varies with the id so that every parser branch is taken: colour
     codes, missing and doubled keys, verdict blocks or none, steps with and
     without an end marker, and both sources of start and end time.
     """
-    events = dealt(table(spark, sf_dir, "events"), "event_id")
     r = runs_from_events(events).withColumn("e", F.col("unit_id").cast("long"))
     e, result = F.col("e"), F.col("result")
     at = F.coalesce("start_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))

@@ -5,14 +5,15 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from logyield.session import build_session  # noqa: E402
+from logyield.session import build_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = build_session("local[4]", shuffle_partitions=4, shared=f"file:{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
