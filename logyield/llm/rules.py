@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import FACTOR, NOT_BLANK, joined, mix, sequence_hashes, slices, span_hashes, summed_vectors, texts_of, word_spans
 
-BUCKETS = 1 << 16
-BLOCK = 1 << 12
+BUCKETS = 1 << 18
+BLOCK = 1 << 14
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 
 
@@ -38,10 +38,9 @@ class Params:
     least_words: int = 50
     most_repeated: float = 0.5
     trusted_symbols_per_word: float = 0.02
-    trusted_repeated: float = 0.05
     trusted_capitals: float = 0.2
     smoothing: float = 1.0
-    threshold: float = -0.1
+    threshold: float = -0.15
 
 
 @dataclass
@@ -113,9 +112,7 @@ def trusted(shape: Shape, params: Params) -> np.ndarray:
     return (
         ~base_failed(shape, params)
         & (shape.n_symbols <= params.trusted_symbols_per_word * shape.n_words)
-        & (shape.n_repeat_words <= params.trusted_repeated * shape.n_words)
         & (shape.capitals <= params.trusted_capitals * shape.word_chars)
-        & (shape.n_dup_lines == 0)
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import pytest
 
 from logyield.llm import warc
+from logyield.llm.common import kept_table
 from logyield.session import new_table_path
 
 SPOOF = "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nWARC/1.0\r\n\r\nWARC/1.0"
@@ -83,7 +84,7 @@ def test_damage_is_an_error():
 def test_lost_chunk_fails_the_read(spark):
     path = new_table_path(spark, "warc-lost")
     pages = spark.createDataFrame([(1, "abcdefgh", None)], "page_id bigint, html string, url string")
-    chunks = warc.classified(warc.chunk_rows(pages, chunk_bytes=3), "bigint", 0).where("chunk <> 1")
+    chunks = warc.classified(kept_table(warc.chunk_rows(pages, chunk_bytes=3), "chunks"), "bigint", 0).where("chunk <> 1")
     lines = warc.records(chunks).selectExpr("cast(value AS string) AS value")
     lines.write.option("lineSep", warc.END.decode()).text(path)
     with pytest.raises(Exception, match="no place"):
