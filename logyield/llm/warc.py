@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from logyield.session import new_table_path
 
-from .common import BitTable, aggregate_salted, salt_of, texts_of
+from .common import BitTable, aggregate_salted, kept_table, salt_of, texts_of
 
 CHUNK_BYTES = 64 << 10
 VERSION = b"WARC/1.0"
@@ -200,7 +200,8 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", key: str = "
                    chunk_bytes: int = CHUNK_BYTES) -> None:
     """Writes gzip-compressed WARC files below ``path``."""
     kind = pages.schema[key].dataType.simpleString()
-    chunks = classified(chunk_rows(pages, html, key, chunk_bytes), kind, least_bytes)
+    # The table is stored: identifiers name the task that cut the record, and all that reads it must see the same ones.
+    chunks = classified(kept_table(chunk_rows(pages, html, key, chunk_bytes), "warc-chunks"), kind, least_bytes)
     lines = records(chunks).select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
