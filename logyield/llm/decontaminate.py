@@ -18,7 +18,7 @@ Words are what ``words`` says: A-Z lower-cased, then runs of letters, digits and
 have no words; they are indexed with 0 tokens and reported without hits. A benchmark item with fewer words than a window
 is one window of its own, one without words is none. Repeated training rows are separate rows (``row_no`` tells them
 apart), equal windows of several items are searched once and credited to each item; null ids are kept as nulls, a null
-item id counts as the item 'null'. Extra columns are not read. Empty tables give empty results or no hits.
+item id counts as the item 'null', rows that share an item id are one item. Extra columns are not read. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -134,9 +134,11 @@ def windows(items: list[tuple[object, str]], size: int = WINDOW) -> Queries:
     """Windows of ``size`` consecutive words of each item; items of fewer words are one window."""
     texts = [(text or "").encode("utf-8") for _, text in items]
     terms, first, _ = words(texts)
+    numbers: dict[str, int] = {}  # items of one id are one item
     found: dict[bytes, list[int]] = {}
-    for item in range(len(items)):
-        own = terms[first[item] : first[item + 1]]
+    for row, (key, _) in enumerate(items):
+        item = numbers.setdefault("null" if key is None else str(key), len(numbers))
+        own = terms[first[row] : first[row + 1]]
         for start in range(max(1, len(own) - size + 1) if len(own) else 0):
             found.setdefault(own[start : start + size].tobytes(), []).append(item)
     table = np.zeros((len(found), size), np.uint64)
@@ -146,8 +148,7 @@ def windows(items: list[tuple[object, str]], size: int = WINDOW) -> Queries:
         table[q, : lengths[q]] = np.frombuffer(raw, np.uint64)
     owners = [sorted(set(v)) for v in found.values()]
     starts = np.r_[0, np.cumsum([len(v) for v in owners])].astype(np.int64)
-    names = ["null" if key is None else str(key) for key, _ in items]
-    return Queries(table, lengths, starts, np.array([i for v in owners for i in v], np.int64), names)
+    return Queries(table, lengths, starts, np.array([i for v in owners for i in v], np.int64), list(numbers))
 
 
 def blocks_of_items(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[object, str]]]:
