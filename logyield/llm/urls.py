@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import UPPER, LOWER, shuffle_width
 
 RULE_SCHEMA = "host string, path string, verdict string"
-#: Keys that the boundaries are taken from; only the balance of the ranges depends on it.
-SAMPLED_KEYS = 20_000
+#: About how many keys the boundaries are taken from; only the balance of the ranges depends on it.
+SAMPLED_KEYS = 8_000
 
 
 def host_of(url: Column) -> Column:
@@ -90,8 +90,10 @@ def judge(
 
 
 def range_bounds(urls: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
-    """At most ``ranges`` - 1 boundaries from a bounded sample of the rows' keys."""
-    sample = urls.select("_key", "path", "_row").orderBy(F.xxhash64("_row")).limit(SAMPLED_KEYS)
+    """At most ``ranges`` - 1 boundaries from a sample of the rows' keys, ``SAMPLED_KEYS`` on average at any size."""
+    share = min(1.0, SAMPLED_KEYS / max(1, urls.count()))
+    drawn = F.pmod(F.xxhash64("_row"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = urls.select("_key", "path", "_row").where(drawn)
     keys = sorted((r["_key"].encode(), r["path"].encode(), r["_row"]) for r in sample.collect())
     picked = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
     return [(k.decode(), p.decode(), r) for k, p, r in sorted(set(picked))]
