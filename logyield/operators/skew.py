@@ -33,7 +33,11 @@ def salted_lookup(
     weight: str = "_rows",
     min_rows: int = 100_000,
 ) -> DataFrame:
-    """Join ``big`` to the key-unique ``small``, spreading hot keys over salts.
+    """Join ``big`` to the key-unique ``small``, spreading hot keys over salts where their counts are known.
+
+    ``counted`` holds rows per key (``weight``) from an earlier step; ``big`` is
+    never read again to count. Without it the join is a plain one, whose skewed
+    partitions AQE splits as it measures them.
 
     Rows of a hot key in ``big`` are dealt to ``SALTS`` sub-keys by a hash of
     ``spread``; only the matching rows of ``small`` are repeated that often.
@@ -42,7 +46,7 @@ def salted_lookup(
     measured the shuffled size.
     """
     if counted is None:
-        counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
+        return big.join(small, list(keys), how)
     hot = F.broadcast(hot_keys(counted, keys, weight, min_rows))
     left = (
         big.join(hot, list(keys), "left")

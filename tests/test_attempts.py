@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logyield.operators import attempts, yields
+from logyield.operators import attempts, thresholds, yields
 from logyield.operators.skew import ranked_within, salted_lookup
 from logyield.plans.manager import manager_view
+from logyield.sources import proxies
+from tests.conftest import SMALL
 
 SCHEMA = (
     "unit_id string, serial_number string, product_code string, lot_id string, op_id string, station_id string,"
@@ -165,6 +167,19 @@ def test_salted_lookup_equals_plain_join(spark, how, min_rows):
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
     )
     small = spark.createDataFrame([("hot", 1), ("k4", 2), ("k8", 3), ("absent", 4)], "k string, v int")
-    got = salted_lookup(big, small, ["k"], ["id"], how=how, min_rows=min_rows)
+    counted = big.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
+    got = salted_lookup(big, small, ["k"], ["id"], how=how, counted=counted, min_rows=min_rows)
     want = big.join(small, "k", how)
     assert sorted(map(repr, got.select("id", "k", "v").collect())) == sorted(map(repr, want.select("id", "k", "v").collect()))
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [")
+
+
+def test_lookups_read_no_input_twice(spark):
+    large = proxies.runs_large(spark, SMALL, "product_code", "host", "lot_id")
+    assert scans(large) <= 6  # lineitem, part, supplier, nation, orders
+    runs = proxies.runs(spark, SMALL)
+    assert scans(thresholds.reclassify_aborts(runs, thresholds.abort_thresholds(runs))) <= 2
