@@ -68,8 +68,14 @@ def unit_json(compact: bool = True, pretty: bool = False) -> Column:
     )
 
 
+# Between pretty documents; inside one no line is empty.
+PRETTY_END = "\n\n"
+
+
 def file_name(product: Column) -> Column:
-    return F.regexp_replace(product, "[^A-Za-z0-9._-]", "_")
+    """A name for the product's files; one that had to be changed keeps a mark of the original."""
+    plain = F.regexp_replace(product, "[^A-Za-z0-9._-]", "_")
+    return F.when(plain == product, plain).otherwise(F.concat(plain, F.lit("-"), F.substring(F.sha1(product), 1, 8)))
 
 
 def summary_json(runs: DataFrame, generated_at: Column, warnings: Column | None = None) -> DataFrame:
@@ -89,24 +95,33 @@ def summary_json(runs: DataFrame, generated_at: Column, warnings: Column | None
 
 
 def write_artifact(
-    runs: DataFrame, path: str, generated_at: Column, compact: bool = True, pretty: bool = False, gzip: bool = False
+    runs: DataFrame,
+    path: str,
+    generated_at: Column,
+    compact: bool = True,
+    pretty: bool = False,
+    gzip: bool = False,
+    warnings: Column | None = None,
 ) -> None:
     """Write ``path``/units and ``path``/summary, partitioned by product file name.
 
     The rebalance hint lets AQE split a large product over files and merge small
-    ones, so the number of files follows the data.
+    ones, so the number of files follows the data. Pretty units take several lines
+    and end with an empty one. ``warnings``: an array of texts for the summaries.
     """
     options = {"compression": "gzip" if gzip else "none"}
+    ends = {"lineSep": PRETTY_END} if pretty else {}
     units = unit_rows(runs, compact).select(file_name(F.col("product")).alias("product"), unit_json(compact, pretty).alias("value"))
-    units.hint("rebalance", "product").write.options(**options).partitionBy("product").mode("errorifexists").text(
+    units.hint("rebalance", "product").write.options(**options, **ends).partitionBy("product").mode("errorifexists").text(
         f"{path}/units"
     )
-    docs = summary_json(runs, generated_at).select(file_name(F.col("product")).alias("product"), F.col("doc").alias("value"))
+    docs = summary_json(runs, generated_at, warnings).select(file_name(F.col("product")).alias("product"), F.col("doc").alias("value"))
     docs.write.options(**options).partitionBy("product").mode("errorifexists").text(f"{path}/summary")
 
 
-def read_units(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("value string, product string").text(f"{path}/units")
+def read_units(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    reader = spark.read.schema("value string, product string")
+    return (reader.option("lineSep", PRETTY_END) if pretty else reader).text(f"{path}/units")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

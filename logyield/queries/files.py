@@ -606,3 +606,32 @@ def batch_rewrite(spark, sf_dir):
     batches.write_batches(again.withColumn("version", F.lit("second")), path)
     rows = batches.read_batches(spark, path, "unit_id string, result string, version string, batch_id string")
     return rows.groupBy("batch_id", "version").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query(
+    "expired_dropped",
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS batch_id, count(*) AS rows FROM events GROUP BY 1
+    HAVING max(ts) >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY""",
+)
+def expired_dropped(spark, sf_dir):
+    path, schema = new_table_path(spark, "batches"), "event_id bigint, ts timestamp_ntz, batch_id string"
+    events = proxies.table(spark, sf_dir, "events")
+    batches.write_batches(events.select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("batch_id")), path)
+    batches.drop_expired(spark, path, schema, F.lit(AS_OF).cast("timestamp_ntz"), created="ts")
+    return batches.read_batches(spark, path, schema).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "batch_states",
+    f"""WITH {RUNS}, s AS (SELECT product_code AS batch_id, count(*) FILTER (WHERE result = 'FAIL' AND error_code IS NOT NULL) AS processed,
+      count(*) FILTER (WHERE result = 'FAIL') AS total, count(*) AS runs, count(DISTINCT error_message) FILTER (WHERE result = 'FAIL') AS signatures
+      FROM runs GROUP BY 1)
+    SELECT batch_id, CASE WHEN processed < total THEN 'running' ELSE 'done' END AS status,
+      CASE WHEN total = 0 THEN 'No failing run' ELSE processed || ' of ' || total || ' failing runs have an answer' END AS message,
+      processed, total, runs, signatures, CAST(0 AS BIGINT) AS warnings FROM s""",
+)
+def batch_states(spark, sf_dir):
+    runs = proxies.runs(spark, sf_dir).select(
+        F.col("product_code").alias("batch_id"), "result", F.col("error_message").alias("signature"), "error_code"
+    )
+    return batches.batch_states(runs, F.col("error_code").isNotNull())

@@ -285,12 +285,46 @@ def test_artifact_files(spark, tmp_path):
     path = f"{tmp_path}/out"
     artifact.write_artifact(runs_frame(spark), path, F.lit("2026-01-02 00:00:00").cast("timestamp_ntz"))
     docs = {r.product: json.loads(r.value) for r in artifact.read_summaries(spark, path).collect()}
-    assert set(docs) == {"K_1", "UNKNOWN"}
-    assert docs["K_1"]["schema_version"] == 2 and docs["K_1"]["product_code"] == "K/1"
-    assert docs["K_1"]["generated_at"] == "2026-01-02T00:00:00Z"
-    assert docs["K_1"]["summary"] == {"total": 2, "pass": 1, "fail": 1, "unknown": 0, "fpy": 50.0, "run_count": 2, "retests": 0}
+    import hashlib
+
+    name = "K_1-" + hashlib.sha1(b"K/1").hexdigest()[:8]  # apart from a product named K_1
+    assert set(docs) == {name, "UNKNOWN"}
+    assert docs[name]["schema_version"] == 2 and docs[name]["product_code"] == "K/1"
+    assert docs[name]["generated_at"] == "2026-01-02T00:00:00Z" and docs[name]["warnings"] == []
+    assert docs[name]["summary"] == {"total": 2, "pass": 1, "fail": 1, "unknown": 0, "fpy": 50.0, "run_count": 2, "retests": 0}
     sizes = {r.product: r.bytes for r in artifact.written_bytes(spark, path).collect()}
-    assert sizes["K_1"] == sum(len(r.value.encode()) + 1 for r in artifact.read_units(spark, path).filter("product = 'K_1'").collect())
+    units = artifact.read_units(spark, path).filter(F.col("product") == name).collect()
+    assert sizes[name] == sum(len(r.value.encode()) + 1 for r in units)
+    pretty = f"{tmp_path}/pretty"
+    at = F.lit("2026-01-02 00:00:00").cast("timestamp_ntz")
+    artifact.write_artifact(runs_frame(spark), pretty, at, pretty=True, warnings=F.array(F.lit("w1")))
+    shown = [json.loads(r.value) for r in artifact.read_units(spark, pretty, pretty=True).collect()]
+    plain = [json.loads(r.value) for r in artifact.read_units(spark, path).collect()]
+    assert sorted(map(str, shown)) == sorted(map(str, plain)) and len(shown) == 3
+    assert [json.loads(r.value)["warnings"] for r in artifact.read_summaries(spark, pretty).collect()] == [["w1"]] * 2
+
+
+def test_expired_batches_go_as_a_whole(spark, tmp_path):
+    import datetime as dt
+
+    path, schema = f"{tmp_path}/kept", "n int, created_at timestamp_ntz, batch_id string"
+    old, new = dt.datetime(2026, 1, 1), dt.datetime(2026, 3, 1)
+    rows = [(1, old, "a b"), (2, old, "a b"), (3, old, "c/d"), (4, new, "c/d"), (5, new, "e")]
+    batches.write_batches(spark.createDataFrame(rows, schema), path)
+    at = F.lit("2026-03-05 00:00:00").cast("timestamp_ntz")
+    assert batches.drop_expired(spark, path, schema, at) == 1
+    assert {r.n for r in batches.read_batches(spark, path, schema).collect()} == {3, 4, 5}
+
+
+def test_batch_states(spark):
+    runs = spark.createDataFrame(
+        [("a", "FAIL", "s", True), ("a", "FAIL", "s", False), ("b", "FAIL", "t", True), ("c", "PASS", None, False)],
+        "batch_id string, result string, signature string, ok boolean",
+    )
+    warnings = spark.createDataFrame([("c", "w"), ("d", "w"), ("d", "v")], "batch_id string, warning string")
+    got = {r.batch_id: (r.status, r.processed, r.total, r.signatures, r.warnings)
+           for r in batches.interrupted(batches.batch_states(runs, F.col("ok"), warnings)).collect()}
+    assert got == {"a": ("error", 1, 2, 1, 0), "b": ("done", 1, 1, 1, 0), "c": ("done", 0, 0, 0, 1), "d": ("error", 0, 0, 0, 2)}
 
 
 def test_batch_replaced_as_a_whole(spark, tmp_path):
