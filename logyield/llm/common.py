@@ -6,16 +6,17 @@ depends on the slice size (or the longest single text) and not on the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logyield.session import new_table_path
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SALTS = 64
 
 
@@ -62,26 +63,42 @@ def aggregate_salted(df: DataFrame, keys: list[str], spread: list[str], first: d
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    """The UTF-8 bytes of a string or binary column; null counts as empty."""
-    array = batch.column(batch.schema.get_field_index(column))
-    if pa.types.is_null(array.type):
-        return [b""] * len(array)
-    if pa.types.is_string(array.type):
-        array = array.view(pa.binary())
-    elif pa.types.is_large_string(array.type):
-        array = array.view(pa.large_binary())
-    return [b"" if x is None else x for x in array.to_pylist()]
+class Texts(Sequence):
+    """The UTF-8 bytes of an Arrow column, made Python objects only when asked for; null counts as empty."""
 
+    def __init__(self, array: pa.Array):
+        if pa.types.is_null(array.type):
+            array = array.cast(pa.binary())
+        elif pa.types.is_string(array.type):
+            array = array.view(pa.binary())
+        elif pa.types.is_large_string(array.type):
+            array = array.view(pa.large_binary())
+        self.array = array
+        self.lengths = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    def __len__(self) -> int:
+        return len(self.array)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            low, high, _ = at.indices(len(self))
+            return [b"" if x is None else x for x in self.array.slice(low, high - low).to_pylist()]
+        return self.array[at].as_py() or b""
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> Texts:
+    """The texts of a string or binary column."""
+    return Texts(batch.column(batch.schema.get_field_index(column)))
+
+
+def slices(texts: Texts, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes; a longer text is a range of its own."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
+    for i, length in enumerate(texts.lengths.tolist()):
+        if i > start and size + length > limit:
             yield start, i
             start, size = i, 0
-        size += len(text) + 1
+        size += length + 1
     if start < len(texts):
         yield start, len(texts)
 

@@ -44,7 +44,7 @@ from .common import (
 SHINGLE = 5
 MOST_COMMON = 1 << 18
 COMMON_TEXTS = 64
-LOT_SHINGLES = 1 << 21
+LOT_SHINGLES = 1 << 20
 BUCKET_SHINGLES = 1 << 20
 BLOCK = 512
 FILTER_BLOCK = 2048

@@ -48,7 +48,7 @@ from .common import (
 LENGTH = 50
 SHARD_BYTES = 1 << 20
 HOT_TEXTS = 4096
-BUCKET_BYTES = 1_200_000
+BUCKET_BYTES = 800_000
 PIECE = 1 << 16
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
@@ -216,11 +216,10 @@ class RunLengthIndex:
         """(row, run) of the suffix one byte longer."""
         row = self.run_target[run] + row - self.run_starts[run]
         run = self.target_run[run]
-        while True:
-            beyond = row >= self.run_starts[run + 1]
-            if not beyond.any():
-                return row, run
-            run = run + beyond
+        # Mostly the target run; a row further on may be any number of runs away.
+        beyond = np.flatnonzero(row >= self.run_starts[run + 1])
+        run[beyond] = np.searchsorted(self.run_starts, row[beyond], side="right") - 1
+        return row, run
 
     def matching_statistics(self, queries: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For every place of the queries (one after the other) an occurrence of the longest match from there.
