@@ -40,11 +40,16 @@ def redact_columns(spark, sf_dir):
     return redaction.redact_columns(df, ["error_message", "debug_excerpt"])
 
 
+MASKED_HITS = " UNION ALL ".join(
+    f"SELECT '{n}' AS rule, CAST(sum(length(regexp_extract_all(t, '{p}'))) AS BIGINT) AS hits FROM masked"
+    for n, (p, _) in REDACTION.items()
+)
+
+
 @query(
     "redaction_audit",
-    "SELECT rule, CAST(0 AS BIGINT) AS hits FROM (VALUES "
-    + ", ".join(f"('{n}')" for n in REDACTION)
-    + ") v(rule) WHERE (SELECT count(*) FROM documents) > 0",
+    f"""WITH {TEXTS}, masked AS (SELECT regexp_replace({redact_sql('text')}, '{redaction.MASKED}', ' ', 'g') AS t FROM texts)
+    {MASKED_HITS}""",
 )
 def redaction_audit(spark, sf_dir):
     return redaction.audit(redact_text(spark, sf_dir), "text")
