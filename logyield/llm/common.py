@@ -6,7 +6,9 @@ depends on the slice size (or the longest single text) and not on the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from logyield.session import new_table_path
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2000
 SALTS = 64
 
 
@@ -24,12 +27,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept_table(df: DataFrame, name: str, partitions_by: tuple[str, ...] = ()) -> DataFrame:
+def kept_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder with zstd and read back: lineage is cut, lost executors cost nothing."""
-    path = new_table_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partitions_by) if partitions_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    with smaller_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: idle workers share an executor's limit with busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+def tidy(run):
+    """A ``mapInArrow`` function that gives its memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def tidy_group(run, least_bytes: int = 1 << 20):
+    """An ``applyInArrow`` function that gives its memory back after each large group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >= least_bytes:
+            give_back()
+        return out
+
+    return wrapped
+
+
+@contextmanager
+def smaller_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python workers ``BATCH_ROWS`` at a time: whole texts are wide, and both sides hold a batch."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -144,23 +191,15 @@ def mix_int(x: int) -> int:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(FACTOR))
 
 
-POWER_TABLES: dict[int, np.ndarray] = {}
-
-
 def powers(size: int, factor: int = FACTOR) -> np.ndarray:
-    """factor**0 ... factor**(size-1) modulo 2**64; the longest table per factor is kept."""
-    known = POWER_TABLES.get(factor)
-    if known is not None and len(known) >= size:
-        return known[:size]
-    room = 1 << max(16, (size - 1).bit_length())
-    out = np.ones(room, np.uint64)
+    """factor**0 ... factor**(size-1) modulo 2**64; quick to make, so none is kept between slices."""
+    out = np.ones(size, np.uint64)
     done = 1
-    while done < room:
-        step = min(done, room - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(factor, done, 1 << 64))
+    while done < size:
+        step = min(done, size - done)
+        np.multiply(out[:step], np.uint64(pow(factor, done, 1 << 64)), out=out[done : done + step])
         done += step
-    POWER_TABLES[factor] = out
-    return out[:size]
+    return out
 
 
 def word_spans(buffer: np.ndarray, wordly: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,46 +269,49 @@ def summed_vectors(parts: DataFrame, groups: int = 32) -> DataFrame:
 TABLE_BITS = 22
 
 
-class BitTable:
-    """2 ** ``TABLE_BITS`` bits, one per leading bits of a 64-bit hash; of fixed size, so always fit for broadcast.
+def bit_words(keys: DataFrame, column: str) -> DataFrame:
+    """(_w, _b): the bits of the (long) hashes in ``column`` as 64-bit words, 2 ** (TABLE_BITS - 6) rows at most.
 
     A clear bit proves that no key has the hash. The more keys, the more other rows share their bits: with very many
     keys every row may have one, which costs a larger shuffle and changes no result.
     """
+    slot = F.shiftrightunsigned(column, 64 - TABLE_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = keys.select(F.shiftright(slot, 6).alias("_w"), bit.alias("_b"))
+    return words.groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+
+
+class BitTable:
+    """The same bits as an array, for use inside Python workers."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @classmethod
     def of(cls, keys: DataFrame, column: str) -> BitTable:
-        """The table of the (long) hashes in ``column``."""
-        slot = F.shiftrightunsigned(column, 64 - TABLE_BITS)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-        found = keys.select(F.shiftright(slot, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        words = np.zeros(1 << (TABLE_BITS - 6), np.int64)  # as many rows at most
-        words[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        found = bit_words(keys, column).toArrow()
+        words = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+        words[found.column("_w").to_numpy()] = found.column("_b").to_numpy()
         return cls(words.view(np.uint64))
 
     def may_have(self, hashes: np.ndarray) -> np.ndarray:
         slot = hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
-    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-        """(rows that surely have no key, rows that may have one)."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
 
-        def only(wanted: bool):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    hashes = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
-                    yield batch.filter(pa.array(shared.value.may_have(hashes.astype(np.int64)) == wanted))
+def suspects(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` that surely have none of the hashes ``keys`` has in ``column``, rows that may have one).
 
-            return run
-
-        return df.mapInArrow(only(False), df.schema), df.mapInArrow(only(True), df.schema)
+    The table of bits is joined by broadcast: its size does not depend on the data.
+    """
+    slot = F.shiftrightunsigned(column, 64 - TABLE_BITS)
+    joined = df.withColumn("_w", F.shiftright(slot, 6)).join(F.broadcast(bit_words(keys, column)), "_w", "left")
+    shifted = F.call_function("shiftrightunsigned", F.col("_b"), F.pmod(slot, F.lit(64)).cast("int"))
+    may = F.coalesce(shifted.bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.where(~may).select(*df.columns), joined.where(may).select(*df.columns)
 
 
 def without(df: DataFrame, dropped: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose hash in ``column`` is not in ``dropped`` (distinct hashes); only suspects are shuffled."""
-    kept, suspects = BitTable.of(dropped, column).split(df, column)
-    return kept.unionByName(suspects.join(dropped.select(column), column, "left_anti").select(*df.columns))
+    kept, suspected = suspects(df, dropped, column)
+    return kept.unionByName(suspected.join(dropped.select(column), column, "left_anti").select(*df.columns))

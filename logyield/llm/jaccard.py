@@ -38,19 +38,20 @@ from pyspark.sql import functions as F
 
 from .common import (
     FACTOR, LOWERED, NOT_BLANK, BitTable, aggregate_salted, joined, kept_table, mix, salt_of, sequence_hashes, shuffle_width, signed,
-    slices, span_hashes, texts_of, word_spans,
+    slices, span_hashes, suspects, texts_of, tidy,
+    tidy_group, word_spans,
 )
 
 SHINGLE = 5
 MOST_COMMON = 1 << 18
 COMMON_TEXTS = 64
-LOT_SHINGLES = 1 << 20
+LOT_SHINGLES = 1 << 19
 BUCKET_SHINGLES = 1 << 20
 BLOCK = 512
 FILTER_BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 #: Cells of the matrix (walking sets x shared shingles) held at once.
-CELLS = 1 << 23
+CELLS = 1 << 21
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -129,7 +130,7 @@ def text_classes(documents: DataFrame) -> DataFrame:
                 )
 
     rows = documents.select(row_hash(documents).alias("row_key"), "doc_id", "text")
-    return kept_table(rows.mapInArrow(run, f"row_key long, doc_id {kind}, n_shingles long, class_key long"), "classes")
+    return kept_table(rows.mapInArrow(tidy(run), f"row_key long, doc_id {kind}, n_shingles long, class_key long"), "classes")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -160,7 +161,7 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.nd
 
     counted = (
         documents.select("text")
-        .mapInArrow(run, "shingle long, n long, name long")
+        .mapInArrow(tidy(run), "shingle long, n long, name long")
         .groupBy("shingle")
         .agg(F.sum("n").alias("n"), F.min("name").alias("name"))
         .where(F.col("n") >= COMMON_TEXTS)
@@ -255,9 +256,9 @@ def groups(documents: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"name": pa.array(name, pa.int64()), "member": pa.array(member, pa.int64())})
 
     packed = documents.select("text").mapInArrow(
-        emit, "bucket int, shingles binary, owners binary, names binary, members binary"
+        tidy(emit), "bucket int, shingles binary, owners binary, names binary, members binary"
     )
-    met = packed.groupBy("bucket").applyInArrow(meet, "name long, member long")
+    met = packed.groupBy("bucket").applyInArrow(tidy_group(meet), "name long, member long")
     return kept_table(met.distinct(), "groups")
 
 
@@ -313,7 +314,7 @@ def candidates(documents: DataFrame, members: DataFrame, parity: bool) -> DataFr
                 ["member", "n", "data"],
             )
 
-    found = documents.select("text").mapInArrow(run, "member long, n long, data binary")
+    found = documents.select("text").mapInArrow(tidy(run), "member long, n long, data binary")
     once = found.groupBy("member").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     return kept_table(once, "candidates")
 
@@ -349,7 +350,7 @@ def survivors(documents: DataFrame, found: DataFrame) -> DataFrame:
         return rows.select(["name", "member"]).filter(pa.array(some))
 
     maps = dealt(found, candidates(documents, found, parity=True), FILTER_BLOCK, 16 * BLOCK_SHINGLES)
-    left = maps.groupBy("name", "low", "high").applyInArrow(judge, "name long, member long")
+    left = maps.groupBy("name", "low", "high").applyInArrow(tidy_group(judge), "name long, member long")
     return kept_table(left.distinct(), "survivors")
 
 
@@ -482,7 +483,7 @@ def trie_join(left: list[np.ndarray], right: list[np.ndarray] | None = None) ->
     entry_lists = lists if within else lists[len(left) :]
     entry_sizes = sizes if within else sizes[len(left) :]
     trie = Trie(entry_lists, entry_sizes)
-    lot = max(1, min(256, CELLS // max(1, len(kept))))
+    lot = max(1, min(64, CELLS // max(1, len(kept))))
     first, second = [], []
     for low in range(0, len(left), lot):
         some = lists[low : min(low + lot, len(left))]
@@ -538,7 +539,7 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
             {"a": pa.array([member[x] for x, _ in edges], pa.int64()), "b": pa.array([member[y] for _, y in edges], pa.int64())}
         )
 
-    return kept_table(pairs.groupBy("name", "low", "high").applyInArrow(join, "a long, b long").distinct(), "links")
+    return kept_table(pairs.groupBy("name", "low", "high").applyInArrow(tidy_group(join), "a long, b long").distinct(), "links")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -619,13 +620,15 @@ def one_per_component(documents: DataFrame) -> DataFrame:
     ).where("n > 1")
     several = rows.withColumn("_salt", salt_of("row_key")).join(firsts, ["component_key", "_salt"])
     judged = kept_table(
-        several.groupBy("row_key").agg(F.first(F.col("row_key") != F.col("best.row_key")).alias("drop"), F.count("*").alias("n")),
+        several.groupBy(F.col("row_key").alias("_row_key")).agg(
+            F.first(F.col("row_key") != F.col("best.row_key")).alias("_drop"), F.count("*").alias("_copies")
+        ),
         "judged-rows",
     )
-    judged = judged.where("drop OR n > 1")
-    hashed = documents.withColumn("row_key", row_hash(documents))
-    kept, suspects = BitTable.of(judged, "row_key").split(hashed, "row_key")
-    suspects = suspects.join(judged, "row_key", "left")
-    single = suspects.where("drop IS NULL")
-    repeated = suspects.where("NOT drop").dropDuplicates(["row_key"])
-    return kept.unionByName(single.select(*hashed.columns)).unionByName(repeated.select(*hashed.columns)).drop("row_key")
+    judged = judged.where("_drop OR _copies > 1")
+    hashed = documents.withColumn("_row_key", row_hash(documents))
+    kept, suspected = suspects(hashed, judged, "_row_key")
+    suspected = suspected.join(judged, "_row_key", "left")
+    single = suspected.where("_drop IS NULL")
+    repeated = suspected.where("NOT _drop").dropDuplicates(["_row_key"])
+    return kept.unionByName(single.select(*hashed.columns)).unionByName(repeated.select(*hashed.columns)).drop("_row_key")

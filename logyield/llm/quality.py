@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, tidy
 from .labelled import held_out, training_rows
 
 WIDTH, STEP, FILTERS = 8, 2, 16
@@ -194,7 +194,7 @@ def with_scores(documents: DataFrame, network: bytes | None) -> DataFrame:
                 )
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "_score"])
 
-    return documents.mapInArrow(run, f"{schema}, `_score` double")
+    return documents.mapInArrow(tidy(run), f"{schema}, `_score` double")
 
 
 def score(documents: DataFrame, network: bytes | None, params: Params = Params()) -> DataFrame:

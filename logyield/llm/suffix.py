@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BYTE_VALUES, FACTOR, FACTOR_INVERSE, BitTable, aggregate_salted, joined, kept_table, mix, powers, salt_of, shuffle_width, slices, texts_of,
+    BYTE_VALUES, FACTOR, FACTOR_INVERSE, aggregate_salted, joined, kept_table, mix, powers, salt_of, shuffle_width, slices, suspects,
+    texts_of, tidy, tidy_group,
 )
 
 LENGTH = 50
@@ -354,7 +355,7 @@ def distinct_texts(documents: DataFrame, rows: DataFrame, length: int) -> DataFr
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("body"))
         .select("*", hashed)
     )
-    singles, copied = BitTable.of(twice, "hash").split(long_enough, "hash")
+    singles, copied = suspects(long_enough, kept_table(twice, "copied"), "hash")
     once = copied.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("body").alias("body"))
 
     def pack(salt: int):
@@ -380,7 +381,7 @@ def distinct_texts(documents: DataFrame, rows: DataFrame, length: int) -> DataFr
         return run
 
     out = "shard long, ids array<bigint>, digests array<string>, sizes array<bigint>, body binary"
-    shards = singles.mapInArrow(pack(0), out).unionByName(once.select("doc_id", "digest", "body").mapInArrow(pack(1), out))
+    shards = singles.mapInArrow(tidy(pack(0)), out).unionByName(once.select("doc_id", "digest", "body").mapInArrow(tidy(pack(1)), out))
     return kept_table(shards, "shards")
 
 
@@ -453,8 +454,8 @@ def shared_anchors(shards: DataFrame, buckets: int, length: int) -> DataFrame:
             out.append(own.tobytes())
         return pa.table({"shard": rows.column("shard"), "anchors": pa.array(out, pa.binary())})
 
-    packed = shards.select("shard", "ids", "sizes", "body").mapInArrow(emit, "bucket int, shard long, anchors binary")
-    met = packed.groupBy("bucket").applyInArrow(meet, "shard long, anchors binary")
+    packed = shards.select("shard", "ids", "sizes", "body").mapInArrow(tidy(emit), "bucket int, shard long, anchors binary")
+    met = packed.groupBy("bucket").applyInArrow(tidy_group(meet), "shard long, anchors binary")
     return kept_table(met.where(F.length("anchors") > 0), "anchors")
 
 
@@ -514,7 +515,7 @@ def contexts(shards: DataFrame, shared: DataFrame, buckets: int, length: int) ->
                 )
 
     joined_rows = shards.select("shard", "ids", "sizes", "body").join(lists, "shard")
-    return joined_rows.mapInArrow(emit, CONTEXTS)
+    return joined_rows.mapInArrow(tidy(emit), CONTEXTS)
 
 
 def marks(dealt: DataFrame, length: int) -> DataFrame:
@@ -546,7 +547,7 @@ def marks(dealt: DataFrame, length: int) -> DataFrame:
             {"shard": pa.array(out_shard, pa.int64()), "places": pa.array(out_place, pa.binary()), "bits": pa.array(out_bits, pa.binary())}
         )
 
-    return kept_table(dealt.groupBy("bucket").applyInArrow(judge, "shard long, places binary, bits binary"), "marks")
+    return kept_table(dealt.groupBy("bucket").applyInArrow(tidy_group(judge), "shard long, places binary, bits binary"), "marks")
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -595,7 +596,7 @@ def cleaned(shards: DataFrame, marked: DataFrame, length: int, with_text: bool)
                 )
 
     schema = "digest string, least_id long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept_text string"
-    return kept_table(shards.join(lists, "shard", "left").mapInArrow(run, schema), "cleaned")
+    return kept_table(shards.join(lists, "shard", "left").mapInArrow(tidy(run), schema), "cleaned")
 
 
 def repeated_passages(documents: DataFrame, length: int = LENGTH, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -646,18 +647,19 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     touched = texts.where(F.size("spans") > 0).select("digest").union(copies).distinct()
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     marked = documents.withColumn("_digest", F.md5(text)).withColumn("_hash", F.xxhash64("_digest"))
-    same, others = BitTable.of(touched.select(hashed), "_hash").split(marked, "_hash")
+    same, others = suspects(marked, kept_table(touched.select(hashed), "touched"), "_hash")
     salted = others.withColumn("_salt", salt_of("doc_id"))
     salts = aggregate_salted(salted.select("_digest", "doc_id"), ["_digest"], ["doc_id"], {"n": F.count("*")}, {"n": F.sum("n")})
     found = texts.join(touched, "digest", "left_semi").select(
-        F.col("digest").alias("_digest"), "least_id", "kept_text", (F.size("spans") > 0).alias("cut")
+        F.col("digest").alias("_digest"), F.col("least_id").alias("_least_id"), F.col("kept_text").alias("_kept_text"),
+        (F.size("spans") > 0).alias("_cut"),
     )
     found = found.join(salts.select("_digest", "_salt"), "_digest")
     both = salted.join(found, ["_digest", "_salt"], "left")
-    known = F.col("least_id").isNotNull() & F.col("doc_id").isNotNull()
-    copy = known & (F.col("doc_id").cast("long") > F.col("least_id"))
-    own = known & F.coalesce("cut", F.lit(False))
-    both = both.withColumn("text", F.when(copy, F.lit("")).when(own, F.col("kept_text")).otherwise(F.col("text")))
+    known = F.col("_least_id").isNotNull() & F.col("doc_id").isNotNull()
+    copy = known & (F.col("doc_id").cast("long") > F.col("_least_id"))
+    own = known & F.coalesce("_cut", F.lit(False))
+    both = both.withColumn("text", F.when(copy, F.lit("")).when(own, F.col("_kept_text")).otherwise(F.col("text")))
     both = both.where(~((copy | own) & (F.col("text") == "")))
     out = same.select(*documents.columns).unionByName(both.select(*documents.columns))
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

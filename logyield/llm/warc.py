@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from logyield.session import new_table_path
 
-from .common import BitTable, aggregate_salted, kept_table, salt_of, texts_of
+from .common import aggregate_salted, kept_table, salt_of, suspects, texts_of
 
 CHUNK_BYTES = 64 << 10
 VERSION = b"WARC/1.0"
@@ -133,7 +133,7 @@ def classified(chunks: DataFrame, kind: str, least_bytes: int) -> DataFrame:
         "payload_digest", "payload_bytes", "record_id", F.col("page_id").cast(kind).alias("id")
     )
     twice = heads.groupBy("payload_digest").agg(F.count("*").alias("n")).where("n > 1").select(hashed)
-    alone, copies = BitTable.of(twice, "hash").split(chunks.select("*", hashed), "hash")
+    alone, copies = suspects(chunks.select("*", hashed), twice, "hash")
     largest = F.struct(F.col("id").isNotNull().alias("real"), "id", "record_id")
     winners = aggregate_salted(
         heads, ["payload_digest", "payload_bytes"], ["record_id"],

@@ -48,6 +48,7 @@ def near_copies(seed, n=70):
     return rows + [(900, "a B"), (901, "a b c d"), (None, "only null"), (902, "É é"), (903, "É É")]
 
 
+CLASHING = "doc_id bigint, text string, component_id string, n_shingles int, drop boolean, n int, row_key string"
 SETTINGS = [{}, {"COMMON_TEXTS": 4, "LOT_SHINGLES": 400, "BLOCK": 3, "FILTER_BLOCK": 5, "CELLS": 50}]
 
 
@@ -57,7 +58,7 @@ def test_components(spark, monkeypatch, settings):
         monkeypatch.setattr(jaccard, name, value)
     rows = near_copies(len(settings))
     sets, group = brute(rows)
-    documents = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, component_id string, n_shingles int")
+    documents = spark.createDataFrame([(*r, "x", 1, True, 2, "y") for r in rows], CLASHING)
     got = jaccard.near_duplicates(documents.repartition(4)).collect()
     want = []
     for (doc_id, _), own, g in zip(rows, sets, group):

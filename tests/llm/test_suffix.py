@@ -41,6 +41,9 @@ def passages(seed, n=50):
     return rows + [(3000, "short"), (3001, "\x00" * 120), (3002, "\x00" * 70 + "z"), (rows[2][0], shared[0] + "other"), (3003, "x" * 50)]
 
 
+CLASHING = "doc_id bigint, text string, digest string, n_bytes int, least_id int, cut boolean"
+
+
 @pytest.mark.parametrize("hot_texts, bucket_bytes", [(4096, 1_200_000), (1, 300)])
 def test_removal(spark, monkeypatch, hot_texts, bucket_bytes):
     monkeypatch.setattr(suffix, "HOT_TEXTS", hot_texts)
@@ -49,7 +52,7 @@ def test_removal(spark, monkeypatch, hot_texts, bucket_bytes):
     monkeypatch.setattr(suffix, "PIECE", 64)
     rows = passages(hot_texts)
     want = removed(rows, suffix.LENGTH)
-    documents = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id bigint, text string, digest string, n_bytes int")
+    documents = spark.createDataFrame([(*r, "x", 7, 1, True) for r in rows], CLASHING)
     got = suffix.remove_repeats(documents.repartition(3)).collect()
     key = repr
     assert sorted(map(tuple, got), key=key) == sorted((w[:5] for w in want), key=key)
