@@ -6,12 +6,15 @@ its id, so one that is repeated after a failure leaves the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.yields import percent
 from ..plans.parse import parse_logs
+from ..plans.parse_lines import parse_lines, read_log_lines, with_nested_steps
 from ..schema import FAIL, PASS
 from ..sources import folders
 
@@ -19,7 +22,7 @@ LOG_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, conte
 DAY_SCHEMA = "date string, pass bigint, fail bigint, micro_batch bigint"
 
 
-TOO_LARGE = "Too large for the stream, read by the batch job: "
+LARGE = "Large log, read line by line: "
 
 
 def _arriving(spark: SparkSession, root: str, max_files: int) -> DataFrame:
@@ -37,22 +40,57 @@ def _arriving(spark: SparkSession, root: str, max_files: int) -> DataFrame:
 
 
 def log_stream(spark: SparkSession, root: str, max_files: int = 10_000, row_bytes: int = folders.ROW_BYTES) -> DataFrame:
-    """Run logs appearing below ``root`` as (run_folder, file_name, text).
+    """Run logs of every size appearing below ``root``, named but not opened, for :func:`ingest_runs`.
 
-    Logs of ``row_bytes`` or more are not opened here: :func:`oversized_stream`
-    names them, and ``ingest_folder`` reads them line by line.
+    run_folder, file_name, path, file_key, size, root; ``as_lines`` marks logs of
+    ``row_bytes`` or more. At most ``max_files`` come in a micro-batch.
     """
-    return _arriving(spark, root, max_files).filter(F.col("length") < row_bytes).select(
-        "run_folder", "file_name", folders.decoded(F.col("content")).alias("text")
+    return _arriving(spark, root, max_files).select(
+        "run_folder",
+        "file_name",
+        "path",
+        F.col("_metadata.file_path").alias("file_key"),
+        F.col("length").alias("size"),
+        F.lit(root).alias("root"),
+        (F.col("length") >= row_bytes).alias("as_lines"),
     )
 
 
 def oversized_stream(
     spark: SparkSession, root: str, max_files: int = 10_000, row_bytes: int = folders.ROW_BYTES
 ) -> DataFrame:
-    """(run_folder, warning) of every arriving run log that :func:`log_stream` leaves to the batch job."""
+    """(run_folder, warning) of every arriving run log that is read line by line."""
     large = _arriving(spark, root, max_files).filter(F.col("length") >= row_bytes)
-    return large.select("run_folder", F.concat(F.lit(TOO_LARGE), "run_folder", F.lit("/"), "file_name").alias("warning"))
+    return large.select("run_folder", F.concat(F.lit(LARGE), "run_folder", F.lit("/"), "file_name").alias("warning"))
+
+
+def parse_files(arrived: DataFrame) -> DataFrame | None:
+    """Runs, with their steps, of one micro-batch of :func:`log_stream`; None without logs.
+
+    The paths, as many as the stream's ``max_files`` at most, are collected, so
+    that only this batch's files are listed and read, each by the parser for its
+    size. Of a folder's large logs the first by name is parsed, which is the only
+    one that ``one_log_per_folder`` could keep.
+    """
+    spark = arrived.sparkSession
+    files = arrived.collect()
+    whole = [f["path"] for f in files if not f["as_lines"]]
+    first = {}
+    for f in sorted((f for f in files if f["as_lines"]), key=lambda f: f["file_name"].encode()):
+        first.setdefault(f["run_folder"], f)
+    parts = []
+    if whole:
+        # A log that has grown since it was listed is still read.
+        parts.append(parse_logs(folders.read_logs(spark, files[0]["root"], 1 << 62, paths=whole)))
+    if first:
+        logs = list(first.values())
+        chosen = spark.createDataFrame(
+            [(f["run_folder"], f["file_name"], f["file_key"], f["size"]) for f in logs],
+            "run_folder string, file_name string, file_key string, size bigint",
+        )
+        lines = read_log_lines(spark, files[0]["root"], chosen, paths=[f["path"] for f in logs])
+        parts.append(with_nested_steps(*parse_lines(lines)))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _replace_partition(path: str):
@@ -67,13 +105,22 @@ def _replace_partition(path: str):
 def ingest_runs(logs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Parse each new log once and append its run; stops when the input is used up.
 
-    ``logs`` is the stream of :func:`log_stream` or any (run_folder, file_name,
-    text) stream. Folders with several logs are settled by the reader with
-    ``one_log_per_folder``, as files of one folder may arrive in different batches.
+    ``logs`` is the stream of :func:`log_stream`, whose logs of any size give the
+    same runs and steps, or any (run_folder, file_name, text) stream. Folders with
+    several logs are settled by the reader with ``one_log_per_folder``, as files
+    of one folder may arrive in different batches.
     """
+    replace = _replace_partition(path)
+
+    def read_and_replace(arrived: DataFrame, micro_batch: int) -> None:
+        runs = parse_files(arrived)
+        if runs is not None:
+            replace(runs, micro_batch)
+
+    by_path = "as_lines" in logs.columns
     return (
-        parse_logs(logs)
-        .writeStream.foreachBatch(_replace_partition(path))
+        (logs if by_path else parse_logs(logs))
+        .writeStream.foreachBatch(read_and_replace if by_path else replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

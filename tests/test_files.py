@@ -182,6 +182,24 @@ def test_stream_from_files(spark, batch, tmp_path):
     assert {r.serial_number for r in spark.read.parquet(f"{tmp_path}/runs").collect()} == {"SN1", "SN2"}
 
 
+def test_stream_gives_one_result_for_every_size(spark, tmp_path):
+    """Small and large logs, together in a batch or not, with and without steps; two large ones in a folder."""
+    root = tmp_path / "logs"
+    for n, folder in enumerate(["STC_none", "day [1]/run {a,b}", "day%201/50% done", "größe *"]):
+        steps = "".join(f"***Step{i} test start.***\nTEST PASSED\n***Step{i} test end.***\n" for i in range(n * 12))
+        put(root, f"{folder}/ftrunnerlog 0{n}%41.txt", steps + LOG.format(sn=f"SN{n}", done=BAD))
+    put(root, "größe */ftrunnerlog 99.txt", LOG.format(sn="later by name", done=BAD) * 9)
+    found = []
+    for n, (row_bytes, max_files) in enumerate([(1 << 30, 10), (1, 10), (900, 10), (900, 1)]):
+        logs = jobs.log_stream(spark, str(root), max_files, row_bytes)
+        jobs.ingest_runs(logs, f"{tmp_path}/runs{n}", f"{tmp_path}/cp{n}").awaitTermination()
+        runs = parse.one_log_per_folder(spark.read.parquet(f"{tmp_path}/runs{n}").drop("micro_batch"))
+        found.append({r.run_folder: r.asDict(recursive=True) for r in runs.collect()})
+    assert [len(found[0][f]["steps"]) for f in sorted(found[0])] == [0, 12, 24, 36]
+    assert found[0] == found[1] == found[2] == found[3]
+    assert {r["serial_number"] for r in found[0].values()} == {f"SN{n}" for n in range(4)}
+
+
 def archive_rows(spark, items):
     return spark.createDataFrame(items, "archive string, content binary")
 
