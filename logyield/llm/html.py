@@ -11,6 +11,9 @@ length, share of linked text — gives log odds for content against boilerplate.
 Maximum flow (Dinic) leaves the blocks on the source's side of a minimum cut: content. Their texts in page order, one per
 line, are the page's text.
 
+Boilerplate words of class and id count neither on html and body nor on the elements around the main element or around the
+article with most text.
+
 Never part of any block: scripts, styles, markup, comments, the head, form controls. Null and empty html gives an empty
 text with 0 characters. Broken markup is read on as far as it goes: unclosed elements end with their parents, an unfinished
 tag at the end is dropped. Pages are handled row by row, so repeated rows, repeated or null ids do not matter; extra
@@ -23,8 +26,9 @@ from __future__ import annotations
 import html as references
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +46,7 @@ AUTO_CLOSED = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset([
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_ELEMENTS = frozenset("nav footer aside form menu dialog fieldset address".split())
 CONTENT_ELEMENTS = frozenset("article main".split())
+ROOTS = frozenset("html body".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 #: Words of class and id attributes.
 BOILERPLATE_WORDS = frozenset(
@@ -87,8 +92,18 @@ class Weights:
     sibling: float = 0.6
 
 
-def element(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(boilerplate, content element, content words) that an element says about the text in it."""
+class Judgement(NamedTuple):
+    """What an element says about the text in it."""
+
+    boilerplate: bool  # by its name or role
+    worded: bool  # by words of class and id
+    content: bool
+    content_words: bool
+    main: bool
+    words: frozenset
+
+
+def element(tag: str, attributes: str) -> Judgement:
     words: set[str] = set()
     role = ""
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
@@ -97,11 +112,12 @@ def element(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             role = value
         else:
             words.update(WORD.findall(value))
+    main = tag == "main" or role == "main"
+    content = main or tag in CONTENT_ELEMENTS or role == "article"
+    # Words of a page's outermost elements tell how it is laid out.
+    worded = tag not in ROOTS and bool(words & (COMMENT_WORDS if content else BOILERPLATE_WORDS))
     boilerplate = tag in BOILERPLATE_ELEMENTS or role in BOILERPLATE_ROLES
-    content = tag in CONTENT_ELEMENTS or role in ("main", "article")
-    if not content or words & COMMENT_WORDS:
-        boilerplate = boilerplate or bool(words & BOILERPLATE_WORDS)
-    return boilerplate, content, bool(words & CONTENT_WORDS)
+    return Judgement(boilerplate, worded, content, bool(words & CONTENT_WORDS), main, frozenset(words))
 
 
 class Reader:
@@ -176,18 +192,63 @@ class Reader:
             else:
                 self.start(tag, match.group(3))
         self.flush()
+        clear_wrappers(self.blocks)
         return self.blocks
 
 
+def texts_by_holder(blocks: list[Block], fits: Callable[[str, Judgement], bool]) -> tuple[dict[int, int], dict[int, tuple]]:
+    """Of each element that fits and stands in no boilerplate element: the length of the unlinked text that no element
+    in between calls boilerplate, each text at its innermost such element; and the elements around it."""
+    length: dict[int, int] = {}
+    around: dict[int, tuple] = {}
+    for block in blocks:
+        chain = block.chain
+        at = next((i for i in range(len(chain) - 1, -1, -1) if fits(*chain[i][1:]) and not chain[i][2].worded), -1)
+        if at < 0 or any(judged.boilerplate for _, _, judged in chain[: at + 1]):
+            continue
+        inside = not any(judged.boilerplate or judged.worded for _, _, judged in chain[at + 1 :])
+        number = chain[at][0]
+        around[number] = chain[:at]
+        length[number] = length.get(number, 0) + inside * (len(block.text) - block.linked)
+    return length, around
+
+
+def wrappers(blocks: list[Block]) -> set[int]:
+    """Elements whose boilerplate words do not speak of the text in them: those around the main element and around the
+    content element with most text, and those around other content elements with the same name and words as one of them.
+    On a page without text in content elements, elements with content words take their place if all stand in such wrappers."""
+    length, around = texts_by_holder(blocks, lambda _, judged: judged.content)
+    if not any(length.values()):
+        length, around = texts_by_holder(blocks, lambda tag, judged: judged.content_words and tag not in ROOTS)
+        if any(not any(e[2].worded for e in chain) for chain in around.values()):
+            return set()
+    if not length:
+        return set()
+    first = list(around[max(length, key=length.__getitem__)])
+    for block in blocks:
+        at = next((i for i in range(len(block.chain) - 1, -1, -1) if block.chain[i][2].main), 0)
+        first.extend(block.chain[:at])
+    found = {number for number, _, judged in first if judged.worded}
+    alike = {(tag, judged.words) for _, tag, judged in first if judged.worded}
+    return found | {n for chain in around.values() for n, tag, judged in chain if judged.worded and (tag, judged.words) in alike}
+
+
+def clear_wrappers(blocks: list[Block]) -> None:
+    """Takes the boilerplate words from the :func:`wrappers`."""
+    if any(e[2].worded for block in blocks for e in block.chain) and (cleared := wrappers(blocks)):
+        for block in blocks:
+            block.chain = tuple((n, tag, j._replace(worded=False) if n in cleared else j) for n, tag, j in block.chain)
+
+
 def odds(block: Block, weights: Weights) -> float:
     """Log odds of content against boilerplate."""
     out = weights.offset
     inside = words = False
-    for _, tag, (boilerplate, content, content_words) in block.chain:
-        if content:
+    for _, tag, judged in block.chain:
+        if judged.content:
             inside = True
-        words = words or content_words
-        if boilerplate or tag == "header" and not inside:
+        words = words or judged.content_words
+        if judged.boilerplate or judged.worded or tag == "header" and not inside:
             out += weights.boilerplate
             break
     share = min(1.0, block.linked / max(1, len(block.text)))

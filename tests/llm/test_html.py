@@ -42,6 +42,39 @@ def test_small_pages(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "".join(f"<p>Paragraph {i} of the story, long enough to count.</p>" for i in range(4))
+LINES = "\n".join(f"Paragraph {i} of the story, long enough to count." for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        '<html class="has-menu"><body class="home has-sidebar">{}</body></html>', '<div id=page class="comments-open">{}</div>',
+        '<div class="read more">{}</div>', '<div class="popular"><section id="search-legal">{}</section></div>',
+        '<main><div class="related">{}</div></main>', '<div class="sidebar-left"><main>{}</main></div>',
+        '<div class="sidebar-left"><div role="main">{}</div></div>',
+    ],
+)
+@pytest.mark.parametrize("story", ["<article>{}</article>", '<div class="entry">{}</div>'])
+def test_words_around_the_article(wrapped, story):
+    others = '<nav>Menu</nav><div class="ad">Buy this.</div><section class="comments"><p>A reader comment, with some words in it.</p></section>'
+    assert html.main_text(wrapped.format(others + story.format(STORY))) == LINES
+
+
+def test_words_around_other_articles():
+    card = "<article><h3>Another story</h3><p>Some words about another story that is told elsewhere.</p></article>"
+    comment = '<article class="comment"><p>A reader comment, with some words in it, and a few more.</p></article>'
+    for page in (
+        f'<body class="more"><article>{STORY}</article><div class="related">{card}</div>{comment}',
+        f'<div class="more"><main>{STORY}<div class="related">{card}</div></main>{comment}</div>',
+        f'<div class="more"><article>{STORY}</article><div class="related">{card * 3}</div></div>',
+    ):
+        assert html.main_text(page) == LINES
+    post = '<div class="post comments-open" id="p{}"><article><p>{}</p></article></div>'
+    texts = ["A short post of one line, no more.", "A longer post, which has a few words more than the others on this page."]
+    assert html.main_text("".join(post.format(i, t) for i, t in enumerate(texts))) == "\n".join(texts)
+
+
 def test_cut_is_minimal():
     dice = random.Random(2)
     weights = html.Weights(neighbour=3.0, sibling=1.5)
