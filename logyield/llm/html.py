@@ -16,7 +16,8 @@ article with most text.
 
 Never part of any block: scripts, styles, markup, comments, the head, form controls. Null and empty html gives an empty
 text with 0 characters. Broken markup is read on as far as it goes: unclosed elements end with their parents, an unfinished
-tag at the end is dropped. Pages are handled row by row, so repeated rows, repeated or null ids do not matter; extra
+tag at the end is dropped; a head ends at the first text or element that cannot be in it, an unclosed form control at the
+next flow element, and unclosed media, objects and maps hide nothing. Pages are handled row by row, so repeated rows, repeated or null ids do not matter; extra
 columns are carried only if asked for. An empty table gives an empty result. A page is one task's work; memory is that of
 the page.
 """
@@ -41,6 +42,11 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 SILENT = frozenset("head select option optgroup button datalist object canvas audio video map".split())
+#: Silent elements whose end tag may be left out: the head before the first element that cannot be in it, the others before
+#: the next element that is no inline one. A control without its end tag is closed like them; others without it are not silent.
+HEAD_ONLY = frozenset("base basefont bgsound link meta script style template title noscript noframes".split())
+OPTIONS = frozenset("option optgroup".split())
+CONTROLS = frozenset("select datalist button".split())
 AUTO_CLOSED = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
                "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -123,13 +129,16 @@ def element(tag: str, attributes: str) -> Judgement:
 class Reader:
     """Splits a page into blocks, keeping the chain of open elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, unended: frozenset = frozenset()) -> None:
         self.blocks: list[Block] = []
         self.open: list[tuple] = []  # (number, tag, judgement)
         self.pieces: list[tuple[str, bool]] = []
         self.links = 0
         self.silent = 0
         self.number = 0
+        self.known = unended  # silent elements without end tag, from an earlier reading
+        self.unended: set[int] = set()
+        self.bounded = 0  # open elements that the next flow element closes
 
     def flush(self) -> None:
         if self.pieces:
@@ -139,21 +148,52 @@ class Reader:
                 self.blocks.append(Block(text, tuple(e for e in self.open if e[1] not in INLINE), linked))
             self.pieces = []
 
+    def pop(self) -> tuple[int, str]:
+        number, name, _ = self.open.pop()
+        self.links -= name == "a"
+        self.silent -= self.is_silent(number, name)
+        self.bounded -= self.is_bounded(number, name)
+        return number, name
+
+    def is_silent(self, number: int, tag: str) -> bool:
+        return tag in SILENT and (number not in self.known or tag in CONTROLS)
+
+    def is_bounded(self, number: int, tag: str) -> bool:
+        return tag in OPTIONS or tag in CONTROLS and number in self.known
+
     def close(self, tag: str) -> None:
         if any(e[1] == tag for e in self.open):
-            while self.open:
-                name = self.open.pop()[1]
-                self.links -= name == "a"
-                self.silent -= name in SILENT
+            while True:
+                number, name = self.pop()
                 if name == tag:
                     break
+                self.missed(number, name)
+
+    def missed(self, number: int, tag: str) -> None:
+        """An element ends without its end tag."""
+        if tag in SILENT and tag != "head" and tag not in OPTIONS:
+            self.unended.add(number)
+
+    def end_bounded(self) -> None:
+        """Closes all from the outermost element that ends before a flow element."""
+        while self.bounded:
+            self.missed(*self.pop())
+
+    def end_head(self) -> None:
+        if self.open and self.open[-1][1] == "head":
+            self.flush()
+            self.pop()
 
     def start(self, tag: str, attributes: str) -> None:
+        if tag not in HEAD_ONLY:
+            self.end_head()
         if tag == "br":
             self.pieces.append((" ", False))
             return
         if tag not in INLINE:
             self.flush()
+            if self.bounded and tag not in VOID and tag not in OPTIONS:
+                self.end_bounded()
             ended = AUTO_CLOSED.get(tag) or (AUTO_CLOSED["p"] if tag not in VOID else ())
             for name in ended:
                 at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][1] == name), -1)
@@ -165,13 +205,26 @@ class Reader:
         self.number += 1
         self.open.append((self.number, tag, element(tag, attributes)))
         self.links += tag == "a"
-        self.silent += tag in SILENT
+        self.silent += self.is_silent(self.number, tag)
+        self.bounded += self.is_bounded(self.number, tag)
 
     def read(self, page: str) -> list[Block]:
+        self.scan(page)
+        if self.unended:
+            # Only the whole page tells which end tags are missing.
+            again = Reader(frozenset(self.unended))
+            again.scan(page)
+            self.blocks = again.blocks
+        clear_wrappers(self.blocks)
+        return self.blocks
+
+    def scan(self, page: str) -> None:
         at = 0
         while at < len(page):
             match = TOKEN.search(page, at)
             upto = match.start() if match else len(page)
+            if upto > at and self.silent and self.open[-1][1] == "head" and not page[at:upto].isspace():
+                self.end_head()
             if upto > at and not self.silent:
                 self.pieces.append((page[at:upto], self.links > 0))
             if not match:
@@ -192,8 +245,8 @@ class Reader:
             else:
                 self.start(tag, match.group(3))
         self.flush()
-        clear_wrappers(self.blocks)
-        return self.blocks
+        while self.open:
+            self.missed(*self.pop())
 
 
 def texts_by_holder(blocks: list[Block], fits: Callable[[str, Judgement], bool]) -> tuple[dict[int, int], dict[int, tuple]]:

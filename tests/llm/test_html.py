@@ -75,6 +75,30 @@ def test_words_around_other_articles():
     assert html.main_text("".join(post.format(i, t) for i, t in enumerate(texts))) == "\n".join(texts)
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>t</title><meta name=x><body>", "<head><title>t</title><link href=x><script>s</script>",
+        "<head><style>z</style></html><head>", "<body><select><option>No<option>No", "<body><form><button>No</form>",
+        "<body><select><optgroup label=x><option>No</option>", "<body><datalist><option>No", "<body><button>No",
+        "<body><object data=x>", "<body><video src=x><source src=y>", "<body><audio src=x>", "<body><canvas id=c>", "<body><map><area>",
+        "<body><video>", "<body><object><object><video><canvas><select><option>No",
+        "<body><select><option>No</option></select><select><option>No", "<body><object><p><object><p>No</p></object></p>",
+    ],
+)
+def test_silent_elements_without_end_tags(before):
+    closed = "<video><p>Not supported by your browser, which is a pity.</p></video><select><option>x<option>y</select>"
+    assert html.main_text(f"{before}<article>{STORY}{closed}</article>") == LINES
+    assert html.main_text(f"<div>{before}</div><article>{STORY}{closed}</article></body></html>") == LINES
+
+
+def test_text_ends_the_head():
+    assert html.main_text("<head><title>t</title> <meta><b>Bold</b> words, more than enough of them to make up a paragraph of text.") == (
+        "Bold words, more than enough of them to make up a paragraph of text."
+    )
+    assert html.main_text("<head>\n<title>t</title>\n</head><main>x <video><p>no</p></video>y</main>").replace("\n", " ") == "x y"
+
+
 def test_cut_is_minimal():
     dice = random.Random(2)
     weights = html.Weights(neighbour=3.0, sibling=1.5)
