@@ -38,8 +38,9 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """What follows the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What follows the host up to ``?``, ``#`` or the end; empty where ``?`` or ``#`` follows the host at once."""
+    # The path is optional: else the search would go on to a later ``://``.
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)?", 1), F.lit(""))
 
 
 def host_key(host: Column) -> Column:

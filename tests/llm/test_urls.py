@@ -52,6 +52,20 @@ def test_fixed_and_random_urls(spark):
     compare(spark, rows + rows[:5], RULES)
 
 
+def test_address_in_query_or_fragment(spark):
+    cases = [
+        ("https://a.example.net?next=https://b.org/fr/x", "a.example.net", "", None, "allow"),
+        ("https://a.example.net#https://b.org/fr/x", "a.example.net", "", None, "allow"),
+        ("http://org?u=x://net/y", "org", "", None, "allow"),
+        ("http://?u=x://net/y", "", "", None, "allow"),
+        ("https://a.example.net/en/?next=https://b.org/fr/x", "a.example.net", "/en/", "example.net/en/", "allow"),
+        ("https://www.net/fr/a://b.org/x", "www.net", "/fr/a://b.org/x", "net/", "block"),
+    ]
+    pages = spark.createDataFrame([(i, c[0], "clash", "clash") for i, c in enumerate(cases)], SCHEMA)
+    got = urls.judge(pages, spark.createDataFrame(RULES, urls.RULE_SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [(i, *c[1:]) for i, c in enumerate(cases)]
+
+
 def test_hot_url_is_spread_over_ranges(spark):
     rows = [(i, "http://www.example.net/en/", None, None) for i in range(300)] + [(400, "http://z.org/fr/", None, None)]
     compare(spark, rows, RULES)
