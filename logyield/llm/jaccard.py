@@ -19,7 +19,8 @@ one shingle. Texts with equal sets form a *class*, and everything below works on
    nodes. The sets of the other block walk down the tree side by side; a node's overlap is counted once for all sets
    below it. A subtree is left as soon as overlap so far + what can still come (the rest of the walking set, the longest
    rest below) cannot reach the overlap that the sizes ask for.
-5. **Components.** A task returns a spanning forest of the links it found, not all of them. Components follow by
+5. **Links and components.** :func:`links` returns every link between classes. For components, a task returns only a
+   spanning forest of the links it found. They follow by
    alternating large-star and small-star steps on the stored links, with hot centres salted.
 
 Null and empty texts, and texts without words, have the empty set, link with nothing and are their own component.
@@ -516,8 +517,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) class keys: a spanning forest, per block pair, of all links between different classes (stored)."""
+def links(documents: DataFrame, classes: DataFrame, spanning: bool = False) -> DataFrame:
+    """(a, b) class keys, a < b, of all links between different classes, each once (stored). Rows of one class in
+    ``classes`` link with one another and with all rows of the classes that theirs links with.
+
+    ``spanning``: only a spanning forest per block pair, which holds the same components together.
+    """
     width = shuffle_width(documents.sparkSession)
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     found = groups(documents, max(width, int(total // 4 // BUCKET_SHINGLES) + 1))
@@ -534,10 +539,10 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
             first, second = np.flatnonzero(own == low[0]), np.flatnonzero(own != low[0])
             a, b = trie_join([sets[i] for i in first], [sets[i] for i in second])
             a, b = first[a], second[b]
-        edges = forest(len(sets), a, b)
-        return pa.table(
-            {"a": pa.array([member[x] for x, _ in edges], pa.int64()), "b": pa.array([member[y] for _, y in edges], pa.int64())}
-        )
+        if spanning:
+            a, b = np.array(forest(len(sets), a, b), np.int64).reshape(-1, 2).T
+        one, other = member[a], member[b]
+        return pa.table({"a": pa.array(np.minimum(one, other), pa.int64()), "b": pa.array(np.maximum(one, other), pa.int64())})
 
     return kept_table(pairs.groupBy("name", "low", "high").applyInArrow(tidy_group(join), "a long, b long").distinct(), "links")
 
@@ -582,7 +587,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id and component_key (null: links with nothing) for every row of
     ``documents`` (doc_id, text and any other columns)."""
     classes = text_classes(documents)
-    roots = components(links(documents, classes))
+    roots = components(links(documents, classes, spanning=True))
     filled = classes.where(F.col("class_key").isNotNull())
     per_class = kept_table(
         aggregate_salted(

@@ -82,6 +82,27 @@ def test_components(spark, monkeypatch, settings):
     assert sorted(left, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("settings", SETTINGS)
+def test_all_links(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = [(i, text) for i, (_, text) in enumerate(near_copies(3))]
+    rows += [(500 + i, " ".join(f"w{k}" for k in range(60 + i))) for i in range(4)]  # all linked with one another
+    sets = [shingles(text) for _, text in rows]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes = jaccard.text_classes(documents.repartition(4))
+    members = {}
+    for r in classes.where("class_key IS NOT NULL").collect():
+        members.setdefault(r.class_key, set()).add(r.doc_id)
+    found = jaccard.links(documents, classes).collect()
+    assert len(found) == len(set(found)) and all(r.a < r.b for r in found)
+    got = {frozenset((i, j)) for r in found for i in members[r.a] for j in members[r.b]}
+    ids = [r[0] for r in rows]
+    assert got == {
+        frozenset((ids[i], ids[j])) for i in range(len(rows)) for j in range(i) if sets[i] != sets[j] and linked(sets[i], sets[j])
+    }
+
+
 def test_trie_join_against_all_pairs():
     rng = np.random.default_rng(4)
     for _ in range(40):
