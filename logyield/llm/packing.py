@@ -10,6 +10,7 @@ matter, and there are at most ``capacity`` of them, so the instance is a histogr
    - no remaining item fits beside it: the item alone;
    - one item fills the bin exactly: the pair, as whatever else went beside it fits in that item's place;
    - at most two items fit beside it and the best single one is at least as long as the best two: that pair.
+   Sets of three, which the full procedure also fixes under a condition of their own, are left to the second step.
 2. **Best fit decreasing** of the rest, on groups of bins with equal room instead of single bins.
 
 The result is a list of patterns (how many items of which lengths share a bin, how many bins). Its size depends on
