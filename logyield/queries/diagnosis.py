@@ -302,6 +302,7 @@ def cache_upsert(spark, sf_dir):
     work = firsts(spark, sf_dir)
     # Answers ending in 'f' count as stub results, which are not stored.
     kind = F.when(F.col("signature").endswith("f"), "stub").otherwise("llm")
+    # Signatures below '4' get no answer on purpose: existing keys that a batch does not answer are the case under test.
     answers = work.filter(F.substring("signature", 1, 1) >= "4").withColumns(plan.stub_answer(work))
     fresh = plan.cache_entries(answers.withColumn("kind", kind), source="kind")
     return cache.upsert(sample_cache(work), fresh, now()).select(*LISTED_COLUMNS)
