@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, packing, quality, rules, suffix, toxicity, urls, warc
+from . import decontaminate, html, jaccard, packing, quality, repair, rules, suffix, toxicity, urls, warc, whitening
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -141,3 +141,87 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_extraction")
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"struct_pack(c := CAST({state}.c + {cost} AS BIGINT), t := {state}.t || '{letter}', o := {state}.o || {line})"
+
+
+def _only_if(condition: str, entry: str) -> str:
+    return f"CASE WHEN {condition} THEN {entry} ELSE struct_pack(c := CAST(1e12 AS BIGINT), t := '', o := '') END"
+
+
+def _repair_step() -> tuple[str, str]:
+    """(insertions, edit of a row): the states z, s, u, v (nothing yet, after s, after u, after a) before → after."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    inserts = (
+        "struct_pack(z := {a}.z, s := {a}.s, u := list_min([{a}.u, "
+        + ", ".join(_edit("{a}." + x, "2", "I", user) for x in "zsv") + "]), v := {a}.v)"
+    )
+    closed = "struct_pack(z := b.z, s := b.s, u := b.u, v := list_min([b.v, " + _edit("b.u", "2", "I", assistant) + "]))"
+    inserted = f"list_transform([{inserts}], lambda b: {closed})[1]"
+    keep = "chr(10) || x.role || ':' || x.text"
+    late = "CASE WHEN x.fault = 't' THEN 1 ELSE 0 END"
+    may = "x.fault NOT IN ('b', 'd')"
+    after = {
+        "z": ["d.z"], "s": ["d.s", _only_if(f"{may} AND x.i = 's'", _edit("d.z", late, "K", keep))],
+        "u": ["d.u"], "v": ["d.v"],
+    }
+    for before, now, initial, line in [*((b, "u", "u", user) for b in "zsv"), ("u", "v", "a", assistant)]:
+        after[now].append(_only_if(f"{may} AND x.i = '{initial}'", _edit("d." + before, late, "K", keep)))
+        after[now].append(_only_if(may, _edit("d." + before, f"2 + {late}", "R", f"{line} || x.text")))
+    states = []
+    for state, entries in after.items():
+        deleted = _edit(entries[0], "3", "D")
+        states.append(f"{state} := list_min([{', '.join([deleted, *entries[1:]])}])")
+    return inserted, f"struct_pack({', '.join(states)})"
+
+
+def _op12_sql() -> str:
+    inserted, edited = _repair_step()
+    step = f"list_transform([{inserted.format(a='a')}], lambda d: {edited})[1]"
+    never = "struct_pack(c := CAST(1e12 AS BIGINT), t := '', o := '')"
+    begin = f"struct_pack(z := struct_pack(c := CAST(0 AS BIGINT), t := '', o := ''), s := {never}, u := {never}, v := {never})"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH shown AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+dealt AS (
+  SELECT *, xor(list_reduce(list_transform(range(length(k)), lambda i: CAST(ord(substr(k, CAST(i + 1 AS INTEGER), 1)) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, byte)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS h FROM shown),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE h <> 0),
+placed AS (
+  SELECT *, substr(role, 1, 1) AS i, rtrim(text, {blanks}) AS solid,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(solid, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed),
+found AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+    list_reduce(list(struct_pack(role := role, text := text, i := i, fault := fault) ORDER BY n), lambda a, x: {step}, {begin}) AS a
+  FROM judged GROUP BY conv_id),
+ended AS (SELECT * EXCLUDE a, {inserted.format(a="a")} AS a FROM found),
+best AS (SELECT *, list_min([a.z, a.v]) AS e FROM ended)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.t, '') AS audit,
+  sha256(coalesce(substr(e.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS k LEFT JOIN best ON k.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+@query("op12_conversation_repair", _op12_sql())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
