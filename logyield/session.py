@@ -63,13 +63,22 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Removes one stored table once its last reader is done."""
+    _written[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
 def release(spark: SparkSession) -> int:
     """Removes every table that this application has stored; call it once no result is read any more."""
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        _delete(spark, path)
     return len(paths)
 
 
