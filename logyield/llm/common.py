@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logyield.session import new_table_path
+from logyield.session import new_table_path, remove_table
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2000
@@ -33,7 +33,15 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     with smaller_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_path = path
+    return table
+
+
+def freed(*tables: DataFrame) -> None:
+    """Removes tables of :func:`kept_table` that nothing reads any more; what was made from them is stored by then."""
+    for table in tables:
+        remove_table(table.sparkSession, table.kept_path)
 
 
 def give_back() -> None:

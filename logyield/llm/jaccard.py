@@ -42,6 +42,7 @@ from .common import (
     slices, span_hashes, suspects, texts_of, tidy,
     tidy_group, word_spans,
 )
+from .graphs import components, named
 
 SHINGLE = 5
 MOST_COMMON = 1 << 18
@@ -86,14 +87,16 @@ def class_key(shingles: np.ndarray) -> int:
     return int(signed(mix(total * np.uint64(FACTOR)))[0])
 
 
-def lots(batches: Iterator[pa.RecordBatch], distinct: bool = True) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def lots(
+    batches: Iterator[pa.RecordBatch], distinct: bool = True, size: int = SHINGLE
+) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(class keys, sets) of the non-empty sets, ``LOT_SHINGLES`` shingles at a time, each class once per task."""
     seen: set[int] = set()
-    keys, sets, size = [], [], 0
+    keys, sets, held = [], [], 0
     for batch in batches:
         texts = texts_of(batch)
         for low, high in slices(texts):
-            for own in shingle_sets(texts[low:high]):
+            for own in shingle_sets(texts[low:high], size):
                 if not len(own):
                     continue
                 key = class_key(own)
@@ -102,10 +105,10 @@ def lots(batches: Iterator[pa.RecordBatch], distinct: bool = True) -> Iterator[t
                 seen.add(key)
                 keys.append(key)
                 sets.append(own)
-                size += len(own)
-            if size >= LOT_SHINGLES:
+                held += len(own)
+            if held >= LOT_SHINGLES:
                 yield np.array(keys, np.int64), sets
-                keys, sets, size = [], [], 0
+                keys, sets, held = [], [], 0
     if keys:
         yield np.array(keys, np.int64), sets
 
@@ -547,71 +550,12 @@ def links(documents: DataFrame, classes: DataFrame, spanning: bool = False) -> D
     return kept_table(pairs.groupBy("name", "low", "high").applyInArrow(tidy_group(join), "a long, b long").distinct(), "links")
 
 
-# ---------------------------------------------------------------------------------------------------------------
-# Components
-# ---------------------------------------------------------------------------------------------------------------
-
-
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with m, the least of u and all its neighbours; a hot u is spread over salts."""
-    least = aggregate_salted(edges, ["u"], ["v"], {"m": F.min("v")}, {"m": F.min("m")})
-    return edges.withColumn("_salt", salt_of("v")).join(least, ["u", "_salt"]).withColumn("m", F.least("u", "m"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of its component for every node of the (a, b) links (stored)."""
-    current = kept_table(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-
-    def fingerprint(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    state = fingerprint(current)
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = _least_neighbour(large)
-        small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m"))
-        current = kept_table(small.where("u <> v").distinct(), "edges")
-        after = fingerprint(current)
-        if after == state:
-            break
-        state = after
-    roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id and component_key (null: links with nothing) for every row of
     ``documents`` (doc_id, text and any other columns)."""
     classes = text_classes(documents)
     roots = components(links(documents, classes, spanning=True))
-    filled = classes.where(F.col("class_key").isNotNull())
-    per_class = kept_table(
-        aggregate_salted(
-            filled, ["class_key"], ["row_key"], {"least": F.min("doc_id")}, {"least": F.min("least")},
-        ), "class-ids",
-    )
-    one = per_class.groupBy("class_key").agg(F.min("least").alias("least"))
-    linked = roots.join(one, roots.node == one.class_key).select("node", "root", "least")
-    named = aggregate_salted(linked, ["root"], ["node"], {"component": F.min("least")}, {"component": F.min("component")})
-    of_node = (
-        linked.withColumn("_salt", salt_of("node"))
-        .join(named, ["root", "_salt"])
-        .select(F.col("node").alias("class_key"), "root", "component")
-    )
-    per_class = per_class.join(of_node, "class_key", "left").select(
-        "class_key", "_salt", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"),
-        F.coalesce("root", "class_key").alias("component_key"),
-    )
-    rows = classes.withColumn("_salt", salt_of("row_key"))
-    return rows.join(per_class, ["class_key", "_salt"], "left").select(
-        "row_key", "doc_id", "n_shingles",
-        F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        "component_key",
-    )
+    return named(classes, roots, "row_key").drop("class_key")
 
 
 def one_per_component(documents: DataFrame) -> DataFrame:

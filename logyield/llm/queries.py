@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, packing, quality, repair, rules, suffix, toxicity, urls, warc, whitening
+from . import bottomk, decontaminate, html, jaccard, packing, quality, repair, rules, suffix, toxicity, urls, warc, whitening
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -225,3 +225,8 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_minhash_near_dedup")
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
