@@ -66,7 +66,7 @@ def ingest_folder(
     parsed = parsed.join(chosen.select("run_folder", "file_name"), ["run_folder", "file_name"], "left_semi")
     runs, steps = parsed.drop("steps", "file_name"), steps_table(parsed)
     if not chosen.filter(F.col("size") >= row_bytes).isEmpty():
-        large, more = parse_lines(read_log_lines(spark, root, chosen, row_bytes))
+        large, more = parse_lines(read_log_lines(spark, root, row_bytes), chosen.filter(F.col("size") >= row_bytes))
         runs = runs.unionByName(large.drop("steps"))
         steps = steps.unionByName(more.select(*[F.col(c).cast(t) for c, t in steps.dtypes]))
     archives = files.filter(F.lower("file_name").endswith(".zip")).select(

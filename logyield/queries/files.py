@@ -401,33 +401,38 @@ def written_files(files, root):
     return files.mapInPandas(write, "files long").agg(F.sum("files")).first()[0]
 
 
-def ingested(spark, sf_dir):
+def tester_files(spark, sf_dir):
+    """The root of a folder tree with these logs."""
     root = new_table_path(spark, "tester-files")
     root = root if ":" in root.split("/")[0] else f"file:{root}"
     logs = tester_logs(spark, sf_dir)
     later = logs.select(F.col("later").alias("name"), F.lit("not read").alias("text"))
     written_files(logs.select("name", "text").unionByName(later), root)
-    return ingest.ingest_folder(spark, root, row_bytes=20_000)
+    return root
+
+
+def ingested(spark, sf_dir):
+    return ingest.ingest_folder(spark, tester_files(spark, sf_dir), row_bytes=20_000)
 
 
 INGESTED = [c for c in LINE_COLUMNS if c not in ("unit_id", "run_folder")]
 
 
-@query(
-    "ingest_runs",
-    f"WITH {FILED} SELECT left(sha1({FOLDER}), 16) AS unit_id, {FOLDER} AS run_folder, {', '.join(INGESTED)} FROM parsed",
+INGESTED_RUNS = (
+    f"WITH {FILED} SELECT left(sha1({FOLDER}), 16) AS unit_id, {FOLDER} AS run_folder, {', '.join(INGESTED)} FROM parsed"
 )
+INGESTED_STEPS = f"""WITH {FILED}, p AS (SELECT e, result, left(sha1({FOLDER}), 16) AS unit_id FROM parsed)
+    SELECT unit_id, 1 AS step_no, 'PowerTest' AS name, CASE WHEN e % 9 < 3 THEN 'PASS' ELSE 'UNKNOWN' END AS result,
+      CAST(e % 3000 AS DOUBLE) AS duration_s FROM p WHERE e % 9 <> 8
+    UNION ALL SELECT unit_id, CASE WHEN e % 9 = 8 THEN 1 ELSE 2 END, 'Thermal Test', result, 7e0 FROM p"""
+
+
+@query("ingest_runs", INGESTED_RUNS)
 def ingest_runs(spark, sf_dir):
     return ingested(spark, sf_dir).runs.select(*LINE_COLUMNS)
 
 
-@query(
-    "ingest_steps",
-    f"""WITH {FILED}, p AS (SELECT e, result, left(sha1({FOLDER}), 16) AS unit_id FROM parsed)
-    SELECT unit_id, 1 AS step_no, 'PowerTest' AS name, CASE WHEN e % 9 < 3 THEN 'PASS' ELSE 'UNKNOWN' END AS result,
-      CAST(e % 3000 AS DOUBLE) AS duration_s FROM p WHERE e % 9 <> 8
-    UNION ALL SELECT unit_id, CASE WHEN e % 9 = 8 THEN 1 ELSE 2 END, 'Thermal Test', result, 7e0 FROM p""",
-)
+@query("ingest_steps", INGESTED_STEPS)
 def ingest_steps(spark, sf_dir):
     return ingested(spark, sf_dir).steps
 

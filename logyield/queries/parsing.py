@@ -115,8 +115,10 @@ def masked_snippets(spark, sf_dir):
 
 
 # The same logs parsed line by line in blocks of a few lines.
-def log_lines(spark, sf_dir):
-    return stored(parse_lines.lines_of(proxies.logs(spark, sf_dir), block_lines=9), "lines")
+def large_logs(spark, sf_dir):
+    logs = proxies.logs(spark, sf_dir)
+    chosen = logs.select(F.col("run_folder").alias("file_key"), "run_folder", "file_name")
+    return parse_lines.parse_lines(parse_lines.lines_of(logs, block_lines=9), chosen)
 
 
 LINE_COLUMNS = list(dict.fromkeys(f"{IDENTITY}, {TIMES}, {VERDICT}".split(", ")))
@@ -124,7 +126,7 @@ LINE_COLUMNS = list(dict.fromkeys(f"{IDENTITY}, {TIMES}, {VERDICT}".split(", "))
 
 @query("parse_large_logs", f"WITH {LOGGED} SELECT {', '.join(LINE_COLUMNS)} FROM parsed")
 def parse_large_logs(spark, sf_dir):
-    return parse_lines.parse_lines(log_lines(spark, sf_dir))[0].select(*LINE_COLUMNS)
+    return large_logs(spark, sf_dir)[0].select(*LINE_COLUMNS)
 
 
 @query(
@@ -134,4 +136,4 @@ def parse_large_logs(spark, sf_dir):
     UNION ALL SELECT unit_id, CASE WHEN e % 9 = 8 THEN 1 ELSE 2 END, 'Thermal Test', result, 7e0 FROM parsed""",
 )
 def parse_large_log_steps(spark, sf_dir):
-    return parse_lines.parse_lines(log_lines(spark, sf_dir))[1].drop("run_folder")
+    return large_logs(spark, sf_dir)[1].drop("run_folder")

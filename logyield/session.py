@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,18 @@ def remove_table(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end: for jobs that repeat and leave their results elsewhere."""
+    mine = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(mine)
+    try:
+        yield
+    finally:
+        for path in [p for p in mine if p not in before]:
+            remove_table(spark, path)
+
+
 def release(spark: SparkSession) -> int:
     """Removes every table that this application has stored; call it once no result is read any more."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
@@ -90,4 +104,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table

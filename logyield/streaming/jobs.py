@@ -6,23 +6,27 @@ its id, so one that is repeated after a failure leaves the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.yields import percent
-from ..plans.parse import parse_logs
-from ..plans.parse_lines import parse_lines, read_log_lines, with_nested_steps
+from ..plans.parse import parse_logs, steps_table
+from ..plans.parse_lines import parse_lines, read_log_lines
 from ..schema import FAIL, PASS
+from ..session import stored, temporary_tables
 from ..sources import folders
 
 LOG_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 DAY_SCHEMA = "date string, pass bigint, fail bigint, micro_batch bigint"
 
 
-LARGE = "Large log, read line by line: "
+ARRIVED = "run_folder string, file_name string, path string, file_key string, size bigint, root string, as_lines boolean"
 
 
 def _arriving(spark: SparkSession, root: str, max_files: int) -> DataFrame:
@@ -39,13 +43,28 @@ def _arriving(spark: SparkSession, root: str, max_files: int) -> DataFrame:
     return named.filter(folders.is_run_log(F.col("file_name")))
 
 
+def first_of_folder(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The first log by name of a folder, if it comes before the one that the state holds."""
+    known = state.get[0] if state.exists else None
+    first = None
+    for batch in batches:
+        row = batch.loc[[batch["file_name"].idxmin()]]
+        if first is None or row["file_name"].iloc[0] < first["file_name"].iloc[0]:
+            first = row
+    if first is not None and (known is None or first["file_name"].iloc[0] < known):
+        state.update((first["file_name"].iloc[0],))
+        yield first
+
+
 def log_stream(spark: SparkSession, root: str, max_files: int = 10_000, row_bytes: int = folders.ROW_BYTES) -> DataFrame:
     """Run logs of every size appearing below ``root``, named but not opened, for :func:`ingest_runs`.
 
     run_folder, file_name, path, file_key, size, root; ``as_lines`` marks logs of
-    ``row_bytes`` or more. At most ``max_files`` come in a micro-batch.
+    ``row_bytes`` or more. At most ``max_files`` come in a micro-batch. One name per
+    folder is kept as state: a later log of a folder is dropped unless its name comes
+    first; then it takes the place of the earlier one.
     """
-    return _arriving(spark, root, max_files).select(
+    arrived = _arriving(spark, root, max_files).select(
         "run_folder",
         "file_name",
         "path",
@@ -54,43 +73,38 @@ def log_stream(spark: SparkSession, root: str, max_files: int = 10_000, row_byte
         F.lit(root).alias("root"),
         (F.col("length") >= row_bytes).alias("as_lines"),
     )
+    return arrived.groupBy("run_folder").applyInPandasWithState(
+        first_of_folder, ARRIVED, "file_name string", "update", GroupStateTimeout.NoTimeout
+    )
 
 
-def oversized_stream(
-    spark: SparkSession, root: str, max_files: int = 10_000, row_bytes: int = folders.ROW_BYTES
-) -> DataFrame:
-    """(run_folder, warning) of every arriving run log that is read line by line."""
-    large = _arriving(spark, root, max_files).filter(F.col("length") >= row_bytes)
-    return large.select("run_folder", F.concat(F.lit(LARGE), "run_folder", F.lit("/"), "file_name").alias("warning"))
-
-
-def parse_files(arrived: DataFrame) -> DataFrame | None:
-    """Runs, with their steps, of one micro-batch of :func:`log_stream`; None without logs.
+def parse_files(arrived: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Runs and steps of one micro-batch of :func:`log_stream`; None without logs.
 
     The paths, as many as the stream's ``max_files`` at most, are collected, so
-    that only this batch's files are listed and read, each by the parser for its
-    size. Of a folder's large logs the first by name is parsed, which is the only
-    one that ``one_log_per_folder`` could keep.
+    that only this batch's files are listed and read, each by the parser for its size.
     """
     spark = arrived.sparkSession
     files = arrived.collect()
     whole = [f["path"] for f in files if not f["as_lines"]]
-    first = {}
-    for f in sorted((f for f in files if f["as_lines"]), key=lambda f: f["file_name"].encode()):
-        first.setdefault(f["run_folder"], f)
+    large = [f for f in files if f["as_lines"]]
     parts = []
     if whole:
         # A log that has grown since it was listed is still read.
-        parts.append(parse_logs(folders.read_logs(spark, files[0]["root"], 1 << 62, paths=whole)))
-    if first:
-        logs = list(first.values())
+        parsed = stored(parse_logs(folders.read_logs(spark, files[0]["root"], 1 << 62, paths=whole)), "parsed")
+        parts.append((parsed.drop("steps"), steps_table(parsed)))
+    if large:
         chosen = spark.createDataFrame(
-            [(f["run_folder"], f["file_name"], f["file_key"], f["size"]) for f in logs],
-            "run_folder string, file_name string, file_key string, size bigint",
+            [(f["file_key"], f["run_folder"], f["file_name"]) for f in large],
+            "file_key string, run_folder string, file_name string",
         )
-        lines = read_log_lines(spark, files[0]["root"], chosen, paths=[f["path"] for f in logs])
-        parts.append(with_nested_steps(*parse_lines(lines)))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+        lines = read_log_lines(spark, files[0]["root"], paths=[f["path"] for f in large])
+        runs, steps = parse_lines(lines, chosen)
+        parts.append((runs.drop("steps"), steps.drop("run_folder")))
+    if not parts:
+        return None
+    runs, steps = (reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    return runs, steps.select("unit_id", F.col("step_no").cast("long").alias("step_no"), "name", "result", "duration_s")
 
 
 def _replace_partition(path: str):
@@ -103,30 +117,43 @@ def _replace_partition(path: str):
 
 
 def ingest_runs(logs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Parse each new log once and append its run; stops when the input is used up.
+    """Parse each log of :func:`log_stream` once and append its run and steps; stops when the input is used up.
 
-    ``logs`` is the stream of :func:`log_stream`, whose logs of any size give the
-    same runs and steps, or any (run_folder, file_name, text) stream. Folders with
-    several logs are settled by the reader with ``one_log_per_folder``, as files
-    of one folder may arrive in different batches.
+    Runs and steps are tables of their own below ``path``, so no row grows with a log. What a micro-batch stores on
+    its way is removed with it. Read the result with :func:`ingested_runs` and :func:`ingested_steps`.
     """
-    replace = _replace_partition(path)
+    replace_runs, replace_steps = _replace_partition(f"{path}/runs"), _replace_partition(f"{path}/steps")
 
     def read_and_replace(arrived: DataFrame, micro_batch: int) -> None:
-        runs = parse_files(arrived)
-        if runs is not None:
-            replace(runs, micro_batch)
+        with temporary_tables(arrived.sparkSession):
+            parsed = parse_files(arrived)
+            if parsed is not None:
+                replace_runs(parsed[0], micro_batch)
+                replace_steps(parsed[1], micro_batch)
 
-    by_path = "as_lines" in logs.columns
     return (
-        (logs if by_path else parse_logs(logs))
-        .writeStream.foreachBatch(read_and_replace if by_path else replace)
+        logs.writeStream.outputMode("update")
+        .foreachBatch(read_and_replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def ingested_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run of each folder: that of its first log by name, should a later micro-batch have brought it."""
+    rows = spark.read.parquet(f"{path}/runs")
+    first = rows.groupBy("unit_id").agg(F.min_by("micro_batch", F.col("source_files")[0]).alias("micro_batch"))
+    return rows.join(first, ["unit_id", "micro_batch"], "left_semi")
+
+
+def ingested_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The steps of :func:`ingested_runs`."""
+    steps = spark.read.parquet(f"{path}/steps")
+    current = ingested_runs(spark, path).select("unit_id", "micro_batch")
+    return steps.join(current, ["unit_id", "micro_batch"], "left_semi").drop("micro_batch")
+
+
 def day_of(at: Column) -> Column:
     """Calendar day in UTC."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(at) / 86400).cast("int"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -81,9 +82,9 @@ def test_large_logs_are_read_in_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     try:
         chosen = folders.first_logs(folders.list_files(spark, root).filter("size >= 1000"))
-        lines = parse_lines.read_log_lines(spark, root, chosen, at_least=1000)
+        lines = parse_lines.read_log_lines(spark, root, at_least=1000)
         assert lines.select("block").distinct().count() > 5
-        runs, steps = parse_lines.parse_lines(lines)
+        runs, steps = parse_lines.parse_lines(lines, chosen)
         got_steps = {(r.unit_id, r.step_no): (r.name, r.result, r.duration_s) for r in steps.collect()}
         got = {r.run_folder: r for r in runs.collect()}
     finally:
@@ -163,14 +164,6 @@ def test_archives_by_path(spark, tmp_path):
     assert [(r.archive, r.text) for r in archives.find_debug_logs(files).collect()] == [("good 1%.zip", "log")]
 
 
-def test_oversized_logs_are_named_by_the_stream(spark, batch, tmp_path):
-    warned = jobs.oversized_stream(spark, batch, row_bytes=1)
-    query = warned.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
-    query.start(f"{tmp_path}/out").awaitTermination()
-    assert {r.run_folder for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"STC_1", "day/run2"}
-    assert jobs.log_stream(spark, batch, row_bytes=1).isStreaming
-
-
 def test_listing_without_content(spark, batch):
     plan = folders.list_files(spark, batch)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
@@ -179,7 +172,7 @@ def test_listing_without_content(spark, batch):
 def test_stream_from_files(spark, batch, tmp_path):
     query = jobs.ingest_runs(jobs.log_stream(spark, batch, max_files=1), f"{tmp_path}/runs", f"{tmp_path}/cp")
     query.awaitTermination()
-    assert {r.serial_number for r in spark.read.parquet(f"{tmp_path}/runs").collect()} == {"SN1", "SN2"}
+    assert {r.serial_number for r in jobs.ingested_runs(spark, f"{tmp_path}/runs").collect()} == {"SN1", "SN2"}
 
 
 def test_stream_gives_one_result_for_every_size(spark, tmp_path):
@@ -189,15 +182,29 @@ def test_stream_gives_one_result_for_every_size(spark, tmp_path):
         steps = "".join(f"***Step{i} test start.***\nTEST PASSED\n***Step{i} test end.***\n" for i in range(n * 12))
         put(root, f"{folder}/ftrunnerlog 0{n}%41.txt", steps + LOG.format(sn=f"SN{n}", done=BAD))
     put(root, "größe */ftrunnerlog 99.txt", LOG.format(sn="later by name", done=BAD) * 9)
+    put(root, "day%201/50% done/ftrunnerlog 00.txt", LOG.format(sn="SN2", done=BAD))  # first by name, arriving before or after
     found = []
     for n, (row_bytes, max_files) in enumerate([(1 << 30, 10), (1, 10), (900, 10), (900, 1)]):
         logs = jobs.log_stream(spark, str(root), max_files, row_bytes)
         jobs.ingest_runs(logs, f"{tmp_path}/runs{n}", f"{tmp_path}/cp{n}").awaitTermination()
-        runs = parse.one_log_per_folder(spark.read.parquet(f"{tmp_path}/runs{n}").drop("micro_batch"))
-        found.append({r.run_folder: r.asDict(recursive=True) for r in runs.collect()})
-    assert [len(found[0][f]["steps"]) for f in sorted(found[0])] == [0, 12, 24, 36]
+        runs = jobs.ingested_runs(spark, f"{tmp_path}/runs{n}").drop("micro_batch").collect()
+        steps = jobs.ingested_steps(spark, f"{tmp_path}/runs{n}").collect()
+        assert len({r.run_folder for r in runs}) == len(runs) == 4
+        found.append(({r.run_folder: r.asDict() for r in runs}, sorted(map(tuple, steps))))
     assert found[0] == found[1] == found[2] == found[3]
-    assert {r["serial_number"] for r in found[0].values()} == {f"SN{n}" for n in range(4)}
+    assert len(found[0][1]) == 12 + 36
+    assert {r["serial_number"] for r in found[0][0].values()} == {f"SN{n}" for n in range(4)}
+
+
+def test_tables_of_a_repeating_job_are_removed(spark, tmp_path):
+    from logyield import session
+
+    df = spark.range(3).toDF("n")
+    outer = session.stored(df, "outer")
+    with session.temporary_tables(spark):
+        inner = session.stored(df, "inner")
+        assert inner.count() == 3
+    assert outer.count() == 3 and not os.path.exists(inner.stored_path.removeprefix("file:"))
 
 
 def archive_rows(spark, items):

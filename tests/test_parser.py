@@ -154,3 +154,63 @@ def test_first_log_by_name(spark):
     )
     rows = parse.one_log_per_folder(parse.parse_logs(logs)).collect()
     assert [(r.serial_number, r.source_files) for r in rows] == [("A", ["ftrunner_a.txt"])]
+
+
+PATTERNS = [
+    "Test start time: 20240301080000", "Test end time:\t20240301090000", "Total Test time(s): 12.5", "testmode : APSE",
+    "lotid = LOT77;x", "LotID=;Z9", "08:00:00 ERR] bad", "***Power test start.***", "***Power test end.***",
+    "Test time(hh\\mm\\ss): 00:00:07", "TEST PASSED", "Test failed.", "scan file content: A=1", "SERIALNUMBER = S1",
+    "Host=h", "HOST=k", "done file content:", "Result = FAIL", "Errorcode=E1", "EndTime=20240301091500", "", " \t",
+    "[2024-03-01 08:00:01 INF] mb_pan_test", "[2024-03-01 08:00:09] OPID=O", "noise x\x0bOPID=P", "***A test start.******B test start.***",
+]
+
+
+def random_log(dice):
+    """Lines of patterns, some broken at blanks, colons and equals signs."""
+    out = []
+    for line in dice.choices(PATTERNS, k=dice.randint(1, 25)):
+        if dice.random() < 0.5:
+            line = "".join(c + "\n" * dice.choice([0, 0, 1, 1, 2]) if c in ":= ])" else c for c in line)
+        if dice.random() < 0.2:
+            line = "".join(c + "\n" if dice.random() < 0.05 else c for c in line)
+        out.append(line)
+    return "\n".join(out)
+
+
+def test_whole_texts_and_lines_give_the_same(spark):
+    """Every pattern broken at any line end, in blocks of one line and more, against the parse of whole texts."""
+    import random
+
+    from logyield.plans import parse_lines
+
+    dice = random.Random(11)
+    texts = [random_log(dice) for _ in range(400)]
+    for line in PATTERNS[:10]:  # each field with its value on the next line, and behind blank ones
+        for gap in ("\n", "\n\n \n", "\n[2024-03-01 08:00:01 INF] "):
+            for mark in (":", "=", " "):
+                texts.append("first\n" + line.replace(mark, mark + gap) + "\nlast")
+                texts.append(line.replace(mark, gap + mark + gap) + "\n***Late test start.***\n" + line.replace(mark, mark + gap))
+    logs = spark.createDataFrame(
+        [(f"NoLotId_{i}", "ftrunnerlog.txt", t) for i, t in enumerate(texts)], "run_folder string, file_name string, text string"
+    ).cache()
+    whole = parse.parse_logs(logs).cache()
+    want = {r.run_folder: r.asDict() for r in whole.drop("steps").collect()}
+    want_steps = {(r.unit_id, r.step_no): (r.name, r.result, r.duration_s) for r in parse.steps_table(whole).collect()}
+    chosen = logs.selectExpr("run_folder AS file_key", "run_folder", "file_name")
+    for block_lines in (1, 2, 7, 1000):
+        runs, steps = parse_lines.parse_lines(parse_lines.lines_of(logs, block_lines), chosen)
+        got = {r.run_folder: r.asDict() for r in runs.drop("steps").collect()}
+        assert got.keys() == want.keys()
+        for folder, row in want.items():
+            text = texts[int(folder.split("_")[1])]
+            assert got[folder] == row, (block_lines, text, {c: (got[folder][c], row[c]) for c in row if got[folder][c] != row[c]})
+        got_steps = {(r.unit_id, r.step_no): (r.name, r.result, r.duration_s) for r in steps.collect()}
+        assert got_steps == want_steps
+
+
+def test_lines_stay_in_their_task(spark):
+    from logyield.plans import parse_lines
+
+    logs = spark.createDataFrame([("f", "ftrunnerlog.txt", "a\nb")], "run_folder string, file_name string, text string")
+    plan = parse_lines.summaries(parse_lines.lines_of(logs, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
