@@ -609,6 +609,7 @@ def batch_rewrite(spark, sf_dir):
     batches.write_batches(runs.withColumn("version", F.lit("first")), path)
     again = runs.filter((F.col("batch_id") == "P1") & (F.col("result") == "FAIL"))
     batches.write_batches(again.withColumn("version", F.lit("second")), path)
+    batches.write_batches(again.filter("false").withColumn("version", F.lit("none")), path)
     rows = batches.read_batches(spark, path, "unit_id string, result string, version string, batch_id string")
     return rows.groupBy("batch_id", "version").agg(F.count(F.lit(1)).alias("runs"))
 
@@ -623,6 +624,7 @@ def expired_dropped(spark, sf_dir):
     events = proxies.table(spark, sf_dir, "events")
     batches.write_batches(events.select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("batch_id")), path)
     batches.drop_expired(spark, path, schema, F.lit(AS_OF).cast("timestamp_ntz"), created="ts")
+    batches.remove_old(spark, path)
     return batches.read_batches(spark, path, schema).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -358,3 +358,22 @@ def test_batch_replaced_as_a_whole(spark, tmp_path):
     batches.write_batches(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], schema), path)
     batches.write_batches(spark.createDataFrame([(9, "a")], schema), path)
     assert {(r.n, r.batch_id) for r in batches.read_batches(spark, path, schema).collect()} == {(9, "a"), (3, "b")}
+
+
+def test_a_reader_sees_one_snapshot_whole(spark, tmp_path):
+    """A frame made before a rewrite, and one pinned to its number, read the old batch whole; later ones the new batch."""
+    path, schema = f"{tmp_path}/pinned", "n int, batch_id string"
+    first = batches.write_batches(spark.createDataFrame([(n, "a/1") for n in range(50)] + [(1, "b")], schema), path)
+    begun = batches.read_batches(spark, path, schema)
+    second = batches.write_batches(spark.createDataFrame([(-1, "a/1"), (-2, None)], schema), path)
+    assert batches.snapshot(spark, path) == second > first
+    assert begun.count() == 51 and batches.read_batches(spark, path, schema, first).count() == 51
+    want = {(-1, "a/1"), (1, "b"), (-2, None)}
+    assert {tuple(r) for r in batches.read_batches(spark, path, schema).collect()} == want
+    assert batches.remove_old(spark, path, keep=2) == 0 and begun.count() == 51
+    assert batches.remove_old(spark, path) == 1  # the replaced batch
+    assert {tuple(r) for r in batches.read_batches(spark, path, schema).collect()} == want
+    # A write that fails, or is not yet published, shows nothing.
+    (tmp_path / "pinned/files/stored_as=vhalf/batch_id=b").mkdir(parents=True)
+    assert {tuple(r) for r in batches.read_batches(spark, path, schema).collect()} == want
+    assert batches.read_batches(spark, f"{tmp_path}/nothing", schema).count() == 0
