@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CLASS_ORDER, FAIL, PASS, RUN_IDENTITY, TIME_ORDER
-from .skew import ranked_within, time_buckets
+from .skew import exact_rank
 
 
 def present(name: str) -> Column:
@@ -116,9 +116,7 @@ def failure_attempts(runs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Every failing run with "attempt k of n" and whether it is the unit's latest run."""
     wanted = list(dict.fromkeys([*TIME_ORDER, "serial_number", "result", *columns]))
     failed = runs.filter(F.col("result") == FAIL).select(*wanted, unit_key().alias("unit_key"))
-    numbered = ranked_within(
-        failed, ["unit_key"], TIME_ORDER, time_buckets(), rank="attempt", total="failures"
-    )
+    numbered = exact_rank(failed, ["unit_key"], TIME_ORDER, rank="attempt", total="failures")
     # A failing run is the latest when it is the unit's final run, which also
     # rules out retried units: their final run passed.
     finals = (

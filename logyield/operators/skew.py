@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # Any key above 0.1 % of the rows is among the 1000 most frequent ones, so the
 # broadcast list of hot keys has a fixed upper size whatever the data volume.
 MAX_HOT_KEYS = 1000
@@ -69,19 +71,6 @@ def salted_lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def time_buckets(start: str = "start_time", end: str = "end_time", folder: str = "run_folder") -> list[Column]:
-    """Order-preserving sub-groups of a unit's runs.
-
-    The tuple is monotone in (start, end, folder) with nulls first: runs with a
-    start are split by hour, those without by the hour of their end, and those
-    with neither by a folder prefix.
-    """
-    hour_s = F.date_trunc("hour", F.col(start))
-    hour_e = F.when(F.col(start).isNull(), F.date_trunc("hour", F.col(end)))
-    prefix = F.when(F.col(start).isNull() & F.col(end).isNull(), F.substring(F.col(folder), 1, 24))
-    return [hour_s.alias("_b0"), hour_e.alias("_b1"), prefix.alias("_b2")]
-
-
 def ranked_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -125,3 +114,32 @@ def ranked_within(
         .withColumn(rank, (F.col("_offset") + F.col("_local")).cast("long"))
         .drop("_bucket", "_local", "_offset")
     )
+
+
+def exact_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rank", total: str = "group_rows"
+) -> DataFrame:
+    """Exact 1-based rank (ascending, nulls first) and group size, whatever share of the rows a key or a moment has.
+
+    Rows are dealt to ranges of (keys, order), which Spark cuts where the rows are, so no range is much larger than another
+    unless whole rows of keys and order are equal. The ranges are stored; a group's rows are numbered inside
+    each range, and the counts of its earlier ranges, at most one row per range, are added.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    ranged = stored(df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    local = Window.partitionBy(*keys, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(*keys, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns(
+            {
+                "_offset": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+                total: F.sum("_n").over(Window.partitionBy(*keys)),
+            }
+        )
+        .drop("_n")
+    )
+    numbered = ranged.withColumn("_local", F.row_number().over(local)).join(offsets, [*keys, "_range"])
+    return numbered.withColumn(rank, (F.col("_offset") + F.col("_local")).cast("long")).drop("_range", "_local", "_offset")

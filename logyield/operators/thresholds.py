@@ -13,6 +13,8 @@ from .skew import salted_lookup
 # Share of the average passing duration, and its lower bound in seconds.
 ABORT_FACTOR = 0.05
 ABORT_FLOOR_S = 5.0
+# Fixed value: the message of an aborted run, which its failure signature is made of.
+ABORT_MESSAGE = "FTRunner aborted before test completed (duration: %.3fs, threshold: %.1fs)."
 KEYS = ("product_key", "op_key")
 
 
@@ -54,11 +56,7 @@ def reclassify_aborts(runs: DataFrame, thresholds: DataFrame, include_explicit:
     aborted = (F.col("result") == PASS) & _is_apse() & (F.col("duration_s") < F.col("_limit"))
     if not include_explicit:
         aborted = aborted & ~F.coalesce("has_done_block", F.lit(False))
-    message = F.format_string(
-        "FTRunner aborted before test completed (duration: %.3fs, threshold: %.1fs).",
-        F.bround("duration_s", 3),
-        F.bround("_limit", 1),
-    )
+    message = F.format_string(ABORT_MESSAGE, F.bround("duration_s", 3), F.bround("_limit", 1))
     out = joined.withColumn("aborted", aborted).withColumns(
         {
             "result": F.when(F.col("aborted"), FAIL).otherwise(F.col("result")),

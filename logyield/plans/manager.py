@@ -1,4 +1,4 @@
-"""The manager tables together, over one pass of the runs where possible."""
+"""The manager tables together, over two passes of the runs."""
 
 from __future__ import annotations
 
@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from ..operators import yields
 from ..schema import FAIL, PASS
+from ..session import stored
 
 
 def manager_view(runs: DataFrame, top: int = yields.PARETO_TOP) -> dict[str, DataFrame]:
-    """The five manager tables; each reads only the columns it needs."""
+    """The five manager tables from two scans of the runs: the summary's, and one that counts days, stations, lots and
+    failure labels together. Those counts are stored, as four tables read them."""
+    counts = stored(bucket_counts(runs), "buckets")
+
+    def section(name: str, label: str, *columns: str) -> DataFrame:
+        rows = counts.filter(F.col("section") == name).withColumn("total", F.col("pass") + F.col("fail"))
+        return rows.select(F.col("label").alias(label), *columns).orderBy(label)
+
+    labels = counts.filter(F.col("section") == "pareto").select(F.col("label").alias("reason"), "fail")
+    ranked = labels.rollup("reason").agg(F.coalesce(F.sum("fail"), F.lit(0)).alias("count"), F.grouping("reason").alias("is_total"))
     return {
         "summary": yields.manager_summary(runs),
-        "trend": yields.daily_yield(runs),
-        "pareto": yields.failure_pareto(runs, top),
-        "stations": yields.station_breakdown(runs),
-        "lots": yields.lot_comparison(runs),
+        "trend": section("trend", "date", "pass", "fail", "yield"),
+        "pareto": yields.ranked_shares(ranked, top),
+        "stations": section("stations", "station", "pass", "fail", "total", "yield"),
+        "lots": section("lots", "lot", "pass", "fail", "total", "yield"),
     }
 
 

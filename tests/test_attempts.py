@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logyield.operators import attempts, thresholds, yields
-from logyield.operators.skew import ranked_within, salted_lookup
+from logyield.operators.skew import exact_rank, ranked_within, salted_lookup
 from logyield.plans.manager import manager_view
 from logyield.sources import proxies
 from tests.conftest import SMALL
@@ -183,3 +183,32 @@ def test_lookups_read_no_input_twice(spark):
     assert scans(large) <= 6  # lineitem, part, supplier, nation, orders
     runs = proxies.runs(spark, SMALL)
     assert scans(thresholds.reclassify_aborts(runs, thresholds.abort_thresholds(runs))) <= 2
+
+
+def test_rank_of_one_serial_at_one_moment(spark):
+    """A third of the rows share key and time: the ranges cut them apart, and the ranks are exact."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).alias("at"),
+        F.when(F.col("id") % 6 == 0, None).otherwise(F.col("id") % 5).alias("end"),
+        F.col("id"),
+    )
+    out = exact_rank(rows, ["k"], ["at", "end", "id"], rank="r", total="n")
+    frame = out.toPandas().sort_values(["k", "at", "end", "id"], na_position="first")
+    assert len(frame) == 30_000
+    assert (frame["r"] == frame.groupby("k").cumcount() + 1).all()
+    assert (frame["n"] == frame.groupby("k")["id"].transform("size")).all()
+    ranged = rows.repartitionByRange(8, F.col("k"), F.col("at"), F.col("end"), F.col("id"))
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 30_000 / 8
+
+
+def test_manager_view_scans_twice(spark, tmp_path):
+    from logyield.sources import proxies
+    from tests.conftest import SMALL
+
+    path = f"{tmp_path}/runs"
+    proxies.runs(spark, SMALL).write.parquet(path)
+    view = manager_view(spark.read.parquet(path))
+    scans = sum(df._jdf.queryExecution().executedPlan().toString().count(path) for df in view.values())
+    assert scans == 1  # and one for the stored counts
