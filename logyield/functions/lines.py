@@ -68,17 +68,44 @@ def _pieces(line: Column, needle: str) -> Column:
     return F.split(F.lower(line), quoted, -1)
 
 
+# Entries of a block of running sums: an array that grows entry by entry is copied each time, so it stays short.
+SUM_BLOCK = 512
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums up to and with each entry of an array of ints: inside blocks, then over the blocks' totals."""
+    none = F.array().cast("array<int>")
+
+    def added(entries: Column) -> Column:
+        first = F.struct(F.lit(0).alias("sum"), none.alias("out"))
+        step = lambda s, x: F.struct(
+            (s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"] + x)).alias("out")
+        )
+        return F.aggregate(entries, first, step, lambda s: s["out"])
+
+    # Arrays bound by transform are made once; written twice they would be made for every use.
+    def over(values: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(SUM_BLOCK))
+        blocks = F.transform(begins, lambda at: added(F.slice(values, at, SUM_BLOCK)))
+        return F.transform(F.array(blocks), joined)[0]
+
+    def joined(blocks: Column) -> Column:
+        totals = added(F.transform(blocks, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))))
+        before = F.concat(F.array(F.lit(0)), totals)
+        return F.flatten(
+            F.transform(F.arrays_zip(blocks.alias("block"), F.slice(before, 1, F.size(blocks)).alias("before")),
+                        lambda z: F.transform(z["block"], lambda x: x + z["before"]))
+        )
+
+    return F.transform(F.array(numbers), over)[0]
+
+
 def match_spans(line: Column, needle: str) -> Column:
     """Array of (start, end) of all non-overlapping hits, 0-based, end exclusive."""
     width = len(needle)
-    pieces = _pieces(line, needle)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece)
-        hit = F.array(F.struct(start.alias("start"), (start + width).alias("end")))
-        return F.struct((start + width).alias("at"), F.concat(state["spans"], hit).alias("spans"))
-
-    # One pass: each piece but the last ends where a hit begins.
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), first, step, lambda state: state["spans"])
+    # Each piece but the last ends where a hit begins.
+    steps = F.transform(
+        F.array(_pieces(line, needle)),
+        lambda pieces: F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.length(x) + width),
+    )[0]
+    return F.transform(running_sums(steps), lambda end: F.struct((end - width).alias("start"), end.alias("end")))

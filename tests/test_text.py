@@ -132,3 +132,16 @@ def test_signature(spark):
     )
     s = [r[0] for r in df.select(signature.signature(F.col("code"), F.col("message"))).collect()]
     assert s[0] == s[1] and len(set(s)) == 4 and s[4] == s[5] and all(len(x) == 16 for x in s)
+
+
+def test_many_spans_on_one_line(spark):
+    """200 000 hits on a line: running sums by blocks, not one array that grows hit by hit."""
+    import time
+
+    line = "Err x" * 200_000
+    df = spark.createDataFrame([(line,), ("",), (None,), ("no hit",), ("err",)], "line string")
+    began = time.time()
+    spans = [r.s for r in df.select(lines.match_spans(F.col("line"), "ERR").alias("s")).collect()]
+    assert [(s.start, s.end) for s in spans[0]] == [(5 * i, 5 * i + 3) for i in range(200_000)]
+    assert spans[1:4] == [[], None, []] and [(s.start, s.end) for s in spans[4]] == [(0, 3)]
+    assert time.time() - began < 60
