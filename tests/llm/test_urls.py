@@ -66,6 +66,24 @@ def test_address_in_query_or_fragment(spark):
     assert sorted(map(tuple, got)) == [(i, *c[1:]) for i, c in enumerate(cases)]
 
 
+def test_twin_judges_addresses_in_query_or_fragment_alike():
+    import duckdb
+
+    from logyield.llm.queries import OP10_SQL
+
+    cases = [
+        (1, "https://a.example.net?next=https://b.org/fr/x", "a.example.net", "", None, "allow"),
+        (2, "http://org#x://net/y", "org", "", None, "allow"),
+        (3, "https://www.net/fr/a://b.org/x", "www.net", "/fr/a://b.org/x", "net/", "block"),
+        (4, None, "", "", None, "allow"),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [list(c[:2]) for c in cases])
+    got = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP10_SQL}) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in got] == [(c[0], *c[2:]) for c in cases]
+
+
 def test_hot_url_is_spread_over_ranges(spark):
     rows = [(i, "http://www.example.net/en/", None, None) for i in range(300)] + [(400, "http://z.org/fr/", None, None)]
     compare(spark, rows, RULES)
