@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BitTable, freed, kept_table, signed, slices, texts_of, tidy, tidy_group
+from .dealing import BLOCKS, dealt_blocks, dealt_stars, sides
 from .graphs import components, named
 from .jaccard import class_key, lots, shingle_sets
 
@@ -49,7 +50,6 @@ EXACT = 17 * KEEP // 20
 #: Values that this many classes retain are common; the most frequent of them are known to every task.
 COMMON_CLASSES = 16
 MOST_COMMON = 1 << 18
-STAR = 1024
 BLOCK = 1024
 SET_BLOCK = 256
 PAIRS = 4096
@@ -229,19 +229,6 @@ def likely_pairs(
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def dealt_stars(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    """leader, chunk, member, n and data: at most about ``STAR`` members of a leader, and the leader itself, per chunk."""
-    chunks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks"))
-    placed = pairs.join(chunks, "leader").select(
-        "leader", "member", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int").alias("chunk")
-    )
-    members = placed.join(data, "member").select("leader", "chunk", "member", "n", "data")
-    heads = chunks.join(data.withColumnRenamed("member", "leader"), "leader").select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("leader").alias("member"), "n", "data"
-    )
-    return members.unionByName(heads)
-
-
 def estimated_stars(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The (leader, member) pairs that the union-sketch estimate lets pass (stored)."""
 
@@ -318,50 +305,6 @@ def open_groups(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return kept_table(found.join(main, "name", "left").withColumn("main", F.coalesce("main", "name")), "open")
 
 
-def dealt_blocks(found: DataFrame, data: DataFrame, block: int) -> DataFrame:
-    """name, kind, low, high, own, member, root, n and data: each group's pairs of blocks.
-
-    Members of the main root are dealt to inner blocks, others to outer ones. Kind 0 is a pair of outer blocks, kind 1
-    an outer (low) and an inner block (high): a member of the main root travels once per outer block.
-    """
-    outer = (F.col("root") != F.col("main")).alias("outer")
-    sized = found.select("name", "member", "root", "main", outer)
-    whole = sized.groupBy("name").agg(
-        F.ceil(F.count_if("outer") / block).cast("int").alias("outers"), F.ceil(F.count_if(~F.col("outer")) / block).cast("int").alias("inners")
-    )
-    spot = F.xxhash64("member", "name")
-    placed = sized.join(whole, "name").select(
-        "name", "member", "root", "outer", "outers", "inners",
-        F.pmod(spot, F.when(F.col("outer"), F.col("outers")).otherwise(F.col("inners"))).cast("int").alias("own"),
-    )
-
-    def each(count: str):
-        return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def pair(kind: int, low, high):
-        return F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
-
-    own = F.col("own")
-    to_outer = F.transform(each("outers"), lambda o: pair(0, F.least(own, o), F.greatest(own, o)))
-    to_inner = F.transform(each("inners"), lambda i: pair(1, own, i))
-    from_inner = F.transform(each("outers"), lambda o: pair(1, o, own))
-    pairs = F.when(F.col("outer"), F.concat(to_outer, to_inner)).otherwise(from_inner)
-    rows = placed.join(data, "member").withColumn("pair", F.explode(pairs))
-    return rows.select("name", "pair.kind", "pair.low", "pair.high", "outer", "own", "member", "root", "n", "data")
-
-
-def sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the first and the second block of a pair; the same for a block with itself."""
-    kind, low, high = (rows.column(c)[0].as_py() for c in ("kind", "low", "high"))
-    own, outer = rows.column("own").to_numpy(), rows.column("outer").to_numpy()
-    if kind == 1:
-        return np.flatnonzero(outer), np.flatnonzero(~outer)
-    return np.flatnonzero(own == low), np.flatnonzero(own == high)
-
-
-BLOCKS = ["name", "kind", "low", "high"]
-
-
 def wanted_pairs(rows: pa.Table, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Likely pairs (row numbers and estimates) of different roots in a pair of blocks."""
     n, root, member = (rows.column(c).to_numpy() for c in ("n", "root", "member"))

@@ -11,15 +11,19 @@ one shingle. Texts with equal sets form a *class*, and everything below works on
    name the same group. Common shingles carry their group's name with them and need not meet. Every pair that can link
    is in some group, and groups are far fewer than pairs.
 3. **Parity filter.** Most members of a group only share a passage. Before any set travels, members bring a parity map: a
-   set's shingles hashed to about four bits each, every hit flipping its bit. Two sets differ in at least as many
+   set's shingles hashed to one to two bits each, every hit flipping its bit. Two sets differ in at least as many
    shingles as their maps differ in bits, so members without a partner of fitting size and map cannot link and leave.
-4. **Trie join.** A group is cut into blocks of at most ``BLOCK`` sets (and ``BLOCK_SHINGLES`` shingles); each pair of
+   What likely pairs connect is a group from here on, so every member is in one group only and its set travels once.
+4. **Leaders.** In a group of more than ``BLOCK`` members each first meets a few leaders (filter and trie join as below).
+   Members that this connects never meet one another again; only those outside the largest component so found do, each other
+   and the members of other components. Where all links are asked for, this step is left out.
+5. **Trie join.** A group is cut into blocks of at most ``BLOCK`` sets (and ``BLOCK_SHINGLES`` shingles); each pair of
    blocks is one task's work, so a group of any size is spread out. In it the sets of one block are stored as a prefix
    tree in one order of their shared shingles, frequent ones first, so that sets with a common beginning share its
    nodes. The sets of the other block walk down the tree side by side; a node's overlap is counted once for all sets
    below it. A subtree is left as soon as overlap so far + what can still come (the rest of the walking set, the longest
    rest below) cannot reach the overlap that the sizes ask for.
-5. **Links and components.** :func:`links` returns every link between classes. For components, a task returns only a
+6. **Links and components.** :func:`links` returns every link between classes. For components, a task returns only a
    spanning forest of the links it found. They follow by
    alternating large-star and small-star steps on the stored links, with hot centres salted.
 
@@ -38,10 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    FACTOR, LOWERED, NOT_BLANK, BitTable, aggregate_salted, joined, kept_table, mix, salt_of, sequence_hashes, shuffle_width, signed,
+    FACTOR, LOWERED, NOT_BLANK, BitTable, aggregate_salted, freed, joined, kept_table, mix, salt_of, sequence_hashes, shuffle_width, signed,
     slices, span_hashes, suspects, texts_of, tidy,
     tidy_group, word_spans,
 )
+from .dealing import BLOCKS, STARS, dealt_blocks, dealt_stars, sides
 from .graphs import components, named
 
 SHINGLE = 5
@@ -51,6 +56,8 @@ LOT_SHINGLES = 1 << 19
 BUCKET_SHINGLES = 1 << 20
 BLOCK = 512
 FILTER_BLOCK = 2048
+#: Members of a large group that all others meet first.
+LEADERS = 4
 BLOCK_SHINGLES = 1 << 20
 #: Cells of the matrix (walking sets x shared shingles) held at once.
 CELLS = 1 << 21
@@ -267,24 +274,25 @@ def groups(documents: DataFrame, buckets: int) -> DataFrame:
 
 
 def parity_map(shingles: np.ndarray) -> np.ndarray:
-    """A power of two of bits, at least four per shingle (and 64 in all), each the parity of its hits; as 64-bit words."""
-    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    """A power of two of bits, at least one per shingle (and 64 in all), each the parity of its hits; as 64-bit words."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
     hits = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(hits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def with_partners(sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-    """Which sets have another one that they might link with, as sizes and parity maps tell.
+def likely_forest(sizes: np.ndarray, maps: list[np.ndarray], roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect all sets of different roots that might link, as sizes and parity maps tell.
 
     Linking sets x, y have 7 |x & y| >= 3 (|x| + |y|), so they differ in at most (|x| + |y|) / 7 shingles.
     """
     order = np.argsort(sizes, kind="stable")
-    out = np.zeros(len(sizes), bool)
     width = np.array([len(m) for m in maps])[order]
-    ordered = sizes[order]
+    ordered, rooted = sizes[order], roots[order]
     stacks = {w: np.stack([maps[i] for i in order[width == w]]) for w in np.unique(width).tolist()}
     first = {w: int(np.flatnonzero(width == w)[0]) for w in stacks}  # maps of one width are neighbours by size
     halves = {w // 2: stack[:, : w // 2] ^ stack[:, w // 2 :] for w, stack in stacks.items() if w > 1}
+    part = np.arange(len(sizes))  # parts that the pairs so far connect
+    one, other = [], []
     for i, w in enumerate(width.tolist()):
         last = int(np.searchsorted(ordered, ordered[i] * 4 // 3, side="right"))  # sizes up to 4/3 of the own one
         own = stacks[w][i - first[w]]
@@ -294,11 +302,16 @@ def with_partners(sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
             low, high = max(i + 1, begin), min(last, begin + len(stack))
             if low < high:
                 differs = np.bitwise_count(stack[low - begin : high - begin] ^ own).sum(axis=1, dtype=np.int64)
-                fits = np.flatnonzero(7 * differs <= ordered[low:high] + ordered[i])
+                fits = low + np.flatnonzero((7 * differs <= ordered[low:high] + ordered[i]) & (rooted[low:high] != rooted[i]))
+                fits = fits[part[fits] != part[i]]
                 if len(fits):
-                    out[order[i]] = True
-                    out[order[low + fits]] = True
-    return out
+                    found, at = np.unique(part[fits], return_index=True)
+                    one.append(np.full(len(found), i))
+                    other.append(fits[at])
+                    part[np.isin(part, found)] = part[i]
+    if not one:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(one)], order[np.concatenate(other)]
 
 
 def candidates(documents: DataFrame, members: DataFrame, parity: bool) -> DataFrame:
@@ -323,39 +336,83 @@ def candidates(documents: DataFrame, members: DataFrame, parity: bool) -> DataFr
     return kept_table(once, "candidates")
 
 
-def dealt(found: DataFrame, data: DataFrame, block: int, block_shingles: int) -> DataFrame:
-    """Members with their data, dealt to block pairs: name, low, high (the pair), own (the member's block), member, n, data.
+def map_distance(one: np.ndarray, other: np.ndarray) -> int:
+    """Bits in which two parity maps differ; a wider one is folded to the width of the other."""
+    if len(one) < len(other):
+        one, other = other, one
+    while len(one) > len(other):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    return int(np.bitwise_count(one ^ other).sum())
 
-    A group of m members makes ceil(m / block) blocks, so each member goes to that many pairs.
-    """
-    sized = found.join(data.select("member", "n"), "member")
-    whole = aggregate_salted(
-        sized, ["name"], ["member"],
-        {"m": F.count("*"), "s": F.sum("n")}, {"m": F.sum("m"), "s": F.sum("s")},
-    ).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("s") / block_shingles)).cast("int")
-    placed = (
-        found.withColumn("_salt", salt_of("member"))
-        .join(whole.select("name", "_salt", blocks.alias("blocks")), ["name", "_salt"])
-        .select("name", "member", "blocks", F.pmod(F.xxhash64("member", "name"), F.col("blocks")).cast("int").alias("own"))
-    )
-    rows = placed.join(data, "member").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(
-        "name", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "data"
-    )
 
+def survivors(found: DataFrame, maps: DataFrame) -> DataFrame:
+    """name, member, root, main and weight of the members of ``found`` that the parity filter leaves (stored), in new
+    groups: what likely pairs connect. A member is in one of them, so its set travels once, however many groups it was in.
+    """
 
-def survivors(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The (name, member) pairs that the parity filter leaves (stored)."""
+    def judge(rows: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
+        a, b = likely_forest(rows.column("n").to_numpy(), own, rows.column("root").to_numpy())
+        member = rows.column("member").to_numpy()
+        return pa.table({"a": pa.array(member[a], pa.int64()), "b": pa.array(member[b], pa.int64())})
+
+    dealt = dealt_blocks(found, maps, FILTER_BLOCK, 16 * BLOCK_SHINGLES)
+    likely = kept_table(dealt.groupBy(*BLOCKS).applyInArrow(tidy_group(judge), "a long, b long"), "likely")
+    merged = components(likely).select(F.col("node").alias("member"), F.col("root").alias("name"))
+    known = found.select("member", "root", "weight").distinct()
+    joined = kept_table(merged.join(known, "member").select("name", "member", "root", "weight"), "survivors")
+    parts = joined.groupBy("name", "root").agg(F.count("*").alias("m"))
+    # Only a root of many members is worth blocks of its own.
+    main = parts.groupBy("name").agg(F.when(F.max("m") > BLOCK // 8, F.max_by("root", "m")).alias("main"))
+    freed(likely)
+    return joined.join(main, "name")
+
+
+def star_links(documents: DataFrame, large: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b) links between the members of ``large`` groups and the ``LEADERS`` of their group (stored): work in
+    proportion to the members, after which most of a group of near copies is one component."""
+    drawn = F.array(*(F.min_by("member", F.xxhash64("member", F.lit(k))) for k in range(LEADERS)))
+    leaders = large.groupBy("name").agg(drawn.alias("leaders")).select("name", F.explode(F.array_distinct("leaders")).alias("leader"))
+    pairs = large.join(leaders, "name").where("member <> leader").select("leader", "member").distinct()
+    pairs = kept_table(pairs, "stars")
 
     def judge(rows: pa.Table) -> pa.Table:
-        maps = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
-        some = with_partners(rows.column("n").to_numpy(), maps)
-        return rows.select(["name", "member"]).filter(pa.array(some))
+        member, n = rows.column("member").to_numpy(), rows.column("n").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
+        lead = int(np.flatnonzero(member == rows.column("leader")[0].as_py())[0])
+        fits = (4 * n >= 3 * n[lead]) & (4 * n[lead] >= 3 * n)
+        fits[lead] = False
+        for i in np.flatnonzero(fits):
+            fits[i] = 7 * map_distance(own[i], own[lead]) <= n[i] + n[lead]
+        return rows.select(["leader", "member"]).filter(pa.array(fits))
+
+    likely = dealt_stars(pairs, maps).groupBy(*STARS).applyInArrow(tidy_group(judge), "leader long, member long")
+    likely = kept_table(likely, "likely")
+    sets = candidates(documents, likely.select("member").union(likely.select("leader")).distinct(), parity=False)
 
-    maps = dealt(found, candidates(documents, found, parity=True), FILTER_BLOCK, 16 * BLOCK_SHINGLES)
-    left = maps.groupBy("name", "low", "high").applyInArrow(tidy_group(judge), "name long, member long")
-    return kept_table(left.distinct(), "survivors")
+    def join(rows: pa.Table) -> pa.Table:
+        member = rows.column("member").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
+        lead = int(np.flatnonzero(member == rows.column("leader")[0].as_py())[0])
+        others = np.flatnonzero(np.arange(len(member)) != lead)
+        _, found = trie_join([sets[lead]], [sets[i] for i in others])
+        found = others[found]
+        return pa.table({"a": pa.array(np.full(len(found), member[lead]), pa.int64()), "b": pa.array(member[found], pa.int64())})
+
+    links = kept_table(dealt_stars(likely, sets).groupBy(*STARS).applyInArrow(tidy_group(join), "a long, b long"), "links")
+    freed(pairs, likely, sets)
+    return links
+
+
+def open_groups(large: DataFrame, links: DataFrame) -> DataFrame:
+    """name, member, root and main (the most frequent root) of the ``large`` groups that ``links`` leave in several parts."""
+    roots = components(links)
+    rooted = large.join(roots, large.member == roots.node, "left").select(
+        "name", "member", F.coalesce("root", "member").alias("root"), "weight"
+    )
+    parts = rooted.groupBy("name", "root").agg(F.count("*").alias("m"))
+    main = parts.groupBy("name").agg(F.max_by("root", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return rooted.join(main.select("name", "main"), "name")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -524,30 +581,53 @@ def links(documents: DataFrame, classes: DataFrame, spanning: bool = False) -> D
     """(a, b) class keys, a < b, of all links between different classes, each once (stored). Rows of one class in
     ``classes`` link with one another and with all rows of the classes that theirs links with.
 
-    ``spanning``: only a spanning forest per block pair, which holds the same components together.
+    ``spanning``: only so many links that the components are the same. Then the members of a large group first meet a few
+    leaders; those that are in one component after that never meet one another.
     """
     width = shuffle_width(documents.sparkSession)
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     found = groups(documents, max(width, int(total // 4 // BUCKET_SHINGLES) + 1))
-    left = survivors(documents, found)
-    pairs = dealt(left, candidates(documents, left, parity=False), BLOCK, BLOCK_SHINGLES)
+    maps = candidates(documents, found, parity=True)
+    sizes = found.groupBy("name").agg(F.count("*").alias("m")).where("m > 1")
+    weighed = found.join(maps.select("member", F.col("n").alias("weight")), "member").join(sizes, "name")
+    weighed = kept_table(weighed.select("name", "member", "weight", "m"), "weighed")
+    freed(found)
+    alone = weighed.select("name", "member", F.col("member").alias("root"), F.lit(None).cast("long").alias("main"), "weight", "m")
+    stars = None
+    if spanning:
+        large = weighed.where(F.col("m") > BLOCK).drop("m")
+        if not large.isEmpty():
+            stars = star_links(documents, large, maps)
+            alone = kept_table(alone.where(F.col("m") <= BLOCK).drop("m").unionByName(open_groups(large, stars)), "alone")
+    left = survivors(alone.drop("m"), maps)
+    freed(weighed, maps)
+    sets = candidates(documents, left, parity=False)
 
     def join(rows: pa.Table) -> pa.Table:
-        member = rows.column("member").to_numpy()
-        own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
+        member, root = rows.column("member").to_numpy(), rows.column("root").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("data").to_pylist()]
-        if low[0] == high[0]:
-            a, b = trie_join(sets)
+        first, second = sides(rows)
+        if np.array_equal(first, second):
+            a, b = trie_join([sets[i] for i in first])
         else:
-            first, second = np.flatnonzero(own == low[0]), np.flatnonzero(own != low[0])
             a, b = trie_join([sets[i] for i in first], [sets[i] for i in second])
-            a, b = first[a], second[b]
+        a, b = first[a], second[b]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
         if spanning:
             a, b = np.array(forest(len(sets), a, b), np.int64).reshape(-1, 2).T
         one, other = member[a], member[b]
         return pa.table({"a": pa.array(np.minimum(one, other), pa.int64()), "b": pa.array(np.maximum(one, other), pa.int64())})
 
-    return kept_table(pairs.groupBy("name", "low", "high").applyInArrow(tidy_group(join), "a long, b long").distinct(), "links")
+    dealt = dealt_blocks(left, sets, BLOCK, BLOCK_SHINGLES)
+    out = kept_table(dealt.groupBy(*BLOCKS).applyInArrow(tidy_group(join), "a long, b long").distinct(), "links")
+    freed(sets)
+    return out if stars is None else out.unionByName(stars)
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Rows
+# ---------------------------------------------------------------------------------------------------------------
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -118,8 +118,14 @@ def test_trie_join_against_all_pairs():
         half = len(sets) // 2
         a, b = jaccard.trie_join(sets[:half], sets[half:])
         assert set(zip(a.tolist(), (b + half).tolist())) == {(i, j) for i, j in want if i < half <= j}
-        left = jaccard.with_partners(np.array([len(s) for s in sets]), [jaccard.parity_map(s) for s in sets])
-        assert all(left[i] and left[j] for i, j in want)
+        one, other = jaccard.likely_forest(
+            np.array([len(s) for s in sets]), [jaccard.parity_map(s) for s in sets], np.arange(len(sets))
+        )
+        part = list(range(len(sets)))
+        for i, j in zip(one.tolist(), other.tolist()):
+            assert part[i] != part[j]
+            part = [part[i] if p == part[j] else p for p in part]
+        assert all(part[i] == part[j] for i, j in want)
         roots = jaccard.forest(len(sets), np.array([i for i, _ in want], np.int64), np.array([j for _, j in want], np.int64))
         assert len(roots) == len({i for p in want for i in p}) - len({r for r, _ in roots})
 
