@@ -354,7 +354,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             yield from out.to_batches()
 
     kinds = dict(cutting.dtypes)
-    ranked = cutting.join(offsets.select("length", "batch", "first"), ["length", "batch"]).select(
+    # One row per length and batch grows with the data: never broadcast, however small its file looks.
+    ranked = cutting.join(offsets.select("length", "batch", "first").hint("merge"), ["length", "batch"]).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "row_no",
         (F.col("first") + F.col("local_rank")).alias("rank"),
     )

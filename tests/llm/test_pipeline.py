@@ -76,6 +76,31 @@ def test_benchmark_stage(spark, stages):
     assert pairs(stages[4]) == pairs(clean) and len(clean) < len(stages[3]) or pairs(stages[4]) == pairs(stages[3])
 
 
+CLASHING = ["_score", "_salt", "_hash", "_b", "_w", "_cut", "_row", "_row_key", "_kept_text", "label", "class_key", "id", "text_hash"]
+
+
+def test_other_columns_pass_through_under_any_name(spark):
+    """Names that operators use inside, with odd rows: every stage keeps each row's values beside its text."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, SMALL, "documents").limit(60)
+    odd = docs.limit(1).withColumns({"text": F.lit(None).cast("string")}).select(*COLUMNS)
+    odd = odd.union(odd).union(docs.limit(2)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.union(odd.select(*docs.columns)).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    docs = corpus_pipeline.kept_table(docs, "clashing")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name == "best_fit_packing":
+            assert out.count() >= docs.count()
+            continue
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in CLASHING), name
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0, name
+
+
 def test_packing_stage_and_run(spark, stages):
     encoder = packing.UnitTokenizer(tokenizer_path())
     used, least = check_packing([(r.doc_id, r.text) for r in stages[4]], stages[5], encoder, 1024)
