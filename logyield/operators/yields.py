@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAIL, PASS, UNKNOWN
+from ..session import stored
 from .attempts import present, unit_key
 from .skew import ranked_within, salted_lookup
 
@@ -117,9 +118,8 @@ def cumulative_shares(runs: DataFrame) -> DataFrame:
     count are ranked within the first letters of their text, and only the distinct
     counts (few, as they add up to the failures) are accumulated in order.
     """
-    labels = (
-        runs.filter(is_result(FAIL)).groupBy(failure_label().alias("reason")).agg(F.count(F.lit(1)).alias("count"))
-    )
+    counted = runs.filter(is_result(FAIL)).groupBy(failure_label().alias("reason")).agg(F.count(F.lit(1)).alias("count"))
+    labels = stored(counted, "labels")  # ranks and sums both read them; the runs are read once
     ranked = ranked_within(labels, ["count"], ["reason"], [F.substring("reason", 1, 12)], rank="_rank", total="_same")
     per_count = labels.groupBy("count").agg(F.count(F.lit(1)).alias("_labels"))
     before = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)

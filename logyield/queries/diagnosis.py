@@ -9,6 +9,7 @@ from ..functions.redaction import redact
 
 from ..operators import cache, thresholds, usage
 from ..plans import diagnose as plan
+from ..session import stored
 from ..sources import proxies
 from .registry import query
 from .sql import FAILURES, RUNS, redact_sql, strip_sql
@@ -299,7 +300,7 @@ def cache_touch(spark, sf_dir):
     coalesce(c.hit_count, 0) AS hit_count FROM cache c FULL JOIN n USING (cache_key)""",
 )
 def cache_upsert(spark, sf_dir):
-    work = firsts(spark, sf_dir)
+    work = stored(firsts(spark, sf_dir), "firsts")  # the old cache and the answers both come from it
     # Answers ending in 'f' count as stub results, which are not stored.
     kind = F.when(F.col("signature").endswith("f"), "stub").otherwise("llm")
     # Signatures below '4' get no answer on purpose: existing keys that a batch does not answer are the case under test.

@@ -96,7 +96,11 @@ def client_trim(spark, sf_dir):
     return client(spark, sf_dir).select("event_id", ce.trimmed(ce.scrubbed(F.col("context"))).alias("context"))
 
 
-@query("client_client_side_scrub")
+# The sender also cuts long texts.
+CLIENT_SCRUBBED = SCRUBBED.replace("|| note ||", "|| CASE WHEN length(note) > 500 THEN left(note, 500) || '...[truncated]' ELSE note END ||")
+
+
+@query("client_client_side_scrub", f"WITH {CLIENT} SELECT event_id, {CLIENT_SCRUBBED} AS context FROM client")
 def client_client_side_scrub(spark, sf_dir):
     return client(spark, sf_dir).select("event_id", ce.scrubbed(F.col("context"), client=True).alias("context"))
 
