@@ -377,3 +377,27 @@ def test_a_reader_sees_one_snapshot_whole(spark, tmp_path):
     (tmp_path / "pinned/files/stored_as=vhalf/batch_id=b").mkdir(parents=True)
     assert {tuple(r) for r in batches.read_batches(spark, path, schema).collect()} == want
     assert batches.read_batches(spark, f"{tmp_path}/nothing", schema).count() == 0
+
+
+def test_age_of_batches_from_footers(spark, tmp_path):
+    """The footers tell the newest row of a batch; with every data page destroyed they still do."""
+    import datetime as dt
+
+    import pyarrow.parquet as pq
+
+    path, schema = f"{tmp_path}/aged", "n int, created_at timestamp_ntz, batch_id string"
+    at = dt.datetime(2026, 1, 1)
+    rows = [(i, at + dt.timedelta(hours=i % 50), f"b {i % 3}%") for i in range(3000)] + [(1, at, None), (2, None, "nulls")]
+    batches.write_batches(spark.createDataFrame(rows, schema), path)
+    batches.write_batches(spark.createDataFrame([(9, at + dt.timedelta(days=90), "b 0%")], schema), path)
+    for file in (tmp_path / "aged").rglob("*.parquet"):
+        footer = int.from_bytes(file.read_bytes()[-8:-4], "little") + 8
+        raw = file.read_bytes()
+        file.write_bytes(b"PAR1" + b"\0" * (len(raw) - footer - 4) + raw[-footer:])
+        assert pq.read_metadata(file).num_rows
+    got = {r.folder: (r.newest, r.known) for r in batches.newest_in_footers(spark, path, "created_at").collect()}
+    assert got == {
+        "batch_id=b 0%25": (at + dt.timedelta(days=90), True), "batch_id=b 1%25": (at + dt.timedelta(hours=49), True),
+        "batch_id=b 2%25": (at + dt.timedelta(hours=49), True), "batch_id=__HIVE_DEFAULT_PARTITION__": (at, True),
+        "batch_id=nulls": (None, False),
+    }
