@@ -2,7 +2,8 @@
 
 A page becomes blocks (the text between block-level tags, character references decoded, white space runs made one space)
 with the chain of elements that hold them. A linear classifier over block features — element chain, class and id words,
-length, share of linked text — gives log odds for content against boilerplate. They become a flow network:
+length, share of linked text — gives log odds for content against boilerplate. Its weights are fitted (:func:`fit`) to the
+blocks whose elements say what they are, so that these features can tell about the others. The odds become a flow network:
 
 - *terminal capacities*: positive odds from the source (cost of calling the block boilerplate), negative ones to the sink;
 - *smoothness edges* both ways: between neighbouring blocks, weaker the further apart they are in the element tree, and
@@ -11,8 +12,10 @@ length, share of linked text — gives log odds for content against boilerplate.
 Maximum flow (Dinic) leaves the blocks on the source's side of a minimum cut: content. Their texts in page order, one per
 line, are the page's text.
 
-Boilerplate words of class and id count neither on html and body nor on the elements around the main element or around the
-article with most text.
+Names and roles of elements, and words of class and id that name boilerplate and nothing else, weigh more than all other
+features; words that a story's own parts may carry too (more, legal, popular) are one weak feature, which the text or the
+blocks beside it overrule. Neither count on html and body nor on the elements around the main element or around the article
+with most text.
 
 Never part of any block: scripts, styles, markup, comments, the head, form controls. Null and empty html gives an empty
 text with 0 characters. Broken markup is read on as far as it goes: unclosed elements end with their parents, an unfinished
@@ -28,11 +31,13 @@ import html as references
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Elements (fixed values: HTML's vocabulary).
 INLINE = frozenset(
@@ -54,14 +59,19 @@ BOILERPLATE_ELEMENTS = frozenset("nav footer aside form menu dialog fieldset add
 CONTENT_ELEMENTS = frozenset("article main".split())
 ROOTS = frozenset("html body".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-#: Words of class and id attributes.
+#: Words of class and id attributes that name boilerplate.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion commercial cookie cookies"
-    " consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share"
-    " sharing social follow sidebar aside widget related recommended recommendation recommendations trending popular more"
-    " breadcrumb breadcrumbs crumbs menu nav navbar navigation footer masthead topbar toolbar pagination pager paging search"
-    " copyright legal disclaimer tags tagcloud meta byline comment comments commentlist reply replies respond disqus".split()
+    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo cookie cookies"
+    " consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share"
+    " sharing social sidebar aside widget related recommended recommendation recommendations trending"
+    " breadcrumb breadcrumbs crumbs menu nav navbar navigation footer masthead topbar toolbar pagination pager paging"
+    " tagcloud comment comments commentlist reply replies respond disqus".split()
 )
+#: Words that name boilerplate on some pages and parts of the story on others.
+DOUBTFUL_WORDS = frozenset(
+    "more legal popular meta byline follow tags search alert register promotion commercial copyright disclaimer".split()
+)
+DOUBTFUL, SURE = 1, 2
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 CONTENT_WORDS = frozenset("article content post entry story text main body".split())
 
@@ -82,11 +92,12 @@ class Block:
 
 @dataclass(frozen=True)
 class Weights:
-    """Log odds per feature, and the strength of the smoothness edges."""
+    """Log odds per feature, and the strength of the smoothness edges. Those of :data:`FITTED` are a prior of the fit."""
 
     article: float = 3.0
     content_words: float = 1.0
-    boilerplate: float = -8.0
+    boilerplate: float = -9.0
+    doubtful: float = -2.5
     paragraph: float = 1.5
     heading: float = 0.5
     item: float = -0.5
@@ -102,7 +113,7 @@ class Judgement(NamedTuple):
     """What an element says about the text in it."""
 
     boilerplate: bool  # by its name or role
-    worded: bool  # by words of class and id
+    worded: int  # by words of class and id: 0, DOUBTFUL or SURE
     content: bool
     content_words: bool
     main: bool
@@ -121,7 +132,10 @@ def element(tag: str, attributes: str) -> Judgement:
     main = tag == "main" or role == "main"
     content = main or tag in CONTENT_ELEMENTS or role == "article"
     # Words of a page's outermost elements tell how it is laid out.
-    worded = tag not in ROOTS and bool(words & (COMMENT_WORDS if content else BOILERPLATE_WORDS))
+    worded = 0
+    if tag not in ROOTS:
+        sure = words & (COMMENT_WORDS if content else BOILERPLATE_WORDS)
+        worded = SURE if sure else DOUBTFUL if not content and words & DOUBTFUL_WORDS else 0
     boilerplate = tag in BOILERPLATE_ELEMENTS or role in BOILERPLATE_ROLES
     return Judgement(boilerplate, worded, content, bool(words & CONTENT_WORDS), main, frozenset(words))
 
@@ -290,25 +304,116 @@ def clear_wrappers(blocks: list[Block]) -> None:
     """Takes the boilerplate words from the :func:`wrappers`."""
     if any(e[2].worded for block in blocks for e in block.chain) and (cleared := wrappers(blocks)):
         for block in blocks:
-            block.chain = tuple((n, tag, j._replace(worded=False) if n in cleared else j) for n, tag, j in block.chain)
+            block.chain = tuple((n, tag, j._replace(worded=0) if n in cleared else j) for n, tag, j in block.chain)
 
 
-def odds(block: Block, weights: Weights) -> float:
-    """Log odds of content against boilerplate."""
-    out = weights.offset
-    inside = words = False
+class Standing(NamedTuple):
+    """What the elements around a block say about it."""
+
+    inside: bool  # a content element
+    words: bool  # content words
+    doubtful: bool
+    named: bool  # boilerplate by an element's name or role
+    worded: bool  # boilerplate by words
+
+
+def standing(block: Block) -> Standing:
+    inside = words = doubtful = False
     for _, tag, judged in block.chain:
-        if judged.content:
-            inside = True
+        inside = inside or judged.content
         words = words or judged.content_words
-        if judged.boilerplate or judged.worded or tag == "header" and not inside:
-            out += weights.boilerplate
-            break
+        named = judged.boilerplate or tag == "header" and not inside
+        if named or judged.worded == SURE:
+            return Standing(inside, words, doubtful, named, judged.worded == SURE)
+        doubtful = doubtful or judged.worded == DOUBTFUL
+    return Standing(inside, words, doubtful, False, False)
+
+
+#: Weights that are fitted, in the order of :func:`features`.
+FITTED = ("offset", "content_words", "doubtful", "paragraph", "heading", "item", "linked", "per_character")
+
+
+def features(block: Block, around: Standing, weights: Weights) -> tuple[float, ...]:
+    """Values that the weights of :data:`FITTED` multiply."""
     share = min(1.0, block.linked / max(1, len(block.text)))
     tag = block.chain[-1][1] if block.chain else ""
-    out += weights.article * inside + weights.content_words * words + weights.linked * share
-    out += weights.paragraph * (tag in ("p", "pre", "blockquote")) + weights.heading * (tag in HEADINGS) + weights.item * (tag == "li")
-    return out + min(weights.most_for_length, weights.per_character * len(block.text) * (1 - share))
+    length = min(weights.most_for_length / Weights.per_character, len(block.text) * (1 - share))
+    return (1, around.words, around.doubtful, tag in ("p", "pre", "blockquote"), tag in HEADINGS, tag == "li", share, length)
+
+
+def odds(block: Block, weights: Weights) -> float:
+    """Log odds of content against boilerplate."""
+    around = standing(block)
+    out = weights.article * around.inside + weights.boilerplate * (around.named or around.worded)
+    return out + sum(getattr(weights, name) * x for name, x in zip(FITTED, features(block, around, weights)))
+
+
+#: Steps in which the fit counts the share of linked text and the length.
+STEPS = 10
+
+
+def cell(block: Block, weights: Weights) -> int | None:
+    """Number of a block's features, rounded, and of its label; None if its elements do not tell what it is. Labels come
+    from names and roles of elements alone: inside a boilerplate element, or inside a content element and nothing else."""
+    around = standing(block)
+    if around.worded or not (around.inside or around.named):
+        return None
+    _, words, doubtful, paragraph, heading, item, share, length = features(block, around, weights)
+    most = weights.most_for_length / Weights.per_character
+    tag = paragraph + 2 * heading + 3 * item
+    out = int(not around.named)
+    for value, size in ((words, 2), (doubtful, 2), (tag, 4), (round(share * STEPS), STEPS + 1), (round(length / most * STEPS), STEPS + 1)):
+        out = out * size + int(value)
+    return out
+
+
+CELLS = 2 * 2 * 2 * 4 * (STEPS + 1) ** 2
+
+
+def fitted(counts: np.ndarray, prior: Weights = Weights(), hold: float = 0.25) -> Weights:
+    """Logistic regression on the number of blocks per cell; both labels weigh the same. ``hold`` is the strength (per
+    block) that draws every weight to the prior, so the fit does not depend on the number of pages. With blocks of one label
+    only, the prior."""
+    label, words, doubtful, tag, share, length = np.unravel_index(np.arange(CELLS), (2, 2, 2, 4, STEPS + 1, STEPS + 1))
+    sums = np.array([counts[label == k].sum() for k in (0, 1)], float)
+    if not sums.all():
+        return prior
+    weight = counts / sums[label] / 2
+    # Lengths in the unit of the prior's hundred characters, so that one strength suits all weights.
+    scale = np.array([1, 1, 1, 1, 1, 1, 1, 100.0])
+    most = prior.most_for_length / Weights.per_character
+    x = np.stack([np.ones(CELLS), words, doubtful, tag == 1, tag == 2, tag == 3, share / STEPS, length / STEPS * most / 100], axis=1)
+    start = np.array([getattr(prior, name) for name in FITTED]) * scale
+    w = start.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        slope = x.T @ (weight * (p - label)) + hold * (w - start)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + hold * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    return replace(prior, **dict(zip(FITTED, (w / scale).tolist())))
+
+
+def fit(pages: DataFrame, html: str = "html", prior: Weights = Weights(), hold: float = 0.25) -> Weights:
+    """:func:`fitted` on the blocks of all pages. A task sends its counts; ``CELLS`` rows at most reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                for block in Reader().read(page or ""):
+                    if (at := cell(block, prior)) is not None:
+                        counts[at] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    parts = pages.select(pages[html].alias("_html")).mapInArrow(run, "cell int, n long")
+    for row in parts.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[row["cell"]] = row["n"]
+    return fitted(counts, prior, hold)
 
 
 @dataclass

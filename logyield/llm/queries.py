@@ -140,7 +140,8 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_html_extraction")
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, weights=html.fit(pages))
 
 
 def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:

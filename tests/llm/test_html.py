@@ -1,6 +1,9 @@
 import itertools
+import math
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from logyield.llm import html
@@ -138,3 +141,90 @@ def test_tables(spark):
     blocks = html.labelled_blocks(pages.limit(1)).collect()
     assert "\n".join(b.text for b in sorted(blocks, key=lambda b: b.block) if b.content) == TEXT
     assert html.extract(pages.limit(0)).collect() == []
+
+
+WORDS = "Words of a story that go on for a while, until the sentence is over."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Parts of a story with words that name boilerplate elsewhere.
+        (f'<article>{STORY}<div class="more"><p>{WORDS}</p></div></article>', f"{LINES}\n{WORDS}"),
+        (f'<div class="story">{STORY}<p class="legal">{WORDS}</p>{STORY}</div>', f"{LINES}\n{WORDS}\n{LINES}"),
+        (f'<article><p class="byline">By a writer, for all readers.</p>{STORY}</article>', f"By a writer, for all readers.\n{LINES}"),
+        (f'<article>{STORY}<p class="popular meta">{WORDS}</p></article>', f"{LINES}\n{WORDS}"),
+        # The same words on what is no part of it.
+        (f'<article>{STORY}<ul class="tags"><li><a>one</a><li><a>two</a></ul></article>', LINES),
+        (f'<article>{STORY}</article><div class="more"><a>Another story</a><a>One more</a></div>', LINES),
+        (f'<div class="popular"><ul><li><a>Read this</a></ul></div><main>{STORY}</main><div class="legal">All rights reserved.</div>', LINES),
+        # Words that name boilerplate and nothing else, between paragraphs.
+        (f'<article>{STORY}<p class="ad">{WORDS * 4}</p>{STORY}</article>', f"{LINES}\n{LINES}"),
+        (f'<article>{STORY}<div class="cookie notice"><p>{WORDS * 4}</p></div>{STORY}</article>', f"{LINES}\n{LINES}"),
+        # A page without any element that says what it is.
+        (f"<div><ul><li><a>Home</a><li><a>News</a><li><a>Sport</a></ul></div><div><h1>Title</h1>{STORY}</div>", f"Title\n{LINES}"),
+    ],
+)
+@pytest.mark.parametrize("trained", [False, True])
+def test_pages_with_expected_texts(page, text, trained):
+    assert html.main_text(page, TRAINED if trained else html.Weights()) == text
+
+
+def counted(pages):
+    counts = np.zeros(html.CELLS, np.int64)
+    for page in pages:
+        for block in html.Reader().read(page):
+            if (at := html.cell(block, html.Weights())) is not None:
+                counts[at] += 1
+    return counts
+
+
+TRAINED = html.fitted(counted([PAGE, f"<nav><a>Menu</a></nav><article><h1>Title</h1>{STORY}</article><footer>End</footer>"]))
+
+
+def test_the_cut_overrules_single_blocks():
+    """A block whose own odds say boilerplate stays with the story around it, one whose odds say content goes with the menu."""
+    page = f'<div class="story">{STORY}<p class="legal">A short one.</p>{STORY}</div>'
+    blocks = html.Reader().read(page)
+    assert [round(html.odds(b, html.Weights()), 1) < 0 for b in blocks] == [False] * 4 + [True] + [False] * 4
+    assert html.label(blocks) == [True] * 9
+    links = "".join("<div><a>Read on about this and that</a></div>" for _ in range(3))
+    page = f"<section>{links}<div>A line of more than fifty letters, without a link in it.</div>{links}</section>"
+    blocks = html.Reader().read(page)
+    assert [html.odds(b, html.Weights()) > 0 for b in blocks] == [False] * 3 + [True] + [False] * 3
+    assert html.label(blocks) == [False] * 7
+
+
+def test_fit(spark):
+    prior = html.Weights()
+    assert html.fitted(np.zeros(html.CELLS)) == prior
+    assert html.fitted(counted([f"<article>{STORY}</article>"])) == prior  # one label only
+    pages = [PAGE, None, "", f"<nav><p>{WORDS}</p></nav><article><ul><li>{WORDS}</ul></article>"] * 3
+    counts = counted([p or "" for p in pages])
+    weights = html.fitted(counts)
+    for name in html.FITTED:
+        assert abs(getattr(html.fitted(counts * 1000), name) - getattr(weights, name)) < 1e-6
+    frame = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(pages)], "page_id long, html string, cell string")
+    got = html.fit(frame.repartition(4))
+    assert all(abs(getattr(got, n) - getattr(weights, n)) < 1e-9 for n in html.FITTED)
+    assert html.fit(frame.limit(0)) == prior
+
+    # Gradient of the penalised loss, over blocks rather than cells: zero at the fit.
+    def loss(w):
+        total, sums = 0.0, [counts[: html.CELLS // 2].sum(), counts[html.CELLS // 2 :].sum()]
+        for page in pages:
+            for block in html.Reader().read(page or ""):
+                around = html.standing(block)
+                if around.worded or not (around.inside or around.named):
+                    continue
+                x = list(html.features(block, around, prior))
+                x[6], x[7] = round(x[6] * html.STEPS) / html.STEPS, round(x[7] / 200 * html.STEPS) / html.STEPS * 200
+                z = sum(getattr(w, n) * v for n, v in zip(html.FITTED, x)) * (-1 if around.named else 1)
+                total += math.log1p(math.exp(-z)) / sums[not around.named] / 2
+        away = [(getattr(w, n) - getattr(prior, n)) * (100 if n == "per_character" else 1) for n in html.FITTED]
+        return total + 0.125 * sum(a * a for a in away)
+
+    for name in html.FITTED:
+        step = 1e-3 / (100 if name == "per_character" else 1)
+        for sign in (-1, 1):
+            assert loss(replace(weights, **{name: getattr(weights, name) + sign * step})) > loss(weights)
