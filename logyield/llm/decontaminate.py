@@ -6,7 +6,7 @@ the texts are read: no shuffle, no term whose list could grow beyond a shard. Th
 that any number of searches can use.
 
 **Search.** The queries (here: windows of consecutive benchmark words) come in blocks of at most ``BLOCK_WORDS`` words,
-so what is broadcast is bounded however large the benchmark is. Document frequencies of the block's terms are summed
+so what is broadcast is bounded however large the benchmark or one item of it is; every block reads the index once. Document frequencies of the block's terms are summed
 from the index's term lists; every query's terms are ordered by them. In each shard the positions of a query's rarest
 term, minus the term's offset, are its candidates; the lists of the other terms, likewise shifted, are intersected with
 them from rare to frequent. All queries of the block are intersected side by side in numpy.
@@ -38,7 +38,7 @@ from .common import ALNUM, LOWERED, joined, kept_table, sequence_hashes, slices,
 WINDOW = 10
 SPAN = 15
 SHARD_BYTES = 4 << 20
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,15 +151,33 @@ def windows(items: list[tuple[object, str]], size: int = WINDOW) -> Queries:
     return Queries(table, lengths, starts, np.array([i for v in owners for i in v], np.int64), list(numbers))
 
 
-def blocks_of_items(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks of bounded size, read one after the other."""
-    block, size = [], 0
+def parts_of_item(text: str, size: int, most: int) -> Iterator[tuple[str, int]]:
+    """(part, its words): the whole item, or parts of at most ``most`` words that share ``size - 1`` words with the next
+    one, so that every window of ``size`` words is in exactly one of them."""
+    raw = text.encode("utf-8")
+    spans = words([raw])[2]
+    if len(spans) <= most:
+        yield text, len(spans)
+        return
+    for begin in range(0, len(spans) - size + 1, most - size + 1):
+        part = spans[begin : begin + most]
+        yield raw[part[0, 0] : part[-1, 1]].decode("utf-8"), len(part)
+
+
+def blocks_of_items(
+    items: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW, most: int | None = None
+) -> Iterator[list[tuple[object, str]]]:
+    """The benchmark in blocks of at most ``most`` words (BLOCK_WORDS), read one after the other; longer items are in several."""
+    most = max(most or BLOCK_WORDS, size)
+    block, held = [], 0
     for row in items.select(key, text).toLocalIterator():
-        size += (row[1] or "").count(" ") + 1
-        block.append((row[0], row[1]))
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
+        for part, n in parts_of_item(row[1] or "", size, most):
+            n = max(1, n)
+            if held + n > most:
+                yield block
+                block, held = [], 0
+            block.append((row[0], part))
+            held += n
     if block:
         yield block
 
@@ -295,7 +313,7 @@ def _index_kind(index: DataFrame) -> str:
 def matches(index: DataFrame, items: DataFrame, size: int = WINDOW, span: int = SPAN) -> DataFrame:
     """Every exact phrase match and every proximity match: row_no, id, item_id, first_word, n_words, exact."""
     out = index.sparkSession.createDataFrame([], MATCHES.format(kind=_index_kind(index)))
-    for block in blocks_of_items(items):
+    for block in blocks_of_items(items, size=size):
         queries = windows(block, size)
         shared = index.sparkSession.sparkContext.broadcast((queries, rare_first(queries, index)))
 
@@ -374,7 +392,7 @@ def _items_per_text(queries: Queries, text: np.ndarray, query: np.ndarray, n: in
 def report(index: DataFrame, items: DataFrame, size: int = WINDOW, span: int = SPAN) -> DataFrame:
     """Per training row: row_no, id, n_words, n_hit (words inside a match), items and near (lists of item ids)."""
     parts, blocks = None, 0
-    for block in blocks_of_items(items):
+    for block in blocks_of_items(items, size=size):
         queries = windows(block, size)
         part = _report_block(index, queries, rare_first(queries, index), span)
         parts, blocks = part if parts is None else parts.unionByName(part), blocks + 1

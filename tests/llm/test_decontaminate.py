@@ -60,7 +60,7 @@ def corpus(seed, n=60):
     return documents, items
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 20])
+@pytest.mark.parametrize("block_words", [2_000_000, 20, 11, 1])
 def test_report(spark, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
     rows, items = corpus(block_words % 7)
@@ -94,3 +94,18 @@ def test_empty_tables(spark):
     assert decontaminate.report(decontaminate.build_index(none), spark.createDataFrame([(1, "a")], "item_id bigint, text string")).collect() == []
     row = decontaminate.report(decontaminate.build_index(some), no_items).first()
     assert (row.n_words, row.n_hit, row["items"]) == (2, 0, [])
+
+
+def test_blocks_are_bounded_by_words(spark):
+    text = ",".join(f"Wörd{i}" for i in range(95))  # no blank at all
+    rows = [(1, text), (2, "a b"), (3, None), (4, "--"), (5, "\n".join("x" * 30)), (6, "c\td")]
+    items = spark.createDataFrame(rows, "item_id bigint, text string").coalesce(1)
+    for most in (10, 11, 25, 94, 95, 1000):
+        blocks = list(decontaminate.blocks_of_items(items, most=most))
+        assert all(sum(len(words(t)) for _, t in block) <= most for block in blocks)
+        found, wanted = {}, windows(rows)
+        for block in blocks:
+            for window, keys in windows(block).items():
+                found.setdefault(window, set()).update(keys)
+        assert found == wanted
+        assert sum(len(windows([part])) for b in blocks for part in b if part[0] == 1) == 86
