@@ -7,8 +7,8 @@ max-pooled over the chunk. The chunks of a text are combined by maximum and by m
 logistic layer turns both into one probability.
 
 Training (Adam, exact gradients through the pooled places) runs in one task on a bounded sample: ``Params.most_rows``
-labelled ids outside the held-out fold, of each text ``Params.most_chunks`` chunks spread evenly over the whole text.
-Scoring reads all chunks of every text. Empty and null texts are one chunk of padding and get a score like any other.
+labelled ids outside the held-out fold, in the order of their ids' hashes, each with all its chunks. A row whose chunks do not
+fit into what is left of ``Params.most_chunks`` for the whole sample is not part of it. Scoring reads all chunks of every text. Empty and null texts are one chunk of padding and get a score like any other.
 Repeated rows are scored one by one, extra columns are not read, an empty table gives an empty result. Without labels
 the score is 0.5.
 """
@@ -35,7 +35,7 @@ ADVANCE = CHUNK - WIDTH
 @dataclass(frozen=True)
 class Params:
     most_rows: int = 4_000
-    most_chunks: int = 12
+    most_chunks: int = 32_000
     epochs: int = 8
     rate: float = 0.01
     batch: int = 64
@@ -148,30 +148,34 @@ class Network:
                     part -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
-def spread_chunks(text: bytes, most: int) -> bytes:
-    """At most ``most`` chunks at even distances from the first to the last one."""
-    n = chunk_count(len(text))
-    return chunks_of(text, range(n) if n <= most else [round(i * (n - 1) / (most - 1)) for i in range(most)])
-
-
 def fit(rows: DataFrame, params: Params = Params()) -> bytes | None:
     """The network's numbers, learnt in one task from the bounded ``rows`` (doc_id, text, label); None without rows."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [str(i) for i in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()]
-            chosen = [spread_chunks(t, params.most_chunks) for t in texts_of(batch)]
-            label = batch.column(batch.schema.get_field_index("label"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(chosen, pa.binary()), label], ["id", "chunks", "label"])
+            for low, high in slices(texts := texts_of(batch)):
+                fits = [i for i in range(low, high) if chunk_count(len(texts[i])) <= params.most_chunks]
+                chosen = [chunks_of(texts[i], range(chunk_count(len(texts[i])))) for i in fits]
+                others = (batch.column(batch.schema.get_field_index(n)).take(pa.array(fits, pa.int64())) for n in ("_order", "doc_id", "label"))
+                order, ids, label = others
+                names = ["_order", "id", "chunks", "label"]
+                yield pa.RecordBatch.from_arrays([order, ids.cast(pa.string()), pa.array(chosen, pa.binary()), label], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [e for b in batches for e in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        examples, left = [], params.most_chunks * CHUNK
+        for batch in batches:
+            for _, key, chunks, label in zip(*(batch.column(i) for i in range(4))):
+                if (size := len(chunks.as_buffer())) <= left:
+                    left -= size
+                    examples.append((key.as_py(), chunks.as_py(), label.as_py()))
         if examples:
             network = Network()
             network.train([(chunks, label) for _, chunks, label in sorted(examples)], params)
             yield pa.RecordBatch.from_arrays([pa.array([network.dump()], pa.binary())], ["network"])
 
-    few = rows.mapInArrow(sample, "id string, chunks binary, label double").repartition(1)
+    hashed = rows.select("doc_id", "text", "label", F.xxhash64(F.col("doc_id").cast("string")).alias("_order"))
+    few = hashed.mapInArrow(sample, "_order long, id string, chunks binary, label double")
+    few = few.repartition(1).sortWithinPartitions("_order", "id", "chunks", "label")
     learnt = few.mapInArrow(run, "network binary").collect()  # at most one row of a fixed size
     return learnt[0]["network"] if learnt else None
 

@@ -110,3 +110,21 @@ def test_chunks_cover_the_text_with_overlap():
             raw[k * quality.CHUNK + quality.WIDTH : (k + 1) * quality.CHUNK] for k in range(1, count)
         )
         assert joined[:n] == text
+
+
+def test_training_takes_whole_texts_within_its_bound(spark):
+    texts = ["good " * 40, "bad### " * 400, "good words " * 3000] * 6
+    rows = [(i, t, float("#" not in t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label double").repartition(3)
+    order = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    for most in (1, 40, 150, 10_000):
+        params = quality.Params(most_chunks=most, epochs=1)
+        left, chosen = most, []
+        for key, text, label in sorted(rows, key=lambda r: order[r[0]]):
+            n = quality.chunk_count(len(text))
+            if n <= left:
+                left -= n
+                chosen.append((str(key), quality.chunks_of(text.encode(), range(n)), label))
+        network = quality.Network()
+        network.train([(c, y) for _, c, y in sorted(chosen)], params)
+        assert quality.fit(frame, params) == (network.dump() if chosen else None)
