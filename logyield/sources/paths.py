@@ -141,51 +141,65 @@ def _counted(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, f" {word}").otherwise(f" {word}s"))
 
 
-def _head(ranked: DataFrame, value: str, total: str) -> DataFrame:
-    """First names per batch in order; at most SHOWN_NAMES rows are gathered."""
-    return (
-        ranked.filter(F.col("_rank") <= SHOWN_NAMES)
-        .groupBy("batch_id", total)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", value))), lambda x: x[value]).alias("_first"))
+BATCH, FOLDER, NAME, FILE = range(4)
+
+
+def _overview(files: DataFrame, most: int) -> DataFrame:
+    """One row per batch, whatever its size: n, zip (any), folders and names (how many), roots (first folders), first (seq,
+    name, path of the first ``most`` files) and repeated (names met there that the batch has again).
+
+    Counts of batches, folders and names are one aggregation. Folders, names and files are then cut to the first of a
+    batch in every task, before they meet; an earlier file of a shown name is always shown itself.
+    """
+    base = files.select("batch_id", "seq", "name", "path")
+    root = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1))
+    parts = [(BATCH, F.lit(None).cast("string")), (FOLDER, root), (NAME, F.col("name"))]
+    part = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in parts)))
+    groups = (
+        base.select("batch_id", "seq", is_zip(F.col("path")).alias("zip"), part.alias("part"))
+        .groupBy("batch_id", "part.kind", "part.value")
+        # The kind again, as an aggregate: no filter on it goes below, so both uses of the groups share one shuffle.
+        .agg(F.max("part.kind").alias("what"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.bool_or("zip").alias("zip"))
+        .select("batch_id", "what", "value", "n", "seq", "zip", F.lit(None).cast("string").alias("path"))
+    )
+    what, is_folder = F.col("what"), (F.col("what") == FOLDER) & F.col("value").isNotNull()
+    as_groups = {"what": F.lit(FILE), "value": F.col("name"), "n": F.lit(1).cast("long"), "zip": F.lit(False)}
+    single = base.withColumns(as_groups).drop("name")
+    candidates = groups.filter(is_folder | (what == NAME) & (F.col("n") > 1)).unionByName(single)
+    in_batch = Window.partitionBy("batch_id", "what").orderBy("seq", "value", "path")
+    shown = candidates.withColumn("rank", F.row_number().over(in_batch)).filter(F.col("rank") <= most)
+    is_shown = F.col("rank").isNotNull()
+    one = F.struct("rank", "seq", F.col("value").alias("name"), "path")
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(is_shown & (what == kind), one)))
+    return groups.unionByName(shown, allowMissingColumns=True).groupBy("batch_id").agg(
+        F.max(F.when(what == BATCH, F.col("n"))).alias("n"),
+        F.bool_or(F.when(what == BATCH, F.col("zip"))).alias("zip"),
+        F.count_if(~is_shown & is_folder).alias("folders"),
+        F.count_if(~is_shown & (what == NAME)).alias("names"),
+        F.transform(F.slice(listed(FOLDER), 1, SHOWN_NAMES), lambda x: x["name"]).alias("roots"),
+        listed(FILE).alias("first"),
+        F.collect_list(F.when(is_shown & (what == NAME), F.col("value"))).alias("repeated"),
     )
 
 
 def manifest_summary(files: DataFrame) -> DataFrame:
     """Title and detail line per batch. ``files``: batch_id, seq, name, path."""
-    base = files.select("batch_id", "seq", "name", "path")
-    per_batch = base.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.min("name").alias("_lo"),
-        F.max("name").alias("_hi"),
-        F.bool_or(is_zip(F.col("path"))).alias("_zip"),
-    )
-    roots = (
-        base.filter(F.contains("path", F.lit("/")))
-        .groupBy("batch_id", F.substring_index("path", "/", 1).alias("root"))
-        .agg(F.min("seq").alias("seq"))
-    )
-    root_names = _head(_in_order(roots, "_rank", "folders"), "root", "folders").withColumnRenamed("_first", "_roots")
-    path_names = _head(_in_order(base, "_rank", "_n"), "path", "_n").withColumnRenamed("_first", "_paths")
-    n, m = F.col("files"), F.col("folders")
-    single = (n == 1) & F.col("_zip")
-    same = F.col("_lo") == F.col("_hi")
+    seen = _overview(files, SHOWN_NAMES)
+    n, m = F.col("n"), F.col("folders")
+    paths = F.transform("first", lambda x: x["path"])
+    single = (n == 1) & F.col("zip")
     title = (
-        F.when(single, F.col("_lo_path"))
-        .when(m > 0, _listed(F.col("_roots"), m))
-        .when(same, F.concat(F.col("_lo"), F.lit(" ×"), n.cast("string")))
-        .otherwise(_listed(F.col("_paths"), n))
+        F.when(single, F.get(paths, F.lit(0)))
+        .when(m > 0, _listed(F.col("roots"), m))
+        .when(F.col("names") == 1, F.concat(F.get("first", F.lit(0))["name"], F.lit(" ×"), n.cast("string")))
+        .otherwise(_listed(paths, n))
     )
     detail = (
         F.when(single, "ZIP archive ready")
         .when(m > 0, F.concat(_counted(n, "file"), F.lit(" selected from "), _counted(m, "folder")))
         .otherwise(F.concat(_counted(n, "file"), F.lit(" ready")))
     )
-    return (
-        per_batch.join(path_names, "batch_id")
-        .join(root_names, "batch_id", "left")
-        .withColumn("_lo_path", F.get("_paths", F.lit(0)))
-        .select("batch_id", "files", title.alias("title"), detail.alias("detail"))
-    )
+    return seen.select("batch_id", n.alias("files"), title.alias("title"), detail.alias("detail"))
 
 
 def manifest_items(files: DataFrame) -> DataFrame:
@@ -195,38 +209,25 @@ def manifest_items(files: DataFrame) -> DataFrame:
     folders and how many more there are. Other files show their names, equal ones
     numbered, and how many more there are.
     """
-    base = files.select("batch_id", "seq", "name", "path")
-    kinds = base.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bool_or(is_zip(F.col("path"))).alias("_zip"),
-        F.bool_or(F.contains("path", F.lit("/"))).alias("_folders"),
-        F.min("path").alias("_path"),
-    )
-    single = (F.col("n") == 1) & F.col("_zip")
-    alone = kinds.filter(single).select("batch_id", F.lit(1).cast("long").alias("position"), F.col("_path").alias("label"))
-
-    in_folders = kinds.filter(~single & F.col("_folders")).select("batch_id")
-    roots = (
-        base.filter(F.contains("path", F.lit("/")))
-        .groupBy("batch_id", F.substring_index("path", "/", 1).alias("label"))
-        .agg(F.min("seq").alias("seq"))
-        .join(in_folders, "batch_id", "left_semi")
+    seen = _overview(files, SHOWN_ITEMS)
+
+    def numbered(x: Column, i: Column) -> Column:
+        so_far = F.size(F.filter(F.slice("first", 1, i + 1), lambda y: y["name"] == x["name"]))
+        again = F.array_contains("repeated", x["name"])
+        return F.when(again, F.concat(x["name"], F.lit(" #"), so_far.cast("string"))).otherwise(x["name"])
+
+    labels = (
+        F.when((F.col("n") == 1) & F.col("zip"), F.transform("first", lambda x: x["path"]))
+        .when(F.col("folders") > 0, _with_rest(F.col("roots"), F.col("folders"), SHOWN_NAMES))
+        .otherwise(_with_rest(F.transform("first", numbered), F.col("n"), SHOWN_ITEMS))
     )
-    picked = _with_rest(_in_order(roots, "position", "_n"), SHOWN_NAMES)
-
-    loose = kinds.filter(~single & ~F.col("_folders")).select("batch_id")
-    ranked = _in_order(base.join(loose, "batch_id", "left_semi"), "position", "_n")
-    names = base.groupBy("batch_id", "name").agg(F.count(F.lit(1)).alias("_same"))
-    # Only the shown rows of a name are numbered, at most SHOWN_ITEMS of them.
-    nth = F.row_number().over(Window.partitionBy("batch_id", "name").orderBy("seq"))
-    label = F.when(F.col("_same") > 1, F.concat("name", F.lit(" #"), nth.cast("string"))).otherwise(F.col("name"))
-    shown = ranked.filter(F.col("position") <= SHOWN_ITEMS + 1).join(names, ["batch_id", "name"]).withColumn("label", label)
-    return alone.unionByName(picked).unionByName(_with_rest(shown, SHOWN_ITEMS))
-
-
-def _with_rest(ranked: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` labels of each batch; the next row, if any, becomes the number of those left."""
-    rest = F.concat(F.lit("+ "), (F.col("_n") - most).cast("string"), F.lit(" more"))
-    return ranked.filter(F.col("position") <= most + 1).select(
-        "batch_id", "position", F.when(F.col("position") > most, rest).otherwise(F.col("label")).alias("label")
+    return seen.select("batch_id", F.posexplode(labels).alias("_at", "label")).select(
+        "batch_id", (F.col("_at") + 1).cast("long").alias("position"), "label"
     )
+
+
+def _with_rest(shown: Column, total: Column, most: int) -> Column:
+    """The labels and, if there are more, how many are left."""
+    rest = F.concat(F.lit("+ "), (total - most).cast("string"), F.lit(" more"))
+    return F.concat(shown, F.when(total > most, F.array(rest)).otherwise(F.array().cast("array<string>")))
+

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import re
 import zipfile
 
 import pytest
@@ -401,3 +402,53 @@ def test_age_of_batches_from_footers(spark, tmp_path):
         "batch_id=b 2%25": (at + dt.timedelta(hours=49), True), "batch_id=__HIVE_DEFAULT_PARTITION__": (at, True),
         "batch_id=nulls": (None, False),
     }
+
+
+def manifest_by_hand(rows):
+    """(title, labels) per batch, file by file."""
+    out = {}
+    for batch in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == batch)
+        names, all_paths = [r[1] for r in own], [r[2] for r in own]
+        roots = list(dict.fromkeys(p.split("/")[0] for p in all_paths if "/" in p))
+        more = lambda first, n, most: first[:most] + ([f"+ {n - most} more"] if n > most else [])
+        if len(own) == 1 and all_paths[0].lower().endswith(".zip"):
+            title, labels = all_paths[0], all_paths
+        elif roots:
+            labels = more(roots, len(roots), 3)
+            title = ", ".join(labels)
+        else:
+            numbered = [f"{x} #{names[: i + 1].count(x)}" if names.count(x) > 1 else x for i, x in enumerate(names)]
+            labels = more(numbered, len(own), 20)
+            title = f"{names[0]} ×{len(own)}" if len(set(names)) == 1 else ", ".join(more(all_paths, len(own), 3))
+        out[batch] = title, labels
+    return out
+
+
+def test_manifest_views_of_large_and_odd_batches(spark):
+    rows = [("hot", i, f"n{i % 700}.txt", f"n{i % 700}.txt") for i in range(4000)]  # a batch with most of the files
+    rows += [("late", i, f"n{min(i, 30)}.txt", f"n{min(i, 30)}.txt") for i in range(50)]  # names met again beyond the shown
+    rows += [("twice", i, f"n{i % 25}.txt", f"n{i % 25}.txt") for i in range(26)]
+    rows += [("folders", i, "a.txt", f"top{i // 40}/a.txt" if i else "a.txt") for i in range(300)]
+    rows += [("zip", 7, "a.ZIP", "a.ZIP"), ("in", 1, "b.zip", "x/b.zip"), ("one", 1, "a.txt", "a.txt"), ("", 1, "", "")]
+    rows += [("same", i, "a.txt", "a.txt") for i in range(21)] + [("twenty", i, f"{i}.txt", f"{i}.txt") for i in range(20)]
+    frame = spark.createDataFrame(rows, "batch_id string, seq long, name string, path string").repartition(5)
+    want = manifest_by_hand(rows)
+    got = {}
+    for r in paths.manifest_items(frame).collect():
+        got.setdefault(r.batch_id, {})[r.position] = r.label
+    assert {b: [x[k + 1] for k in range(len(x))] for b, x in got.items()} == {b: x for b, (_, x) in want.items()}
+    assert {r.batch_id: r.title for r in paths.manifest_summary(frame).collect()} == {b: t for b, (t, _) in want.items()}
+    assert paths.manifest_items(frame.limit(0)).collect() == [] == paths.manifest_summary(frame.limit(0)).collect()
+
+
+def test_manifest_items_reads_the_files_twice(spark, tmp_path):
+    path = str(tmp_path / "files")
+    rows = [("b", i, f"n{i}", f"n{i}") for i in range(50)]
+    spark.createDataFrame(rows, "batch_id string, seq long, name string, path string").write.parquet(path)
+    items = paths.manifest_items(spark.read.parquet(path))
+    items.collect()
+    final = items._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"(?:FileScan|Scan) parquet", final)) == 2
+    assert len([line for line in final.split("\n") if "Exchange hash" in line and "Reused" not in line]) == 3
+    assert "WindowGroupLimit" in final
