@@ -28,6 +28,25 @@ def test_units_give_the_tokenizer_s_ids(encoder):
     assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == want  # remembered units
 
 
+def test_units_that_share_a_token_and_bounded_memory(encoder, monkeypatch):
+    texts = ["the cat and the dog", "and the cat", " a b", "x"] * 3
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for bound in (0, 5):
+        monkeypatch.setattr(packing, "REMEMBERED_IDS", bound)
+        assert [[x.tolist() for x in encoder.encode([t.encode()])][0] for t in texts] == want
+    other = packing.UnitTokenizer(tokenizer_path())
+
+    class Crossing:
+        """Takes the whole text for one token."""
+
+        def encode_to_numpy(self, text, allowed_special):
+            other.token_bytes[7] = len(text.encode())
+            return np.array([7], np.uint32)
+
+    other.fast = Crossing()
+    assert [x.tolist() for x in other.encode([t.encode() for t in texts])] == want
+
+
 def bins(patterns):
     return sum(n for _, n in patterns)
 
