@@ -42,30 +42,57 @@ def is_secret(key: Column) -> Column:
     return F.lower(key).rlike("|".join(SECRET_KEY_PARTS))
 
 
-def _kind(value: Column) -> Column:
-    """OBJECT, ARRAY or the scalar's type name; null for JSON null."""
-    return F.when(~F.is_variant_null(value), F.substring_index(F.schema_of_variant(value), "<", 1))
+# Stand for an escaped backslash and an escaped quote while quotes are looked at; JSON text never holds them.
+_BACKSLASH, _QUOTE = "\x02", "\x03"
+_MARK = "\\u0001"
+
+
+def _bare(json: Column) -> Column:
+    """JSON text whose every ``"`` begins or ends a string."""
+    return F.replace(F.replace(json, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _unbare(json: Column) -> Column:
+    return F.replace(F.replace(json, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
+def _marked(json: Column) -> Column:
+    """The same JSON with U+0001 before every string, so that a value's text tells its kind after one parse.
+
+    Text with raw control characters of these kinds is no JSON and stays as it is.
+    """
+    odd = F.contains(json, F.lit(_BACKSLASH)) | F.contains(json, F.lit(_QUOTE))
+    return F.when(odd, json).otherwise(_unbare(F.regexp_replace(_bare(json), '"([^"]*)"', f'"\\{_MARK}$1"')))
+
+
+def _unmarked(json: Column) -> Column:
+    return _unbare(F.replace(_bare(json), F.lit('"' + _MARK), F.lit('"')))
+
+
+def _typed(raw: Column) -> tuple[Column, Column]:
+    """(text, kind) of a value of marked JSON; text below an object or array stays marked, JSON null is null."""
+    first = F.substring(raw, 1, 1)
+    kind = (
+        F.when(first == "\x01", "STRING").when(first == "{", "OBJECT").when(first == "[", "ARRAY")
+        .when(first.isin("t", "f"), "BOOLEAN").when(raw.isNotNull(), "NUMBER")
+    )
+    return F.when(first == "\x01", F.substring(raw, 2, 1 << 30)).otherwise(raw).alias("text"), kind.alias("kind")
 
 
 def _entries(json: Column) -> Column:
-    """(key, text, value, kind) of a JSON object in document order."""
-    texts = F.map_entries(F.from_json(json, "map<string,string>"))
-    values = F.map_values(F.from_json(json, "map<string,variant>"))
-    return F.transform(
-        F.arrays_zip(texts.alias("e"), values.alias("v")),
-        lambda z: F.struct(
-            z["e"]["key"].alias("key"), z["e"]["value"].alias("text"), z["v"].alias("value"), _kind(z["v"]).alias("kind")
-        ),
-    )
+    """(key, text, kind) of a marked JSON object in document order."""
+    return _read(F.map_entries(F.from_json(json, "map<string,string>")))
 
 
-def _items(json: Column) -> Column:
-    """(text, value, kind) of the first elements of a JSON array."""
-    head = lambda kind: F.slice(F.from_json(json, f"array<{kind}>"), 1, MAX_LIST)
-    return F.transform(
-        F.arrays_zip(head("string").alias("t"), head("variant").alias("v")),
-        lambda z: F.struct(z["t"].alias("text"), z["v"].alias("value"), _kind(z["v"]).alias("kind")),
-    )
+def _children(json: Column, kind: Column) -> Column:
+    """Entries of an object, or the first elements of an array with null keys: one walk serves both."""
+    elements = F.slice(F.from_json(json, "array<string>"), 1, MAX_LIST)
+    keyless = F.transform(elements, lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))
+    return _read(F.when(kind == "OBJECT", F.map_entries(F.from_json(json, "map<string,string>"))).otherwise(keyless))
+
+
+def _read(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(F.substring(e["key"], 2, 1 << 30).alias("key"), *_typed(e["value"])))
 
 
 def _quoted(text: Column) -> Column:
@@ -86,28 +113,18 @@ def _scrub_value(item: Column, depth: int, client: bool) -> Column:
         long_text = (kind == "STRING") & (F.length(text) > MAX_CLIENT_TEXT)
         short = _quoted(F.concat(F.substring(text, 1, MAX_CLIENT_TEXT), F.lit("...[truncated]")))
         scalar = F.when(long_text, short).otherwise(scalar)
-    parts = F.transform(_items(text), lambda i: _scrub_value(i, depth + 1, client))
-    rebuilt = F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
-    # A short list without nested values has nothing to mask and stays as it is.
-    plain = (
-        ~F.contains(text, F.lit("{"))
-        & ~F.contains(F.substring(text, 2, F.length(text)), F.lit("["))
-        & (F.size(F.from_json(text, "array<string>")) <= MAX_LIST)
-    )
-    listed = rebuilt if client or depth == MAX_DEPTH else F.when(plain, text).otherwise(rebuilt)
-    return (
-        F.when(kind == "OBJECT", _scrub_object(text, depth, client))
-        .when(kind == "ARRAY", listed)
-        .otherwise(F.coalesce(scalar, F.lit("null")))
-    )
+    nested = kind.isin("OBJECT", "ARRAY")
+    inside = _scrub_parts(_children(text, kind), depth, client)
+    around = lambda of_object, of_array: F.when(kind == "OBJECT", of_object).otherwise(of_array)
+    return F.when(nested, F.concat(around("{", "["), inside, around("}", "]"))).otherwise(F.coalesce(scalar, F.lit("null")))
 
 
-def _scrub_object(json: Column, depth: int, client: bool) -> Column:
-    def pair(e: Column) -> Column:
+def _scrub_parts(children: Column, depth: int, client: bool) -> Column:
+    def part(e: Column) -> Column:
         value = F.when(is_secret(e["key"]), '"[REDACTED]"').otherwise(_scrub_value(e, depth + 1, client))
-        return F.concat(_quoted(e["key"]), F.lit(":"), value)
+        return F.concat(F.coalesce(F.concat(_quoted(e["key"]), F.lit(":")), F.lit("")), value)
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(_entries(json), pair), ","), F.lit("}"))
+    return F.array_join(F.transform(children, part), ",")
 
 
 def scrubbed(context: Column, client: bool = False) -> Column:
@@ -115,7 +132,8 @@ def scrubbed(context: Column, client: bool = False) -> Column:
 
     ``client`` also shortens long strings, as the sender does.
     """
-    return _scrub_object(F.coalesce(context, F.lit("{}")), 0, client)
+    top = _entries(_marked(F.coalesce(context, F.lit("{}"))))
+    return F.concat(F.lit("{"), _scrub_parts(top, 0, client), F.lit("}"))
 
 
 def ascii_json(json: Column) -> Column:
@@ -150,9 +168,10 @@ def _flat(json: Column, prefix: Column | None, depth: int) -> Column:
     def one(e: Column) -> Column:
         path = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
         kind = e["kind"]
-        count = F.size(F.from_json(e["text"], "array<variant>"))
+        count = F.size(F.from_json(e["text"], "array<string>"))
         listed = F.concat(F.lit("["), count.cast("string"), F.lit(" items]"))
-        leaf = F.array(F.concat(path, F.lit("="), F.when(kind == "ARRAY", listed).otherwise(_shown(e["text"], kind))))
+        text = F.when(kind == "OBJECT", _unmarked(e["text"])).otherwise(e["text"]) if depth >= MAX_DEPTH else e["text"]
+        leaf = F.array(F.concat(path, F.lit("="), F.when(kind == "ARRAY", listed).otherwise(_shown(text, kind))))
         if depth >= MAX_DEPTH:
             return leaf
         return F.when(kind == "OBJECT", _flat(e["text"], path, depth + 1)).otherwise(leaf)
@@ -162,7 +181,7 @@ def _flat(json: Column, prefix: Column | None, depth: int) -> Column:
 
 def pairs(context: Column) -> Column:
     """All ``a.b=v`` pairs of a scrubbed context."""
-    return _flat(context, None, 0)
+    return _flat(_marked(context), None, 0)
 
 
 def details(found: Column, debug: bool = False) -> Column:
