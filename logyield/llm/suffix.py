@@ -19,8 +19,9 @@ on the input, never on what is left, and never cross documents.
 4. **Removal.** Marks go back to their shard as (place, bits), are widened to bytes and cut out.
 
 Hot passages: an anchor of more than ``HOT_TEXTS`` texts deals its windows out one by one, by the hash of the whole window,
-instead of meeting in one bucket; equal contexts are merged per shard before they travel. So no bucket grows with the
-number of documents that share a passage.
+instead of meeting in one bucket. Equal ones meet in three steps: within their shard, then within the square root of the
+number of shards, where all but those of the least id are marked, then the rest. So of a window that every shard has, a
+bucket holds the square root of the number of shards, whatever number of documents share it.
 
 Ids are integers. A null id is neither smaller nor larger than any: such rows are kept whole and are no source. Rows that
 repeat an id do not remove each other. Null and empty texts have 0 bytes; texts shorter than ``length`` are kept whole.
@@ -459,11 +460,16 @@ def shared_anchors(shards: DataFrame, buckets: int, length: int) -> DataFrame:
     return kept_table(met.where(F.length("anchors") > 0), "anchors")
 
 
-CONTEXTS = "bucket int, shard long, contexts binary, sizes binary, owners binary, places binary, sure binary"
+CONTEXTS = "bucket int, next int, shard long, contexts binary, sizes binary, owners binary, places binary, sure binary"
+MARKS = "shard long, places binary, bits binary, bucket int, contexts binary, sizes binary, owners binary"
 
 
 def contexts(shards: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
-    """The windows of shared anchors, dealt by anchor (or, where hot, by window); ``sure``: marked within the shard."""
+    """The windows of shared anchors, dealt by anchor (or, where hot, by window); ``sure``: marked within the shard.
+
+    ``next``: the bucket where hot windows of all shards meet, null for others. Before, they meet in ``bucket`` with those of some shards.
+    """
+    salts = np.uint64(max(1, int(np.ceil(np.sqrt(shards.count())))))
     lists = shared.groupBy("shard").agg(F.collect_list("anchors").alias("anchors"))  # at most the shard's own anchors
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,23 +501,25 @@ def contexts(shards: DataFrame, shared: DataFrame, buckets: int, length: int) ->
                 np.minimum.at(least, code, owner)
                 surely = owner > least[code]
                 out = []
+                own_hash = mix(np.array([shard], np.int64).view(np.uint64))
                 if surely.any():
                     sure = np.stack([begin[surely], size[surely] - length + 1], axis=1).astype(np.uint32)
-                    out.append((int(mix(np.array([shard], np.int64).view(np.uint64))[0] % np.uint64(buckets)),
-                                b"", b"", b"", b"", sure.tobytes()))
-                rest = np.flatnonzero(~surely)
-                for bucket, which in by_bucket((spread[rest] % np.uint64(buckets)).astype(np.int32)):
-                    which = rest[which]
-                    out.append(
-                        (bucket, squeeze.compress(buffer[ragged(begin[which], size[which])].tobytes()),
-                         size[which].astype(np.uint16).tobytes(), owner[which].astype(np.int64).tobytes(),
-                         begin[which].astype(np.uint32).tobytes(), b"")
-                    )
-                columns = list(zip(*out)) if out else [[]] * 6
+                    out.append((int(own_hash[0] % np.uint64(buckets)), None, b"", b"", b"", b"", sure.tobytes()))
+                is_hot = np.arange(len(begin)) >= len(begin) - len(single)
+                for rest, salted in ((np.flatnonzero(~surely & ~is_hot), False), (np.flatnonzero(~surely & is_hot), True)):
+                    for bucket, which in by_bucket((spread[rest] % np.uint64(buckets)).astype(np.int32)):
+                        which = rest[which]
+                        near = mix(np.uint64(bucket) * salts + own_hash % salts) % np.uint64(buckets) if salted else [bucket]
+                        out.append(
+                            (int(near[0]), bucket if salted else None, squeeze.compress(buffer[ragged(begin[which], size[which])].tobytes()),
+                             size[which].astype(np.uint16).tobytes(), owner[which].astype(np.int64).tobytes(),
+                             begin[which].astype(np.uint32).tobytes(), b"")
+                        )
+                columns = list(zip(*out)) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array([shard] * len(out), pa.int64()),
-                     *(pa.array(c, pa.binary()) for c in columns[1:])],
-                    ["bucket", "shard", "contexts", "sizes", "owners", "places", "sure"],
+                    [*(pa.array(c, pa.int32()) for c in columns[:2]), pa.array([shard] * len(out), pa.int64()),
+                     *(pa.array(c, pa.binary()) for c in columns[2:])],
+                    ["bucket", "next", "shard", "contexts", "sizes", "owners", "places", "sure"],
                 )
 
     joined_rows = shards.select("shard", "ids", "sizes", "body").join(lists, "shard")
@@ -519,35 +527,43 @@ def contexts(shards: DataFrame, shared: DataFrame, buckets: int, length: int) ->
 
 
 def marks(dealt: DataFrame, length: int) -> DataFrame:
-    """shard, places, bits: marked windows (bit k: the window at place + k), by one r-index per bucket (stored)."""
+    """shard, places, bits: marked windows (bit k: the window at place + k), by one r-index per bucket (stored).
+
+    Hot windows that the others of their bucket leave unmarked meet once more, in their ``next`` bucket.
+    """
 
     def judge(rows: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor()
-        shards = rows.column("shard").to_pylist()
+        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        shards, following = rows.column("shard").to_pylist(), rows.column("next").to_pylist()
         raw = [np.frombuffer(expand.decompress(x) if x else b"", np.uint8) for x in rows.column("contexts").to_pylist()]
         sizes, owners, places = blob(rows, "sizes", np.uint16), blob(rows, "owners", np.int64), blob(rows, "places", np.uint32)
         counts = [len(x) for x in sizes]
-        out_shard, out_place, out_bits = [], [], []
+        out = []
         if sum(counts):
             bits = marked_windows(np.concatenate(raw), np.concatenate(sizes).astype(np.int64), np.concatenate(owners), length)
-            for shard, place, own in zip(shards, places, np.split(bits, np.cumsum(counts)[:-1])):
+            for k, own in enumerate(np.split(bits, np.cumsum(counts)[:-1])):
                 some = own != 0
                 if some.any():
-                    out_shard.append(shard)
-                    out_place.append(place[some].tobytes())
-                    out_bits.append(own[some].tobytes())
+                    out.append((shards[k], places[k][some].tobytes(), own[some].tobytes(), None, None, None, None))
+                if following[k] is not None and not some.all():
+                    windows = raw[k].reshape(-1, length)[~some]
+                    out.append((shards[k], places[k][~some].tobytes(), None, following[k], squeeze.compress(windows.tobytes()),
+                                sizes[k][~some].tobytes(), owners[k][~some].tobytes()))
         for shard, sure in zip(shards, blob(rows, "sure", np.uint32)):
             if len(sure):
                 place, windows = sure.reshape(-1, 2).T
                 every = np.where(windows >= 64, np.uint64((1 << 64) - 1), (np.uint64(1) << (windows.astype(np.uint64) % np.uint64(64))) - np.uint64(1))
-                out_shard.append(shard)
-                out_place.append(place.tobytes())
-                out_bits.append(every.astype(np.uint64).tobytes())
-        return pa.table(
-            {"shard": pa.array(out_shard, pa.int64()), "places": pa.array(out_place, pa.binary()), "bits": pa.array(out_bits, pa.binary())}
-        )
-
-    return kept_table(dealt.groupBy("bucket").applyInArrow(tidy_group(judge), "shard long, places binary, bits binary"), "marks")
+                out.append((shard, place.tobytes(), every.astype(np.uint64).tobytes(), None, None, None, None))
+        columns = list(zip(*out)) if out else [[]] * 7
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        names = ["shard", "places", "bits", "bucket", "contexts", "sizes", "owners"]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+    first = kept_table(dealt.groupBy("bucket").applyInArrow(tidy_group(judge), MARKS), "marks")
+    left = first.where(F.col("bits").isNull()).withColumn("next", F.lit(None).cast("int")).withColumn("sure", F.lit(b""))
+    last = kept_table(left.groupBy("bucket").applyInArrow(tidy_group(judge), MARKS), "marks_of_hot")
+    both = first.where(F.col("bits").isNotNull()).unionByName(last)
+    return both.select("shard", "places", "bits")
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
