@@ -460,14 +460,15 @@ def shared_anchors(shards: DataFrame, buckets: int, length: int) -> DataFrame:
     return kept_table(met.where(F.length("anchors") > 0), "anchors")
 
 
-CONTEXTS = "bucket int, next int, shard long, contexts binary, sizes binary, owners binary, places binary, sure binary"
+CONTEXTS = "bucket int, next int, cold int, shard long, contexts binary, sizes binary, owners binary, places binary, sure binary"
 MARKS = "shard long, places binary, bits binary, bucket int, contexts binary, sizes binary, owners binary"
 
 
 def contexts(shards: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
     """The windows of shared anchors, dealt by anchor (or, where hot, by window); ``sure``: marked within the shard.
 
-    ``next``: the bucket where hot windows of all shards meet, null for others. Before, they meet in ``bucket`` with those of some shards.
+    The first ``cold`` contexts of a row have all their equals in ``bucket``. The others, hot windows, meet there with those of
+    shards of the same salt; ``next`` is where those of all shards meet. A shard has at most one row per bucket.
     """
     salts = np.uint64(max(1, int(np.ceil(np.sqrt(shards.count())))))
     lists = shared.groupBy("shard").agg(F.collect_list("anchors").alias("anchors"))  # at most the shard's own anchors
@@ -501,25 +502,27 @@ def contexts(shards: DataFrame, shared: DataFrame, buckets: int, length: int) ->
                 np.minimum.at(least, code, owner)
                 surely = owner > least[code]
                 out = []
-                own_hash = mix(np.array([shard], np.int64).view(np.uint64))
+                own_hash = mix(np.array([shard], np.int64).view(np.uint64))[0]
+                salt = int(own_hash % salts)
                 if surely.any():
                     sure = np.stack([begin[surely], size[surely] - length + 1], axis=1).astype(np.uint32)
-                    out.append((int(own_hash[0] % np.uint64(buckets)), None, b"", b"", b"", b"", sure.tobytes()))
-                is_hot = np.arange(len(begin)) >= len(begin) - len(single)
-                for rest, salted in ((np.flatnonzero(~surely & ~is_hot), False), (np.flatnonzero(~surely & is_hot), True)):
-                    for bucket, which in by_bucket((spread[rest] % np.uint64(buckets)).astype(np.int32)):
-                        which = rest[which]
-                        near = mix(np.uint64(bucket) * salts + own_hash % salts) % np.uint64(buckets) if salted else [bucket]
-                        out.append(
-                            (int(near[0]), bucket if salted else None, squeeze.compress(buffer[ragged(begin[which], size[which])].tobytes()),
-                             size[which].astype(np.uint16).tobytes(), owner[which].astype(np.int64).tobytes(),
-                             begin[which].astype(np.uint32).tobytes(), b"")
-                        )
-                columns = list(zip(*out)) if out else [[]] * 7
+                    out.append((int(own_hash % np.uint64(buckets)), 0, 0, b"", b"", b"", b"", sure.tobytes()))
+                rest = np.flatnonzero(~surely)
+                is_hot = rest >= len(begin) - len(single)
+                whole = (spread[rest] % np.uint64(buckets)).astype(np.int64)
+                for bucket, which in by_bucket(np.where(is_hot, (whole + salt) % buckets, whole)):
+                    cold = len(which) - int(is_hot[which].sum())  # hot windows come last, in every row
+                    which = rest[which]
+                    out.append(
+                        (bucket, (bucket - salt) % buckets, cold, squeeze.compress(buffer[ragged(begin[which], size[which])].tobytes()),
+                         size[which].astype(np.uint16).tobytes(), owner[which].astype(np.int64).tobytes(),
+                         begin[which].astype(np.uint32).tobytes(), b"")
+                    )
+                columns = list(zip(*out)) if out else [[]] * 8
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int32()) for c in columns[:2]), pa.array([shard] * len(out), pa.int64()),
-                     *(pa.array(c, pa.binary()) for c in columns[2:])],
-                    ["bucket", "next", "shard", "contexts", "sizes", "owners", "places", "sure"],
+                    [*(pa.array(c, pa.int32()) for c in columns[:3]), pa.array([shard] * len(out), pa.int64()),
+                     *(pa.array(c, pa.binary()) for c in columns[3:])],
+                    ["bucket", "next", "cold", "shard", "contexts", "sizes", "owners", "places", "sure"],
                 )
 
     joined_rows = shards.select("shard", "ids", "sizes", "body").join(lists, "shard")
@@ -534,7 +537,7 @@ def marks(dealt: DataFrame, length: int) -> DataFrame:
 
     def judge(rows: pa.Table) -> pa.Table:
         expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        shards, following = rows.column("shard").to_pylist(), rows.column("next").to_pylist()
+        shards, following, cold = (rows.column(c).to_pylist() for c in ("shard", "next", "cold"))
         raw = [np.frombuffer(expand.decompress(x) if x else b"", np.uint8) for x in rows.column("contexts").to_pylist()]
         sizes, owners, places = blob(rows, "sizes", np.uint16), blob(rows, "owners", np.int64), blob(rows, "places", np.uint32)
         counts = [len(x) for x in sizes]
@@ -545,10 +548,13 @@ def marks(dealt: DataFrame, length: int) -> DataFrame:
                 some = own != 0
                 if some.any():
                     out.append((shards[k], places[k][some].tobytes(), own[some].tobytes(), None, None, None, None))
-                if following[k] is not None and not some.all():
-                    windows = raw[k].reshape(-1, length)[~some]
-                    out.append((shards[k], places[k][~some].tobytes(), None, following[k], squeeze.compress(windows.tobytes()),
-                                sizes[k][~some].tobytes(), owners[k][~some].tobytes()))
+                hot = counts[k] - cold[k]
+                left = np.flatnonzero(~some[cold[k] :])
+                if len(left):
+                    windows = raw[k][len(raw[k]) - hot * length :].reshape(hot, length)[left]
+                    at = left + cold[k]
+                    out.append((shards[k], places[k][at].tobytes(), None, following[k], squeeze.compress(windows.tobytes()),
+                                sizes[k][at].tobytes(), owners[k][at].tobytes()))
         for shard, sure in zip(shards, blob(rows, "sure", np.uint32)):
             if len(sure):
                 place, windows = sure.reshape(-1, 2).T
@@ -560,7 +566,8 @@ def marks(dealt: DataFrame, length: int) -> DataFrame:
         return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
     first = kept_table(dealt.groupBy("bucket").applyInArrow(tidy_group(judge), MARKS), "marks")
-    left = first.where(F.col("bits").isNull()).withColumn("next", F.lit(None).cast("int")).withColumn("sure", F.lit(b""))
+    left = first.where(F.col("bits").isNull()).withColumn("next", F.lit(0)).withColumn("sure", F.lit(b""))
+    left = left.withColumn("cold", (F.length("places") / 4).cast("int"))  # all their equals meet now
     last = kept_table(left.groupBy("bucket").applyInArrow(tidy_group(judge), MARKS), "marks_of_hot")
     both = first.where(F.col("bits").isNotNull()).unionByName(last)
     return both.select("shard", "places", "bits")
