@@ -38,20 +38,31 @@ def with_kv_entries(df: DataFrame, text: str, header: str, into: str) -> DataFra
     Each stage is its own column: array functions evaluate their arguments
     again wherever they are written, but read a finished column for free.
     """
-    rest, near, lines, tail, stop, kept = (
-        f"_{into}_{s}" for s in ("rest", "near", "lines", "tail", "stop", "kept")
+    rest, near, lines, begin, near_end, cut_off, tail, stop, kept = (
+        f"_{into}_{s}" for s in ("rest", "near", "lines", "begin", "end", "cut", "tail", "stop", "kept")
     )
     has_text = lambda x: x != ""
+    has_equals = lambda x: F.contains(x, F.lit("="))
     end_of_block = lambda x: ~x.rlike(KV_LINE)
     staged = (
         df.withColumn(rest, F.regexp_extract(text, f"(?s){header}(.*)", 1))
         .withColumn(near, F.split(rest, LINE_BREAKS, NEAR_LINES))
         # The last of NEAR_LINES pieces still holds unsplit text: leave it out.
-        .withColumn(lines, _clean(F.slice(near, 1, NEAR_LINES - 1)))
+        .withColumn(lines, F.slice(near, 1, NEAR_LINES - 1))
+        # Only lines up to the first without a '=' behind one that has it are cleaned: no block goes on beyond.
+        .withColumn(begin, _first(F.col(lines), has_equals))
+        .withColumn(
+            near_end, _first(F.slice(lines, F.col(begin) + 1, F.size(lines)), lambda x: ~has_equals(x))
+        )
+        .withColumn(cut_off, (F.col(begin) > 0) & (F.col(near_end) > 0))
+        .withColumn(
+            lines,
+            _clean(F.when(F.col(cut_off), F.slice(lines, 1, F.col(begin) + F.col(near_end))).otherwise(F.col(lines))),
+        )
         .withColumn(tail, _from(F.col(lines), _first(F.col(lines), has_text)))
         .withColumn(stop, _first(F.col(tail), end_of_block))
     )
-    ended = (F.col(stop) > 0) | (F.size(near) < NEAR_LINES)
+    ended = (F.col(stop) > 0) | (~F.col(cut_off) & (F.size(near) < NEAR_LINES))
     cut = (
         staged.withColumn(lines, F.when(~ended, _clean(F.split(rest, LINE_BREAKS))))
         .withColumn(kept, F.when(ended, F.col(tail)).otherwise(_from(F.col(lines), _first(F.col(lines), has_text))))
@@ -61,7 +72,7 @@ def with_kv_entries(df: DataFrame, text: str, header: str, into: str) -> DataFra
     pair = lambda x: F.struct(
         F.regexp_extract(x, KV_LINE, 1).alias("key"), strip(F.regexp_extract(x, KV_LINE, 2)).alias("value")
     )
-    return cut.withColumn(into, F.transform(kept, pair)).drop(rest, near, lines, tail, stop, kept)
+    return cut.withColumn(into, F.transform(kept, pair)).drop(rest, near, lines, begin, near_end, cut_off, tail, stop, kept)
 
 
 def kv_value(entries: Column, key: str) -> Column:
