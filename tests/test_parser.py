@@ -214,3 +214,53 @@ def test_lines_stay_in_their_task(spark):
     logs = spark.createDataFrame([("f", "ftrunnerlog.txt", "a\nb")], "run_folder string, file_name string, text string")
     plan = parse_lines.summaries(parse_lines.lines_of(logs, 1))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_neighbouring_splits_are_summarised_together(spark):
+    """One summary for splits that follow one another in a task; scattered over tasks they give the same runs and steps."""
+    import random
+
+    from logyield.plans import parse_lines
+
+    dice = random.Random(5)
+    logs = spark.createDataFrame(
+        [(f"STC_{i}", "ftrunnerlog.txt", random_log(dice)) for i in range(60)], "run_folder string, file_name string, text string"
+    ).coalesce(1).cache()
+    chosen = logs.selectExpr("run_folder AS file_key", "run_folder", "file_name")
+    lines = parse_lines.lines_of(logs, 2)
+    assert parse_lines.summaries(lines).filter("piece IS NOT NULL").count() == 60
+    scattered = lines.repartition(7, "file_key", "block").sortWithinPartitions("file_key", "block", "row")
+    assert parse_lines.summaries(scattered).filter("piece IS NOT NULL").count() > 60
+    tables = [parse_lines.parse_lines(x, chosen) for x in (lines, scattered, parse_lines.lines_of(logs, 1000))]
+    runs, steps = ([sorted(map(str, t.collect())) for t in side] for side in zip(*tables))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 60
+    assert steps[0] == steps[1] == steps[2]
+
+
+def test_unread_columns_are_not_parsed(spark):
+    logs = spark.createDataFrame(
+        [("f", "ftrunner.txt", "testmode: APSE\n***A test start.***\nfailed")] * 2 + [(None, "ftrunner.txt", "x")],
+        "run_folder string, file_name string, text string",
+    )
+    runs = parse.one_log_per_folder(parse.parse_logs(logs))
+    assert sorted(str(r.test_mode) for r in runs.collect()) == ["APSE", "None"]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "test start" in plan(runs.select("unit_id", "failing_step"))
+    assert "test start" not in plan(runs.select("unit_id", "test_mode"))
+
+
+@pytest.mark.parametrize("near", (5, 64))
+def test_blocks_end_where_they_did(spark, monkeypatch, near):
+    monkeypatch.setattr(kv, "NEAR_LINES", near)
+    stamp = "[2024-03-01 08:00:00 a=b] "
+    texts = {
+        "head:\nA=1\nB=2\nno\nC=3": ["A", "B"],
+        f"head:\n{stamp}\n\n{stamp}A=1\n{stamp}B=2\n{stamp}\nC=3": ["A", "B"],
+        f"head:\n{stamp}\n\nA=1\nB=2\nC=3\nD=4\nE=5\nF=6": list("ABCDEF"),
+        "head:\nno\nA=1": [],
+        "head:\n1=2\nA=1": [],
+        "A=1": [],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in kv.with_kv_entries(df, "t", "head:", "e").collect():
+        assert [e.key for e in row.e] == texts[row.t], row.t
