@@ -216,25 +216,35 @@ def test_lines_stay_in_their_task(spark):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
-def test_neighbouring_splits_are_summarised_together(spark):
-    """One summary for splits that follow one another in a task; scattered over tasks they give the same runs and steps."""
+def test_texts_are_searched_only_where_a_pattern_can_match(monkeypatch):
+    """Fixed parts of the patterns decide it; what is found stays the same."""
     import random
 
-    from logyield.plans import parse_lines
+    from logyield.plans import log_pieces
 
     dice = random.Random(5)
-    logs = spark.createDataFrame(
-        [(f"STC_{i}", "ftrunnerlog.txt", random_log(dice)) for i in range(60)], "run_folder string, file_name string, text string"
-    ).coalesce(1).cache()
-    chosen = logs.selectExpr("run_folder AS file_key", "run_folder", "file_name")
-    lines = parse_lines.lines_of(logs, 2)
-    assert parse_lines.summaries(lines).filter("piece IS NOT NULL").count() == 60
-    scattered = lines.repartition(7, "file_key", "block").sortWithinPartitions("file_key", "block", "row")
-    assert parse_lines.summaries(scattered).filter("piece IS NOT NULL").count() > 60
-    tables = [parse_lines.parse_lines(x, chosen) for x in (lines, scattered, parse_lines.lines_of(logs, 1000))]
-    runs, steps = ([sorted(map(str, t.collect())) for t in side] for side in zip(*tables))
-    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 60
-    assert steps[0] == steps[1] == steps[2]
+    texts = [random_log(dice).split("\n") for _ in range(300)]
+    keys = {"scan": ("SERIALNUMBER", "OPID", "Host"), "done": ("Result", "Errorcode")}
+    said = [log_pieces.piece_of(lines, keys) for lines in texts]
+    with monkeypatch.context() as m:  # parts that every text holds: all patterns are searched everywhere
+        m.setattr(log_pieces, "FIRST_PARTS", dict.fromkeys(log_pieces.FIRST_PARTS, ""))
+        m.setattr(log_pieces, "HEADER_PARTS", dict.fromkeys(log_pieces.HEADER_PARTS, ""))
+        for name in ("ERROR_PART", "START_PART", "END_PART", "TIME_PART"):
+            m.setattr(log_pieces, name, "")
+        m.setattr(log_pieces, "OPEN_END_PARTS", ("",))
+        assert said == [log_pieces.piece_of(lines, keys) for lines in texts]
+
+    class Unsearched:
+        def search(self, *_):
+            raise AssertionError("searched in vain")
+
+        finditer = search
+
+    for name in ("ERROR", "STEP_START", "STEP_END", "STEP_TIME", "OPEN_END"):
+        monkeypatch.setattr(log_pieces, name, Unsearched())
+    monkeypatch.setattr(log_pieces, "FIRST", {n: Unsearched() for n in log_pieces.FIRST})
+    monkeypatch.setattr(log_pieces, "HEADERS", {n: Unsearched() for n in log_pieces.HEADERS})
+    log_pieces.piece_of(["noise of the tester"] * 9, keys)
 
 
 def test_unread_columns_are_not_parsed(spark):
@@ -244,6 +254,8 @@ def test_unread_columns_are_not_parsed(spark):
     )
     runs = parse.one_log_per_folder(parse.parse_logs(logs))
     assert sorted(str(r.test_mode) for r in runs.collect()) == ["APSE", "None"]
+    tied = spark.createDataFrame([("f", "ftrunner.txt", f"testmode: M{i}") for i in range(5)], logs.schema).coalesce(1)
+    assert [r.test_mode for r in parse.one_log_per_folder(parse.parse_logs(tied)).collect()] == ["M4"]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "test start" in plan(runs.select("unit_id", "failing_step"))
     assert "test start" not in plan(runs.select("unit_id", "test_mode"))
