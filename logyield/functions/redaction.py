@@ -2,7 +2,8 @@
 
 The rules are chained ``regexp_replace`` calls in a fixed order. ``(?U)`` makes
 ``\\b \\d \\s \\S`` Unicode-aware, so a keyword glued to an accented letter is not
-a match.
+a match. What a rule begins with is looked for ahead of the word boundary, which costs
+far more at every character; it takes no match away.
 """
 
 from __future__ import annotations
@@ -18,19 +19,19 @@ RULES = (
     ("password_switch", r"(?iU)(-p\s+)\S+", "$1[REDACTED_PW]"),
     (
         "secret_pair",
-        r"(?iU)\b(password|passwd|pwd|secret|token|apikey|api_key)\s*[=:]\s*\S+",
+        r"(?iU)(?=[psta])\b(password|passwd|pwd|secret|token|apikey|api_key)\s*[=:]\s*\S+",
         "$1=[REDACTED]",
     ),
-    ("user_pair", r"(?iU)\b(user|username|userid|uid)\s*[=:]\s*\S+", "$1=[REDACTED_USER]"),
-    ("host_pair", r"(?iU)\b(host|hostname|testserver)\s*[=:]\s*\S+", "$1=[REDACTED_HOST]"),
+    ("user_pair", r"(?iU)(?=u)\b(user|username|userid|uid)\s*[=:]\s*\S+", "$1=[REDACTED_USER]"),
+    ("host_pair", r"(?iU)(?=[ht])\b(host|hostname|testserver)\s*[=:]\s*\S+", "$1=[REDACTED_HOST]"),
     ("unc_host", r"\\\\[A-Za-z0-9._-]+", r"\\\\[REDACTED_HOST]"),
-    ("mac", r"(?U)\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "[REDACTED_MAC]"),
-    ("ipv4", r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED_IP]"),
+    ("mac", r"(?U)(?=[0-9A-Fa-f]{2}[:-])\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "[REDACTED_MAC]"),
+    ("ipv4", r"(?U)(?=\d)\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED_IP]"),
 )
 # Serial rules, left out when the serial is kept.
 SERIAL_RULES = (
-    ("serial_pair", r"(?iU)\b(serialnumber|child_sn|serial)\s*[=:]\s*\S+", "$1=[REDACTED_SN]"),
-    ("serial_code", r"(?U)\bRM[A-Z]{1,2}\d{6,}\b", "[REDACTED_SN]"),
+    ("serial_pair", r"(?iU)(?=[sc])\b(serialnumber|child_sn|serial)\s*[=:]\s*\S+", "$1=[REDACTED_SN]"),
+    ("serial_code", r"(?U)(?=RM)\bRM[A-Z]{1,2}\d{6,}\b", "[REDACTED_SN]"),
 )
 
 # A masked pair or switch, which the keyword rules would match again.
