@@ -128,3 +128,18 @@ def test_empty_table(spark):
     documents = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix.remove_repeats(documents).collect() == []
     assert suffix.without_repeats(documents).collect() == []
+
+
+def test_rows_of_a_shard_do_not_grow_with_the_buckets(spark, monkeypatch):
+    for name, value in (("BUCKET_BYTES", 60), ("SHARD_BYTES", 4000), ("HOT_TEXTS", 2)):
+        monkeypatch.setattr(suffix, name, value)
+    rows = passages(2)
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(2)
+    shards = suffix.distinct_texts(documents, suffix.text_rows(documents), suffix.LENGTH)
+    shared = suffix.shared_anchors(shards, 8, suffix.LENGTH)
+    groups, split = suffix.dealing(sum(len(r.anchors) for r in shared.collect()) // 8, 8, suffix.LENGTH)
+    assert split > 4
+    dealt = suffix.contexts(shards, shared, groups, split, suffix.LENGTH).where("length(contexts) > 0").collect()
+    assert len(dealt) == len({(r.shard, r.group) for r in dealt})
+    parts = [(r.shard, r.group, part) for r in dealt for part in set(np.frombuffer(r.parts, np.uint16) >> 1)]
+    assert len(dealt) < len(parts) / 2
