@@ -13,7 +13,7 @@ from ..sources import archives as zips
 from ..sources import folders
 from ..session import stored
 from .parse import parse_logs, steps_table
-from .parse_lines import parse_lines, read_log_lines
+from .parse_lines import parse_lines, read_log_lines, read_splits, splits_of
 
 
 class Batch(NamedTuple):
@@ -54,19 +54,25 @@ def ingest_folder(
 ) -> Batch:
     """Runs, steps and warnings of the batch below ``root``, without folders named in ``skip``.
 
-    The tree is listed once and the log of each folder chosen from the list.
+    The tree is listed once, in tasks, the log of each folder chosen from the list and
+    only that opened, by path: the driver holds neither files nor folders.
     Logs of ``row_bytes`` or more are parsed as lines, all others as one row
     each; both give the same runs and steps.
     """
-    files = stored(folders.list_files(spark, root, skip=skip), "listing")
-    chosen = folders.first_logs(files)
-    small = parse_logs(folders.read_logs(spark, root, row_bytes, skip))
+    in_tasks = folders.is_plain_folder(spark, root)
+    files = folders.list_tree(spark, root, skip) if in_tasks else stored(folders.list_files(spark, root, skip=skip), "listing")
+    chosen = stored(folders.first_logs(files), "chosen")
+    at_once, as_lines = chosen.filter(F.col("size") < row_bytes), chosen.filter(F.col("size") >= row_bytes)
+    if in_tasks:
+        small = parse_logs(folders.read_texts(folders.dealt_files(at_once)))
+    else:
+        small = parse_logs(folders.read_logs(spark, root, row_bytes, skip).join(at_once, ["run_folder", "file_name"], "left_semi"))
     # Parsed rows feed the runs and the steps: written once, not parsed twice.
-    parsed = stored(small.withColumn("file_name", F.col("source_files")[0]), "parsed")
-    parsed = parsed.join(chosen.select("run_folder", "file_name"), ["run_folder", "file_name"], "left_semi")
-    runs, steps = parsed.drop("steps", "file_name"), steps_table(parsed)
-    if not chosen.filter(F.col("size") >= row_bytes).isEmpty():
-        large, more = parse_lines(read_log_lines(spark, root, row_bytes), chosen.filter(F.col("size") >= row_bytes))
+    parsed = stored(small, "parsed")
+    runs, steps = parsed.drop("steps"), steps_table(parsed)
+    if not as_lines.isEmpty():
+        lines = read_splits(folders.dealt_files(splits_of(as_lines))) if in_tasks else read_log_lines(spark, root, row_bytes)
+        large, more = parse_lines(lines, as_lines)
         runs = runs.unionByName(large.drop("steps"))
         steps = steps.unionByName(more.select(*[F.col(c).cast(t) for c, t in steps.dtypes]))
     archives = files.filter(F.lower("file_name").endswith(".zip")).select(

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import re
 import zipfile
 
@@ -452,3 +453,44 @@ def test_manifest_items_reads_the_files_twice(spark, tmp_path):
     assert len(re.findall(r"(?:FileScan|Scan) parquet", final)) == 2
     assert len([line for line in final.split("\n") if "Exchange hash" in line and "Reused" not in line]) == 3
     assert "WindowGroupLimit" in final
+
+
+def test_tree_is_listed_in_tasks_as_spark_lists_it(spark, tmp_path, monkeypatch):
+    files = {
+        "a b%25/run1/FTRunner 1%.txt": "OPID=1", "a b%25/run1/ftrunner2.txt": "x", "a b%25/run2/ftrunner.txt": "", "a b%25/run2/o.txt": "q",
+        "_hid/run/ftrunner.txt": "x", ".dot/ftrunner.txt": "x", "_a=b/ftrunner.txt": "eq", "r/.ftrunner.txt": "x", "r/_ftrunner.txt": "x",
+        "r/_metadata_ftrunner.txt": "m", "r/ftrunner.txt._COPYING_": "x", "[g]*{x}/ftrünner.txt": "x", "[g]*{x}/ftrunner.txt": "OPID=2\r\n" * 500,
+        "ftrunnerlog.txt": "top", "skipped/ftrunner.txt": "x",
+    }
+    for name, text in files.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+    (tmp_path / "empty").mkdir()
+    columns = ["path", "size", "run_folder", "file_name"]
+    one, other = (f(spark, str(tmp_path), skip=("skipped",)).select(columns).collect() for f in (folders.list_files, folders.list_tree))
+    assert sorted(one) == sorted(other) and len(one) == 7
+
+    def on_the_driver(*args, **kwargs):
+        raise AssertionError("Spark's readers hold every file of a tree on the driver")
+
+    for module, name in ((folders, "list_files"), (ingest, "read_log_lines")):
+        monkeypatch.setattr(module, name, on_the_driver)
+    batch = ingest.ingest_folder(spark, str(tmp_path), row_bytes=1000, skip=("skipped",))
+    assert sorted(r.run_folder for r in batch.runs.collect()) == [".", "[g]*{x}", "_a=b", "a b%25/run1"]
+
+
+def test_lines_belong_to_the_split_they_begin_in(monkeypatch):
+    dice = random.Random(4)
+    for _ in range(2000):
+        data = bytes(dice.choice(b"ab\n\r\n\r") for _ in range(dice.randint(0, 40)))
+        if dice.random() < 0.1:
+            data = parse_lines.BOM + data
+        monkeypatch.setattr(parse_lines, "CHUNK_BYTES", dice.randint(4, 9))
+        size = dice.randint(4, 15)
+        want = re.split(b"\r\n|\r|\n", data.removeprefix(parse_lines.BOM))
+        got = []
+        for start in range(0, len(data), size):
+            end = start + size if start + size < len(data) else 1 << 62
+            got += [line for lines in parse_lines.lines_from(io.BytesIO(data), start, end) for line in lines]
+        assert got == (want if want[-1] else want[:-1])
