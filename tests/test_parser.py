@@ -276,3 +276,15 @@ def test_blocks_end_where_they_did(spark, monkeypatch, near):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in kv.with_kv_entries(df, "t", "head:", "e").collect():
         assert [e.key for e in row.e] == texts[row.t], row.t
+
+
+def test_a_piece_walks_its_leading_pairs_once(monkeypatch):
+    from logyield.plans import log_pieces
+
+    walks, walk = [], log_pieces.run_of
+    monkeypatch.setattr(log_pieces, "run_of", lambda lines: walks.append(lines) or walk(lines))
+    piece, _ = log_pieces.piece_of(["", "OPID=1", "Result = PASS ", "", "OPID=2"], {"scan": ("OPID",), "done": ("Result",)})
+    waiting, inside = piece["blocks"]["done"]["leads"]
+    assert waiting == {"phase": log_pieces.OVER, "pairs": 2, "values": {"Result": "PASS"}}
+    assert inside == {"phase": log_pieces.OVER, "pairs": 0, "values": {}}
+    assert len(walks) == 1
